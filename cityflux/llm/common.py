@@ -8,6 +8,7 @@ from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words of a text are maximal runs of characters outside these six.
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -70,3 +71,11 @@ class Scratch:
 
     def __exit__(self, *exc) -> None:
         self._delete(self.root)
+
+
+_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "boolean": T.BooleanType(), "double": T.DoubleType(), "binary": T.BinaryType()}
+
+
+def struct_of(fields: str) -> T.StructType:
+    """A schema from ``"name type, ..."``, without a running session."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (f.split() for f in fields.split(","))])

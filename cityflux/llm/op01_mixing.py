@@ -57,19 +57,20 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHT_CYCLE, ma
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHT_CYCLE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """``docs`` with size, source_size, target, full (whole epochs), part (words of one more) and taken."""
     made = ["size", "source_size", "target", "full", "part", "taken"]
-    rows = docs.drop(*made, "_s", "_key", "_b")
+    rows = docs.drop(*made, "_s", "_key", "_b", "_text")
     buckets = 2 ** max(int(math.log2(LEAST_BUCKETS)), min(int(math.log2(MOST_BUCKETS)), math.ceil(math.log2(docs.count() / BUCKET_ROWS + 1))))
     rows = rows.withColumns({
         "size": F.size(word_array(text_col)).cast("long"),
         "_s": F.coalesce(F.concat(F.lit("0"), F.col(source_col)), F.lit("1")),  # sorts nulls last
         "_key": _key(id_col),
+        "_text": F.xxhash64(text_col),  # rows alike in id and size
     })
     rows = rows.withColumn("_b", F.floor(F.conv(F.substring("_key", 1, 4), 16, 10).cast("int") * F.lit(buckets) / 65536).cast("int"))
     totals = rows.groupBy("_s", "_b").agg(F.sum("size").alias("_words"))
     targets = source_targets(totals.groupBy("_s").agg(F.sum("_words").alias("_total")), weights, max_epochs)
     earlier = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.withColumn("_start", F.coalesce(F.sum("_words").over(earlier), F.lit(0))).drop("_words").join(targets, "_s")
-    within = Window.partitionBy("_s", "_b").orderBy("_key", "size", text_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("_s", "_b").orderBy("_key", "size", "_text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("_run", F.sum("size").over(within)).join(starts, ["_s", "_b"])
     budget, total = F.floor("_target"), F.col("_total")
     full = F.when(total > 0, F.floor(budget / F.greatest(total, F.lit(1)))).otherwise(0)
