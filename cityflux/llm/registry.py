@@ -1,9 +1,10 @@
 """The queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from . import op01_mixing, op03_matroska, op05_pieces, op07_sharding, op08_substrings, op09_quality, op10_chat
+from . import op01_mixing, op02_jaccard, op03_matroska, op05_pieces, op07_sharding, op08_substrings, op09_quality, op10_chat
 
 QUERIES = {
     "op1_mixing": op01_mixing.query,
+    "op2_jaccard": op02_jaccard.query,
     "op3_matroska": op03_matroska.query,
     "op5_pieces": op05_pieces.query,
     "op7_sharding": op07_sharding.query,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_mixing": op01_mixing.ORACLE,
+    "op2_jaccard": op02_jaccard.ORACLE,
     "op8_substrings": op08_substrings.ORACLE,
     "op10_chat": op10_chat.ORACLE,
 }
