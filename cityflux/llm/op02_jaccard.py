@@ -8,11 +8,12 @@ leaves out, and a set posts its D + 1 fullest blocks (D: the most that a linked
 depends on the block alone. By the pigeonhole principle two linked sets post an equal block in the band of the larger one.
 Bands reach over a factor of four in size; a set near a band's start posts as the smaller one in that band too.
 
-Equal sets are one class from the start (a hash of the set). Of the classes that share a block, the one with the least hash
-is compared with each other: stars, not all pairs. Candidates pass the size bound and a ``BITS``-bit parity sketch (each
-shingle flips one bit, so its Hamming distance is a lower bound too) and are verified on the texts. Components of the links
-follow in Spark. Blocks whose classes are still in several components are finished exactly: their remaining pairs across
-components are verified too, so no link between different components is lost. There is no cap.
+Equal sets are one class from the start (a hash of the set). Of the classes that share a block, the most central one (its
+blocks have the most company) is compared with each other: stars, not all pairs. Candidates pass the size bound and a
+parity sketch (each shingle flips one bit, so its Hamming distance is a lower bound too) and are verified on the texts.
+Components of the links follow in Spark. Blocks whose classes are still in several components are finished exactly: their
+sketches are compared in chunks of ``CHUNK`` classes, one pair of chunks per group, and only pairs across components within
+the bound become rows, which are verified like the others. So no link between different components is lost. There is no cap.
 
 Defined results: texts without words have an empty set and link with nothing; a null id never is a component's id unless all
 its ids are null; rows with equal ids are separate rows; repeated rows are copies; an empty table gives no rows; input
@@ -37,8 +38,9 @@ WORDS = 5
 #: Linked: 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 80
 BAND = 4
-BITS = 512
-SKETCH = [f"s{i}" for i in range(BITS // 64)]
+#: Bits of a parity sketch for sets below a size; a longer one folds to a shorter one.
+BITS = ((1024, 512), (8192, 4096), (1 << 62, 32768))
+CHUNK = 1024
 
 
 def most_difference(n: int) -> int:
@@ -82,10 +84,22 @@ def posts(s: np.ndarray) -> np.ndarray:
     return np.concatenate(keys)
 
 
-def parity(s: np.ndarray) -> np.ndarray:
-    """A set's parity sketch as 64-bit numbers."""
-    bits = np.bincount((s & U(BITS - 1)).astype(np.int64), minlength=BITS) & 1
-    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+def parity(s: np.ndarray) -> bytes:
+    """A set's parity sketch."""
+    bits = next(b for below, b in BITS if len(s) < below)
+    odd = np.bincount((s & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """A sketch as 64-bit numbers, folded to ``size`` bytes."""
+    x = np.frombuffer(sketch, U)
+    return np.bitwise_xor.reduce(x.reshape(-1, size // 8), 0) if len(sketch) > size else x
+
+
+def within(distance: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Whether sets of that total size can link at that distance at least."""
+    return (100 + SIMILARITY) * distance <= (100 - SIMILARITY) * total
 
 
 def class_hash(s: np.ndarray) -> int:
@@ -96,7 +110,7 @@ def class_hash(s: np.ndarray) -> int:
     return int(mixed(np.array([x], U)).view(np.int64)[0])
 
 
-PREPARED = struct_of("id long, k long, n long, c long, " + ", ".join(f"{x} long" for x in SKETCH)).add("keys", T.ArrayType(T.LongType()))
+PREPARED = struct_of("id long, k long, n long, c long, sketch binary").add("keys", T.ArrayType(T.LongType()))
 
 
 def _shingles(hashes: WordHashes, text: str | None) -> np.ndarray:
@@ -116,9 +130,8 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             met.add(c[-1])
         flat = np.concatenate(keys) if keys else np.empty(0, U)
         ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
-        grid = np.array(sketches, np.int64).reshape(len(n), len(SKETCH))
         yield pa.RecordBatch.from_arrays([
-            batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(c, pa.int64()), *[pa.array(np.ascontiguousarray(grid[:, i])) for i in range(len(SKETCH))],
+            batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(sketches, pa.binary()),
             pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))),
         ], names=PREPARED.names)
 
@@ -148,24 +161,86 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
 
 
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sketches are within the bound."""
+    for batch in batches:
+        keep = []
+        for x, y, n in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), (batch.column(6).to_numpy() + batch.column(7).to_numpy()).tolist(), strict=True):
+            size = min(len(x), len(y))
+            keep.append(within(int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()), n))
+        yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1, 2, 3])
+
+
+def _pairs_of(rows: list[np.ndarray | list]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs across labels of one group's classes that fit and are within the bound; of a group of two chunks, those between them."""
+    c, n, label, side, sketch = rows
+    n, label, side, c = (np.asarray(x) for x in (n, label, side, c))
+    size = min(map(len, sketch))
+    grid = np.array([folded(x, size) for x in sketch])
+    two = side.min() != side.max()
+    left = np.flatnonzero(side == 0) if two else np.arange(len(c))
+    right = np.flatnonzero(side == 1) if two else np.arange(len(c))
+    out_a, out_b, step = [], [], max(1, (1 << 19) // max(1, len(right) * grid.shape[1]))
+    for i in range(0, len(left), step):
+        part = left[i : i + step]
+        ok = label[part][:, None] != label[right][None]
+        ok &= 100 * np.minimum(n[part][:, None], n[right][None]) >= SIMILARITY * np.maximum(n[part][:, None], n[right][None])
+        if not two:
+            ok &= part[:, None] < right[None]
+        if not ok.any():
+            continue
+        far = np.bitwise_count(grid[part][:, None] ^ grid[right][None]).sum(2, dtype=np.int64)
+        ok &= within(far, n[part][:, None] + n[right][None])
+        x, y = np.nonzero(ok)
+        out_a.append(c[part[x]])
+        out_b.append(c[right[y]])
+    none = [np.empty(0, np.int64)]
+    a, b = np.concatenate(out_a or none), np.concatenate(out_b or none)
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_pairs_of`` for each run of rows with equal group; a group has two chunks of rows at most."""
+    at, held = None, None
+
+    def frame(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    for batch in batches:
+        group = list(zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True))
+        cols = [batch.column(k).to_pylist() for k in range(3, 8)]
+        start = 0
+        while start < len(group):
+            stop = start
+            while stop < len(group) and group[stop] == group[start]:
+                stop += 1
+            if group[start] != at:
+                if held is not None and len(held[0]) > 1:
+                    yield frame(*_pairs_of(held))
+                at, held = group[start], [[] for _ in cols]
+            for have, col in zip(held, cols, strict=True):
+                have += col[start:stop]
+            start = stop
+    if held is not None and len(held[0]) > 1:
+        yield frame(*_pairs_of(held))
+
+
 class _Join:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, scratch: Scratch):
         self.scratch, self.id, self.text = scratch, id_col, text_col
         self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("k", row_key("id", "text")).select("id", "k", "text")
         self.prepared = scratch.write(self.docs.mapInArrow(_prepare, PREPARED), "prepared")
-        one = self.prepared.where("n > 0").groupBy("c").agg(F.min("k").alias("k"), F.first("n").alias("n"), *[F.first(x).alias(x) for x in SKETCH])
-        self.classes = one
+        self.classes = self.prepared.where("n > 0").groupBy("c").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The links among candidate pairs (a, b) of classes, by sketch, then by text."""
-        side = lambda x: self.classes.select(F.col("c").alias(x), F.col("k").alias(f"k{x}"), F.col("n").alias(f"n{x}"), *[F.col(s).alias(f"{x}{s}") for s in SKETCH])
-        near = pairs.join(side("a"), "a").join(side("b"), "b")
-        distance = sum((F.bit_count(F.col(f"a{s}").bitwiseXOR(F.col(f"b{s}"))) for s in SKETCH), F.lit(0))
-        near = pinned(near.where((100 + SIMILARITY) * distance <= (100 - SIMILARITY) * (F.col("na") + F.col("nb"))).select("a", "b", "ka", "kb"))
+        side = lambda x: self.classes.select(F.col("c").alias(x), F.col("k").alias(f"k{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+        near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ka", "kb", "sa", "sb", "na", "nb")
+        near = pinned(near.mapInArrow(_near, "a long, b long, ka long, kb long"))
         need = near.select(F.col("a").alias("c"), F.col("ka").alias("k")).unionAll(near.select(F.col("b").alias("c"), F.col("kb").alias("k"))).distinct()
         texts = self.docs.select("k", "text").join(need, "k").select("c", "text").dropDuplicates(["c"])
         texts = self.scratch.write(texts, "texts")
-        right = near.join(texts.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b")
+        right = near.select("a", "b").join(texts.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b")
         both = right.join(texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
         links = pinned(both.mapInArrow(_verify, "a long, b long"))
         self.scratch.drop("texts")
@@ -174,20 +249,28 @@ class _Join:
     def links(self) -> DataFrame:
         """Links (a, b) between classes that connect all that is connected."""
         posted = self.prepared.select("c", "n", F.explode("keys").alias("key"))
-        by_key = Window.partitionBy("key").orderBy("c")
-        ranked = posted.withColumns({"hub": F.first(F.struct("c", "n")).over(by_key), "last": F.lag("c").over(by_key)})
-        shared = ranked.where("last <> c")  # each class but the hub, once
-        shared = self.scratch.write(shared.select("key", "c", "n", F.col("hub.c").alias("hub"), F.col("hub.n").alias("hub_n")), "shared")
-        stars = shared.where(_fits("n", "hub_n")).select(F.col("hub").alias("a"), F.col("c").alias("b")).distinct()
+        by_key = Window.partitionBy("key")
+        ranked = posted.withColumns({"last": F.lag("c").over(by_key.orderBy("c")), "m": F.count(F.lit(1)).over(by_key)})
+        shared = self.scratch.write(ranked.where("m > 1 and (last is null or last <> c)").select("key", "c", "n", "m"), "shared")
+        company = shared.groupBy("c").agg(F.sum("m").alias("company"))
+        central = by_key.orderBy(F.desc("company"), "c").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ranked = shared.join(company, "c").withColumn("hub", F.first(F.struct("c", "n")).over(central)).where("hub.c <> c")
+        ranked = self.scratch.write(ranked.select("key", "c", "n", F.col("hub.c").alias("hub"), F.col("hub.n").alias("hub_n")), "ranked")
+        self.scratch.drop("shared")
+        stars = ranked.where(_fits("n", "hub_n")).select(F.least("hub", "c").alias("a"), F.greatest("hub", "c").alias("b")).distinct()
         links = self.verified(stars)
-        labels = components(links)
-        members = shared.join(labels.withColumnRenamed("node", "c"), "c", "left").select("key", "c", "n", F.coalesce("label", "c").alias("label"))
-        open_keys = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-        rest = pinned(members.join(open_keys, "key"))
-        other = rest.select("key", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-        left = rest.join(other, "key").where("c < c2 and label <> label2").where(_fits("n", "n2")).select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct()
-        more = self.verified(left)
-        return links.unionAll(more)
+        return links.unionAll(self.verified(self.across(ranked, links)))
+
+    def across(self, ranked: DataFrame, links: DataFrame) -> DataFrame:
+        """Candidate pairs across components within a block; pairs with the block's hub have been tried."""
+        labels = components(links).withColumnRenamed("node", "c")
+        members = ranked.select("key", "c", "n").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
+        open_keys = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y").select("key", "m")
+        chunks = F.ceil(F.col("m") / CHUNK).cast("int")
+        rest = members.join(open_keys, "key").withColumn("i", F.pmod(F.xxhash64("c"), chunks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        rest = rest.select("key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "c", "n", "label", F.when(F.col("i") > F.col("j"), 1).otherwise(0).alias("side"))
+        rest = rest.join(self.classes.select("c", "sketch"), "c").select("key", "i", "j", "c", "n", "label", "side", "sketch")
+        return rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across, "a long, b long").distinct()
 
 
 def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
