@@ -297,7 +297,7 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keyed = docs.withColumn("_k", row_key(id_col, text_col))
     wordless = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     chosen = keyed.where(~wordless).join(best, "_k", "left_semi").dropDuplicates(["_k"])
-    return chosen.unionAll(keyed.where(wordless)).select(*docs.columns)
+    return chosen.unionByName(keyed.where(wordless)).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,8 +33,8 @@ from .common import struct_of, table
 WINDOW, STRIDE = 32, 24
 WORD_ROWS, GRAM_ROWS, WIDTH, HIDDEN = 4096, 16384, 16, 8
 GRAMS = (3, 4, 5)
-TRAIN_EACH, TRAIN_CHARS = 1200, 20_000
-EPOCHS, SEED_EPOCHS, BATCH, RATE = 8, 2, 32, 0.01
+TRAIN_EACH, TRAIN_CHARS = 800, 20_000
+EPOCHS, SEED_EPOCHS, BATCH, RATE = 5, 2, 32, 0.01
 TABLE_WORDS, WORDS_AT_ONCE, WINDOWS_AT_ONCE = 200_000, 200_000, 2048
 #: ASCII signs and digits part words.
 _PLAIN = bytes(c if chr(c).isalpha() or c >= 128 else 32 for c in range(256))

@@ -1,12 +1,14 @@
 """The queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from . import op01_mixing, op02_jaccard, op03_matroska, op05_pieces, op07_sharding, op08_substrings, op09_quality, op10_chat
+from . import op01_mixing, op02_jaccard, op03_matroska, op04_toxicity, op05_pieces, op06_pii, op07_sharding, op08_substrings, op09_quality, op10_chat
 
 QUERIES = {
     "op1_mixing": op01_mixing.query,
     "op2_jaccard": op02_jaccard.query,
     "op3_matroska": op03_matroska.query,
+    "op4_toxicity": op04_toxicity.query,
     "op5_pieces": op05_pieces.query,
+    "op6_pii": op06_pii.query,
     "op7_sharding": op07_sharding.query,
     "op8_substrings": op08_substrings.query,
     "op9_quality": op09_quality.query,
