@@ -86,21 +86,27 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """``docs`` with n_words, the four base counts, base_failed, score and kept."""
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
     weight = F.split(F.lit(",".join(map(str, weights(docs, labels, id_col, text_col, bins).first()["w"]))), ",").cast("array<int>")  # folded into a constant
-    text, words = F.coalesce(F.col(text_col), F.lit("")), F.col("_words")
+    text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(rf"[^{SPACE_CLASS}]"))
-    total = F.aggregate(gram_bins(words, bins), F.lit(0).cast("long"), lambda a, g: a + F.element_at(weight, g + 1))
-    rows = docs.drop(*made).withColumn("_words", word_array(text_col))
-    rows = rows.withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))).cast("long"),
-        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": repeated_words(words),
-        "score": F.when(F.size(words) > 0, total / (2 * F.size(words) - 1) / UNITS).otherwise(0.0),
-    })
-    rows = rows.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words")))
-    rows = rows.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
-    return rows.select(*[c for c in docs.columns if c not in made], *made)
+
+    def counted(words: Column) -> Column:
+        total = F.aggregate(gram_bins(words, bins), F.lit(0).cast("long"), lambda a, g: a + F.element_at(weight, g + 1))
+        return F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+            (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
+            let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            repeated_words(words).alias("n_repeat_words"),
+            F.when(F.size(words) > 0, total / (2 * F.size(words) - 1) / UNITS).otherwise(0.0).alias("score"),
+        )
+
+    def decided(m: Column) -> Column:
+        failed = (m["n_words"] < LEAST_WORDS) | (100 * m["n_repeat_words"] > MOST_REPEATED_PERCENT * m["n_words"])
+        return F.struct(*[m[c].alias(c) for c in made[:5]], failed.alias("base_failed"), m["score"].alias("score"), (~failed & (m["score"] >= threshold)).alias("kept"))
+
+    # one expression, so a filter on the verdict that moves below computes the words once too
+    rows = docs.drop(*made).withColumn("_m", let(let(word_array(text_col), counted), decided))
+    return rows.select(*[c for c in docs.columns if c not in made], *[F.col(f"_m.{c}").alias(c) for c in made])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
