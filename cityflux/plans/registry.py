@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.cube import daily
 from . import analytics as A
-from . import analytics_sql, driver
+from . import analytics_sql, driver, pipeline
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -74,5 +74,6 @@ QUERIES = {
     "f12_rank_gaps": _on_star(A.rank_gaps),
     "f13_control_totals": _on_star(A.control_totals),
     "b00_measures": _on_star(A.measures),
+    **pipeline.Q,
 }
-ORACLES = dict(analytics_sql.ORACLES)
+ORACLES = {**analytics_sql.ORACLES, **pipeline.ORACLES}
