@@ -53,12 +53,12 @@ def json_array(spark: SparkSession, path: str | Sequence[str], schema: T.StructT
 
 def json_pages(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Pages that are an array of records or an object with the array in ``data``; anything else fails the task that reads it."""
-    text = spark.read.option("wholetext", "true").text(path).select("value", F.col("_metadata.file_path").alias("_source_file"))
+    text = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("_source_file"))
     listed = F.from_json("value", T.ArrayType(schema))
     wrapped = F.from_json("value", T.StructType([T.StructField("data", T.ArrayType(schema))]))["data"]
     start = F.substring(F.ltrim("value"), 1, 1)
-    rows = F.when(start == "[", listed).when(start == "{", wrapped)
-    checked = F.coalesce(rows, F.raise_error(F.concat(F.lit("neither a list nor an object with data: "), F.col("_source_file"))).cast(T.ArrayType(schema)))
+    bad = F.raise_error(F.concat(F.lit("neither a list nor an object with data: "), F.col("_source_file"))).cast(T.ArrayType(schema))
+    checked = F.when(start == "[", listed).when((start == "{") & F.get_json_object("value", "$.data").isNotNull(), wrapped).otherwise(bad)
     return text.select(F.explode(checked).alias("r"), "_source_file").select("r.*", "_source_file")
 
 

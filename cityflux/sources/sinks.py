@@ -103,7 +103,7 @@ def upserted_groups(current: DataFrame, incoming: DataFrame, keys: Sequence[str]
 
 
 def manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """file, size and SHA-256 of every file below a path."""
+    """file, size and SHA-256 of every file with bytes below a path (Spark passes over empty files)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
     return files.select(F.col("path").alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
