@@ -2,7 +2,9 @@
 
 Word unigrams and bigrams are hashed into a fixed number of bins. Two multinomials are counted over them: the trusted
 target (documents labelled good; at most ``TRUSTED_ROWS`` of them, those with the smallest id hashes) and the raw corpus
-(all documents, all words). A document's score is the mean over its n-grams of log(p_target / p_raw), and it is kept when
+(all documents, all words). A bin's weight is log(p_target / p_raw) with ``SMOOTHING`` added to the target's count and to
+the count expected from the raw corpus, so bins with little evidence weigh little, whether a document is among the trusted
+ones or not. A document's score is the mean weight of its n-grams, and it is kept when
 the score reaches a fixed threshold and no base rule fails. Everything is built-in functions: one pass counts the bins
 (summed before the shuffle, so at most one row per bin and task moves), a second one scores row by row without a shuffle.
 The weights reach the tasks as a literal array of ``BINS`` whole numbers, whatever the corpus: log ratios in units of
@@ -24,9 +26,9 @@ from .common import SPACE_CLASS, table, word_array
 
 BINS = 1 << 16
 TRUSTED_ROWS = 20_000
-SMOOTHING = 1.0
+SMOOTHING = 20.0
 UNITS = 10_000
-THRESHOLD = -0.2
+THRESHOLD = -0.12
 LEAST_WORDS, MOST_REPEATED_PERCENT, WINDOW = 10, 20, 5
 
 
@@ -77,8 +79,8 @@ def weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     counts = grams.groupBy("_bin").agg(F.count(F.lit(1)).alias("_raw"), F.sum("_good").alias("_target"))
     every = docs.sparkSession.range(bins).select(F.col("id").cast("int").alias("_bin")).join(counts, "_bin", "left").na.fill(0, ["_raw", "_target"])
     row = every.agg(F.array_sort(F.collect_list(F.struct("_bin", "_target", "_raw"))).alias("c"), F.sum("_target").alias("t"), F.sum("_raw").alias("r"))  # BINS entries
-    share = lambda n, total: (n + SMOOTHING) / (total + SMOOTHING * bins)
-    ratio = F.transform("c", lambda e: F.round(F.log(share(e["_target"], F.col("t")) / share(e["_raw"], F.col("r"))) * UNITS).cast("int"))
+    expected = lambda e: e["_raw"] * F.col("t") / F.col("r")
+    ratio = F.transform("c", lambda e: F.round(F.log((e["_target"] + SMOOTHING) / (expected(e) + SMOOTHING)) * UNITS).cast("int"))
     return row.select(F.when(F.col("t") > 0, ratio).otherwise(F.transform("c", lambda e: F.lit(0))).alias("w"))
 
 

@@ -104,14 +104,17 @@ def canonical_turns(df: DataFrame, id_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("conv"), F.posexplode(_turns(m)).alias("turn", "_t")).select("conv", F.col("turn").cast("long"), "_t.role", "_t.text")
 
 
+def _holds(turns: str, part: str) -> Column:
+    return F.exists(turns, lambda t: t[part].isNotNull())
+
+
 def record_turns(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """conv, turn, role, text from JSON records, each in any known layout."""
     rows = df.select(F.col(id_col).alias("conv"), F.from_json(json_col, RECORD).alias("_r")).select("conv", "_r.*")
     present = []
     for p in sorted(KNOWN - {"turn", "role", "text"}):
         field, _, part = p.partition("[].")
-        there = F.exists(field, lambda t, part=part: t[part].isNotNull()) if part else F.col(field).isNotNull()
-        present.append(F.when(there, F.lit(p)))
+        present.append(F.when(_holds(field, part) if part else F.col(field).isNotNull(), F.lit(p)))
     rows = rows.withColumn("_f", F.sha2(F.concat_ws("\n", *present), 256))
     turns = None
     for m in MAPPINGS:
