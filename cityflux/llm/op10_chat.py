@@ -116,10 +116,10 @@ def record_turns(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
         field, _, part = p.partition("[].")
         present.append(F.when(_holds(field, part) if part else F.col(field).isNotNull(), F.lit(p)))
     rows = rows.withColumn("_f", F.sha2(F.concat_ws("\n", *present), 256))
-    turns = None
+    turns: Column | object = F
     for m in MAPPINGS:
         if not m.order:
-            turns = (turns or F).when(F.col("_f") == m.fingerprint, _turns(m))
+            turns = turns.when(F.col("_f") == m.fingerprint, _turns(m))
     return rows.select("conv", F.posexplode(turns).alias("turn", "_t")).select("conv", F.col("turn").cast("long"), "_t.role", "_t.text")
 
 
