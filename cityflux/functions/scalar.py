@@ -125,13 +125,13 @@ def right_closed(x: Column | str, edges: Iterable[tuple[float, str]], rest: str)
 
 
 #: Demand levels, right-closed (fixed values).
-DEMAND_LEVELS = ((0, "0 - Zero"), (5, "1 - Very low"), (20, "2 - Low"), (50, "3 - Medium"), (100, "4 - High"))
+DEMAND_LEVELS = ((0, "Zero (0)"), (5, "Very Low (1-5)"), (20, "Low (6-20)"), (50, "Moderate (21-50)"), (100, "High (51-100)"))
 #: Temperature and snow bands, left-closed (fixed values).
 TEMPERATURE_BANDS = ((0, "Freezing (<0C)"), (10, "Cold (0-10C)"), (20, "Cool (10-20C)"), (30, "Warm (20-30C)"))
 
 
 def demand_level(x: Column | str) -> Column:
-    return right_closed(x, DEMAND_LEVELS, "5 - Very high")
+    return right_closed(x, DEMAND_LEVELS, "Very High (101+)")
 
 
 def temperature_band(x: Column | str) -> Column:

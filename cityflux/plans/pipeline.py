@@ -223,7 +223,7 @@ def durations(spark, d):
     return joined.groupBy("o_orderpriority").agg(F.round(F.sum(m) / F.count(F.lit(1)), 6).alias("avg_minutes"), F.max(m).alias("max_minutes"))
 
 
-@query("p15_p18_flags_and_bins", "SELECT CASE WHEN l_quantity <= 0 THEN '0 - Zero' WHEN l_quantity <= 5 THEN '1 - Very low' WHEN l_quantity <= 20 THEN '2 - Low' WHEN l_quantity <= 50 THEN '3 - Medium' WHEN l_quantity <= 100 THEN '4 - High' ELSE '5 - Very high' END AS level, count(*) AS n, count(*) FILTER (l_extendedprice >= 60000) AS extreme, count(*) FILTER (l_discount = 0) AS plain FROM lineitem GROUP BY 1")
+@query("p15_p18_flags_and_bins", "SELECT CASE WHEN l_quantity <= 0 THEN 'Zero (0)' WHEN l_quantity <= 5 THEN 'Very Low (1-5)' WHEN l_quantity <= 20 THEN 'Low (6-20)' WHEN l_quantity <= 50 THEN 'Moderate (21-50)' WHEN l_quantity <= 100 THEN 'High (51-100)' ELSE 'Very High (101+)' END AS level, count(*) AS n, count(*) FILTER (l_extendedprice >= 60000) AS extreme, count(*) FILTER (l_discount = 0) AS plain FROM lineitem GROUP BY 1")
 def bins(spark, d):
     return read(spark, d, "lineitem").groupBy(S.demand_level("l_quantity").alias("level")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_extendedprice") >= 60000).alias("extreme"), F.count_if(F.col("l_discount") == 0).alias("plain"))
 
@@ -425,7 +425,7 @@ def baseline(spark, d):
     return forecast.metrics(_features(spark, d), "trips", "trips_lag_168h", ["zone_id"]).drop("r2").withColumn("zone_id", F.col("zone_id").cast("long"))
 
 
-@query("m10_baseline_by_level", _LAGS + f"SELECT CASE WHEN trips <= 0 THEN '0 - Zero' WHEN trips <= 5 THEN '1 - Very low' WHEN trips <= 20 THEN '2 - Low' ELSE '3 - Medium' END AS level, {_METRICS} FROM y GROUP BY 1")
+@query("m10_baseline_by_level", _LAGS + f"SELECT CASE WHEN trips <= 0 THEN 'Zero (0)' WHEN trips <= 5 THEN 'Very Low (1-5)' WHEN trips <= 20 THEN 'Low (6-20)' ELSE 'Moderate (21-50)' END AS level, {_METRICS} FROM y GROUP BY 1")
 def baseline_by_level(spark, d):
     return forecast.metrics(_features(spark, d), "trips", "trips_lag_168h", [S.demand_level("trips").alias("level")]).drop("r2")
 

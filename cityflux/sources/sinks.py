@@ -5,6 +5,7 @@ File moves go through Hadoop's file system API, so any store that Spark reads wi
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
@@ -13,6 +14,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Names of faults that ``failpoint`` raises, for tests of recovery, comma-joined.
+FAILPOINTS = "CITYFLUX_FAILPOINTS"
+
+
+def failpoint(name: str) -> None:
+    if name in os.environ.get(FAILPOINTS, "").split(","):
+        raise RuntimeError(f"failpoint {name}")
+
+
 class Store:
     """Existence, removal and renaming of paths."""
 
@@ -52,6 +62,7 @@ def publish(df: DataFrame, path: str, expected: int | None = None, partition_by:
             raise ValueError(f"{n} rows were written, {expected} expected")
         if check is not None:
             check(back)
+        failpoint("before_publish")
         if store.exists(path):
             store.move(path, backup)
         try:
