@@ -17,7 +17,9 @@ SPACE_RE = rf"[{SPACE_CLASS}]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one in fewer pieces than there are cores is dealt out first."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def word_array(text: Column | str) -> Column:
