@@ -17,6 +17,7 @@ QUERIES = {
 ORACLES = {
     "op1_mixing": op01_mixing.ORACLE,
     "op2_jaccard": op02_jaccard.ORACLE,
+    "op7_sharding": op07_sharding.ORACLE,
     "op8_substrings": op08_substrings.ORACLE,
     "op10_chat": op10_chat.ORACLE,
 }
