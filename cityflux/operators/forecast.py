@@ -118,3 +118,8 @@ def prediction_rows(df: DataFrame, run: str, model: str, predicted: str, actual:
     p = F.round(F.greatest(F.col(predicted).cast("double"), F.lit(0.0)), 4)
     out = df.select(F.lit(run).alias("run_id"), F.lit(model).alias("model_name"), "date", "hour", "zone_id", F.col(actual).cast("long").alias("actual"), p.alias("predicted"))
     return out.withColumn("error", F.round(F.col("predicted") - F.col("actual"), 4))
+
+
+def impurity_importance(fitted, names: Sequence[str]) -> list[tuple[str, float]]:
+    """(feature, importance) of a fitted pipeline's trees, greatest first; ``names`` as given to ``pipeline``, categories last."""
+    return sorted(zip(names, fitted.stages[-1].featureImportances.toArray().tolist(), strict=True), key=lambda r: -r[1])

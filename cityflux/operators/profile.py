@@ -88,3 +88,8 @@ def json_fields(df: DataFrame, json_column: str, part: str) -> DataFrame:
     keys = df.select(part, F.explode(F.json_object_keys(json_column)).alias("k")).groupBy(part).agg(F.array_sort(F.collect_set("k")).alias("fields"))
     first = keys.agg(F.min_by("fields", part).alias("base"))
     return keys.crossJoin(F.broadcast(first)).select(part, "fields", F.array_except("fields", "base").alias("added"), F.array_except("base", "fields").alias("missing"))
+
+
+def duplicate_keys(df: DataFrame, keys: Sequence[str], file: str) -> DataFrame:
+    """Keys of several rows: how many, and the first file that has one (the keeper)."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("occurrences"), F.min(file).alias("keeper")).where("occurrences > 1")

@@ -275,6 +275,11 @@ def missing_hours(spark, d):
 # Profiles and aggregates
 
 
+@query("a01_duplicate_keys", "SELECT user_id, event_type, count(*) AS occurrences, min(props) AS keeper FROM events GROUP BY 1, 2 HAVING count(*) > 1")
+def duplicate_keys(spark, d):
+    return profile.duplicate_keys(_events(spark, d), ["user_id", "event_type"], "props")
+
+
 @query("a02_null_battery", "SELECT 'l_quantity' AS column_name, count(*) AS row_count, count(*) FILTER (l_quantity IS NULL) AS missing, 0.0::DOUBLE AS missing_pct FROM lineitem UNION ALL SELECT 'l_returnflag', count(*), count(*) FILTER (l_returnflag IS NULL OR trim(l_returnflag) = ''), 0.0::DOUBLE FROM lineitem")
 def nulls(spark, d):
     return profile.nulls(read(spark, d, "lineitem"), ["l_quantity", "l_returnflag"])

@@ -97,3 +97,25 @@ def parsed_complaints(raw: DataFrame) -> DataFrame:
 def same_schema(parts: Iterable[DataFrame]) -> bool:
     parts = list(parts)
     return all([(f.name, f.dataType) for f in p.schema] == [(f.name, f.dataType) for f in parts[0].schema] for p in parts)
+
+
+def file_counts(df: DataFrame) -> DataFrame:
+    """Rows of each file that a scan reads; no data columns are read."""
+    return df.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("row_count"))
+
+
+def checked_polygons(shapes: DataFrame, expected: int | None = None, special: Sequence[int] = (264, 265)) -> DataFrame:
+    """Polygons as ``polygons`` gives them; raises on null, special or double ids, rings of under three vertices, or another number of zones."""
+    broken = F.exists("rings", lambda r: (F.size(r["xs"]) < 3) | (F.size(r["xs"]) != F.size(r["ys"])))
+    row = shapes.agg(F.count(F.lit(1)), F.count_distinct("zone_id"), F.count_if(S.truth(broken) | F.col("zone_id").isNull() | F.col("zone_id").isin(*special) | (F.size("rings") < 1))).first()
+    if row[0] != row[1] or row[2] or (expected is not None and row[0] != expected):
+        raise ValueError(f"{row[0]} polygons of {row[1]} zones, {row[2]} of them invalid")
+    return shapes
+
+
+def jdbc(spark: SparkSession, url: str, table: str, column: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 8, **options: str) -> DataFrame:
+    """A database table; with a numeric column and its bounds, read in parts."""
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options)
+    if column and bounds:
+        reader = reader.option("partitionColumn", column).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", partitions)
+    return reader.load()

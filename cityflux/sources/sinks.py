@@ -185,3 +185,13 @@ class Run:
 def append_log(spark: SparkSession, path: str, rows: Sequence[dict], schema: str) -> None:
     """Appends rows to a JSON-lines log."""
     spark.createDataFrame([tuple(r.get(c.split()[0]) for c in schema.split(", ")) for r in rows], schema).coalesce(1).write.mode("append").json(path)
+
+
+def to_jdbc(df: DataFrame, url: str, stage: str, batch_rows: int = 10_000, **options: str) -> int:
+    """Replaces a staging table and counts it back."""
+    expected = df.count()
+    df.write.format("jdbc").option("url", url).option("dbtable", stage).option("batchsize", batch_rows).option("truncate", "true").options(**options).mode("overwrite").save()
+    n = df.sparkSession.read.format("jdbc").option("url", url).option("dbtable", stage).options(**options).load().count()
+    if n != expected:
+        raise ValueError(f"{n} rows are staged, {expected} expected")
+    return n
