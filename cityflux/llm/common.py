@@ -81,3 +81,19 @@ _TYPES = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType()
 def struct_of(fields: str) -> T.StructType:
     """A schema from ``"name type, ..."``, without a running session."""
     return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (f.split() for f in fields.split(","))])
+
+
+def crc_table() -> list[int]:
+    """What CRC-32 does to each byte, by its polynomial."""
+    table = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        table.append(n)
+    return table
+
+
+def sql_crc(text: str) -> str:
+    """CRC-32 of a text's UTF-8 in DuckDB."""
+    codes = f"[CAST('0x' || x AS BIGINT) FOR x IN regexp_extract_all(hex(encode({text})), '..')]"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda c, x: xor(({crc_table()}::BIGINT[])[(xor(c, x) & 255) + 1], c >> 8)), 4294967295)"

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pinned, table
+from .common import pinned, sql_crc, table
 
 N_SHARDS = 8
 ROWS_PER_PARTITION = 1_000_000
@@ -43,21 +43,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def _crc_table() -> list[int]:
-    """What CRC-32 does to each byte, by its polynomial."""
-    table = []
-    for n in range(256):
-        for _ in range(8):
-            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
-        table.append(n)
-    return table
-
-
 ORACLE = f"""
-WITH t AS (SELECT {_crc_table()}::BIGINT[] AS k), b AS (
-  SELECT doc_id, [CAST('0x' || x AS BIGINT) FOR x IN regexp_extract_all(hex(encode(coalesce(text, ''))), '..')] AS bytes FROM documents
+WITH b AS (
+  SELECT doc_id, coalesce(text, '') AS text FROM documents
 ), c AS (
-  SELECT doc_id, CAST(len(bytes) + 1 AS BIGINT) AS size, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda c, x: xor(k[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) AS crc FROM b, t
+  SELECT doc_id, CAST(strlen(text) + 1 AS BIGINT) AS size, {sql_crc('text')} AS crc FROM b
 ), p AS (
   SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, crc, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before, sum(size) OVER () AS total, row_number() OVER (ORDER BY doc_id NULLS FIRST, crc, size) AS n FROM c
 ), s AS (

@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, table, word_array
+from .common import SPACE_CLASS, WORD_RE, sql_crc, table, word_array
 
 BINS = 1 << 16
 TRUSTED_ROWS = 20_000
@@ -60,15 +60,15 @@ def repeated_words(words: Column) -> Column:
 
 def gram_bins(words: Column, bins: int = BINS) -> Column:
     """The bins of a text's unigrams, then of its bigrams."""
-    of = lambda *w: F.pmod(F.xxhash64(*w), F.lit(bins)).cast("int")
+    of = lambda gram: F.pmod(F.crc32(gram), F.lit(bins)).cast("int")
     n = F.size(words)
-    pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: of(a, b))
+    pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: of(F.concat(a, F.lit(" "), b)))
     return F.concat(F.transform(words, lambda w: of(w)), pairs)
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id", rows: int = TRUSTED_ROWS) -> DataFrame:
     ids = labels.where((F.col("quality") == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_t")).distinct()
-    return ids.orderBy(F.xxhash64("_t"), "_t").limit(rows)
+    return ids.orderBy(F.md5(F.col("_t").cast("string")), "_t").limit(rows)
 
 
 def weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bins: int = BINS) -> DataFrame:
@@ -114,3 +114,34 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return judged(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
+ORACLE = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD_RE}') AS w FROM documents
+), u AS (
+  SELECT doc_id, unnest(w) AS x FROM d UNION ALL SELECT doc_id, w[i] || ' ' || w[i + 1] FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d)
+), h AS (
+  SELECT x, {sql_crc('x')} % {BINS} AS bin FROM (SELECT DISTINCT x FROM u)
+), ub AS (
+  SELECT doc_id, bin FROM u JOIN h USING (x)
+), trusted AS (
+  SELECT doc_id AS good FROM (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT {TRUSTED_ROWS}
+), c AS (
+  SELECT bin, count(*) AS r, count(good) AS g FROM ub LEFT JOIN trusted ON doc_id = good GROUP BY bin
+), v AS (
+  SELECT bin, CASE WHEN sum(g) OVER () > 0 THEN CAST(round(ln((CAST(g AS DOUBLE) + {SMOOTHING}::DOUBLE) / (CAST(r * sum(g) OVER () AS DOUBLE) / CAST(sum(r) OVER () AS DOUBLE) + {SMOOTHING}::DOUBLE)) * {UNITS}) AS BIGINT) ELSE 0 END AS weight FROM c
+), s AS (
+  SELECT doc_id, CAST(sum(weight) AS BIGINT) AS total FROM ub JOIN v USING (bin) GROUP BY doc_id
+), p AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + {WINDOW - 1}], ' ')) > 1 AS again FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW} + 2)) AS i FROM d)
+), q AS (
+  SELECT doc_id, count(*) AS repeated FROM (SELECT DISTINCT doc_id, unnest(range(i, i + {WINDOW})) AS j FROM p WHERE again) GROUP BY doc_id
+), m AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^{SPACE_CLASS}]')) AS l, coalesce(repeated, 0) AS n_repeat_words, total FROM d LEFT JOIN s ON d.doc_id = s.doc_id LEFT JOIN q ON d.doc_id = q.doc_id
+), f AS (
+  SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words AS base_failed, CASE WHEN n_words > 0 THEN CAST(total AS DOUBLE) / CAST(2 * n_words - 1 AS DOUBLE) / CAST({UNITS} AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS score FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed, score, NOT base_failed AND score >= {THRESHOLD} AS kept FROM f
+"""

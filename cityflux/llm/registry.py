@@ -19,5 +19,6 @@ ORACLES = {
     "op2_jaccard": op02_jaccard.ORACLE,
     "op7_sharding": op07_sharding.ORACLE,
     "op8_substrings": op08_substrings.ORACLE,
+    "op9_quality": op09_quality.ORACLE,
     "op10_chat": op10_chat.ORACLE,
 }

@@ -9,7 +9,6 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from cityflux.llm import op01_mixing as mixing
@@ -136,9 +135,7 @@ def repeated(words, n=5):
 
 
 def bins(words, size=quality.BINS):
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    h = lambda w, seed=42: xxhash.xxh64_intdigest(w.encode(), seed)
-    return [signed(h(w)) % size for w in words] + [signed(h(b, h(a))) % size for a, b in zip(words, words[1:], strict=False)]
+    return [zlib.crc32(g.encode()) % size for g in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))]]
 
 
 def test_quality_against_brute_force(spark, sf_dir):
