@@ -52,13 +52,17 @@ def weather(spark: SparkSession) -> DataFrame:
 
 
 def star(spark: SparkSession, d: str) -> Star:
-    events = read(spark, d, "events").where((F.col("ts") >= F.lit(START).cast("timestamp_ntz")) & (F.col("ts") < F.lit(END).cast("timestamp_ntz")))
-    zone = (F.col("user_id") % ZONES).cast("int")
-    amount = F.sum(S.money("value"))
-    trips = cells(events.where("event_type = 'purchase'"), "ts", zone, {"trips": F.count(F.lit(1)), "revenue": amount, "average_fare": F.round(S.ratio(amount, F.count("value")), 6), "average_distance": F.round(F.sum(F.col("event_id") % 100) / (F.count(F.lit(1)) * F.lit(10.0)), 6)})
-    complaints = cells(events.where("event_type = 'error'"), "ts", zone, {"complaints": F.count(F.lit(1))})
+    kinds = F.col("event_type").isin("purchase", "error")
+    events = read(spark, d, "events").where((F.col("ts") >= F.lit(START).cast("timestamp_ntz")) & (F.col("ts") < F.lit(END).cast("timestamp_ntz")) & kinds)
+    bought = F.col("event_type") == "purchase"
+    value, trips = F.when(bought, S.money("value")), F.count_if(bought)
+    measures = {
+        "trips": trips, "revenue": F.sum(value), "average_fare": F.round(S.ratio(F.sum(value), F.count(value)), 6), "average_distance": F.round(S.ratio(F.sum(F.when(bought, F.col("event_id") % 100)), trips * 10), 6),
+        "complaints": F.count_if(F.col("event_type") == "error"),
+    }
+    facts = cells(events, "ts", (F.col("user_id") % ZONES).cast("int"), measures)  # one scan for both kinds of facts
     z = zones(spark, d)
-    fact = dense_cube(grid(spark, START, END, z.select("zone_id")), [trips, complaints], weather(spark), zero=("trips", "complaints"))
+    fact = dense_cube(grid(spark, START, END, z.select("zone_id")), [facts], weather(spark), zero=("trips", "complaints"))
     return Star(fact.withColumn("revenue", F.coalesce("revenue", F.lit(0).cast("decimal(28,2)"))), z)
 
 
