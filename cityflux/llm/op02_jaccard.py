@@ -41,6 +41,8 @@ BAND = 4
 #: Bits of a parity sketch for sets below a size; a longer one folds to a shorter one.
 BITS = ((1024, 512), (8192, 4096), (1 << 62, 32768))
 CHUNK = 1024
+#: Of a chunk of classes whose links are counted: classes and shingles about, and cells of a matrix.
+LINK_CHUNK, LINK_SHINGLES, LINK_CELLS = 512, 1 << 20, 1 << 22
 
 
 def most_difference(n: int) -> int:
@@ -225,6 +227,55 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield frame(*_pairs_of(held))
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
+    for batch in batches:
+        sets = [_shingles(hashes, text.as_py()).tobytes() for text in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["c", "shingles"])
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The size of the intersection of each left set with each right one."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    sides = [(np.concatenate(x), np.repeat(np.arange(len(x)), [len(s) for s in x])) for x in (left, right)]
+    both = np.intersect1d(np.unique(sides[0][0]), np.unique(sides[1][0]), assume_unique=True)
+    found = []
+    for values, owner in sides:
+        at = np.minimum(np.searchsorted(both, values), max(0, len(both) - 1))
+        keep = both[at] == values if len(both) else np.zeros(len(values), bool)
+        at, owner = at[keep], owner[keep]
+        order = np.argsort(at, kind="stable")
+        found.append((at[order], owner[order]))
+    width = max(1, LINK_CELLS // max(len(left), len(right)))
+    for start in range(0, len(both), width):
+        size = min(width, len(both) - start)
+        parts = []
+        for (at, owner), sets in zip(found, (left, right), strict=True):
+            a, b = np.searchsorted(at, (start, start + size))
+            part = np.zeros((len(sets), size), np.float32)
+            part[owner[a:b], at[a:b] - start] = 1
+            parts.append(part)
+        out += (parts[0] @ parts[1].T).astype(np.int64)  # whole numbers below 2**24: exact
+    return out
+
+
+def _link_counts(group: pa.Table) -> pa.Table:
+    """(c, links) of one group: a chunk's classes among themselves, or those of two chunks across."""
+    c, n, copies, side = (group.column(k).to_numpy() for k in ("c", "n", "copies", "side"))
+    sets = [np.frombuffer(x.as_py(), U) for x in group.column("shingles")]
+    two = side.min() != side.max()
+    left = np.flatnonzero(side == 0) if two else np.arange(len(c))
+    right = np.flatnonzero(side == 1) if two else left
+    common = _common([sets[i] for i in left], [sets[i] for i in right])
+    ok = 100 * common >= SIMILARITY * (n[left][:, None] + n[right][None] - common)
+    if two:
+        where, links = np.concatenate((left, right)), np.concatenate((ok @ copies[right], copies[left] @ ok))
+    else:
+        np.fill_diagonal(ok, False)
+        where, links = left, ok @ copies
+    return pa.table({"c": pa.array(c[where], pa.int64()), "links": pa.array(links, pa.int64())})
+
+
 class _Join:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, scratch: Scratch):
         self.scratch, self.id, self.text = scratch, id_col, text_col
@@ -272,6 +323,18 @@ class _Join:
         rest = rest.join(self.classes.select("c", "sketch"), "c").select("key", "i", "j", "c", "n", "label", "side", "sketch")
         return rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across, "a long, b long").distinct()
 
+    def link_counts(self, labels: DataFrame) -> DataFrame:
+        """(c, links) of the classes that have links: how many rows of other classes each one links with."""
+        every = self.prepared.where("n > 0").groupBy("c").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+        members = pinned(every.join(labels.withColumnRenamed("node", "c"), "c"))
+        texts = self.docs.select("k", "text").join(members.select("c", "k"), "k").select("c", "text").dropDuplicates(["c"])
+        sets = texts.mapInArrow(_sets, "c long, shingles binary")
+        chunks = F.greatest(F.ceil(F.count(F.lit(1)) / LINK_CHUNK), F.ceil(F.sum("n") / LINK_SHINGLES)).cast("int")
+        rest = members.join(members.groupBy("label").agg(chunks.alias("chunks")), "label").join(sets, "c")
+        rest = rest.withColumn("i", F.pmod(F.xxhash64("c"), F.col("chunks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        rest = rest.select("label", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "c", "n", "copies", F.when(F.col("i") > F.col("j"), 1).otherwise(0).alias("side"), "shingles")
+        return rest.groupBy("label", "i", "j").applyInArrow(_link_counts, "c long, links long").groupBy("c").agg(F.sum("links").alias("links"))
+
 
 def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Rows (id, k row key, n, c class) and (node, label) of the classes that have links; both pinned."""
@@ -290,6 +353,22 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return out.select("id", "k", F.col("n").alias("n_shingles"), F.col("c").alias("class_id"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"), "label")
 
 
+def with_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, k (row key), n_shingles, class_id (smallest id with an equal set), component_id (smallest id), n_links (other rows at the similarity, copies too)."""
+    with Scratch(docs.sparkSession) as scratch:
+        join = _Join(docs, id_col, text_col, scratch)
+        labels = pinned(components(join.links()))
+        links = pinned(join.link_counts(labels))
+        rows = pinned(join.prepared.select("id", "k", "n", "c"))
+    classes = rows.where("n > 0").groupBy("c").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
+    classes = classes.join(labels.withColumnRenamed("node", "c"), "c", "left").join(links, "c", "left").withColumn("label", F.coalesce("label", "c"))
+    least = classes.groupBy("label").agg(F.min("class_id").alias("component_id"))
+    classes = classes.join(least, "label").select("c", "class_id", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    named = lambda x: F.when(F.col("n") > 0, F.col(x)).otherwise(F.col("id")).alias(x)
+    out = rows.join(classes, "c", "left")
+    return out.select("id", "k", F.col("n").alias("n_shingles"), named("class_id"), named("component_id"), F.when(F.col("n") > 0, F.col("n_links")).otherwise(0).alias("n_links"))
+
+
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group: the smallest id, ties by row key. Rows without words stay."""
     rows = grouped(docs, id_col, text_col).where("n_shingles > 0")
@@ -305,6 +384,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
+def links_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = with_links(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "class_id", "component_id", "n_links")
+
+
 ORACLE = rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -322,3 +406,16 @@ WITH RECURSIVE d AS (
 )
 SELECT r.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(root) AS component_id FROM r LEFT JOIN n ON r.doc_id = n.doc_id GROUP BY r.doc_id
 """
+LINKS_ORACLE = (
+    ORACLE[: ORACLE.rindex("SELECT r.doc_id")]
+    + """, e AS (
+  SELECT doc_id, min(doc_id) OVER (PARTITION BY g) AS class_id FROM (SELECT doc_id, string_agg(g, chr(10) ORDER BY g) AS g FROM s GROUP BY doc_id)
+), k AS (
+  SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY a
+), c AS (
+  SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id
+)
+SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(class_id, doc_id) AS class_id, component_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links
+FROM c LEFT JOIN n USING (doc_id) LEFT JOIN e USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+)

@@ -5,6 +5,7 @@ from . import op01_mixing, op02_jaccard, op03_matroska, op04_toxicity, op05_piec
 QUERIES = {
     "op1_mixing": op01_mixing.query,
     "op2_jaccard": op02_jaccard.query,
+    "op2_links": op02_jaccard.links_query,
     "op3_matroska": op03_matroska.query,
     "op4_toxicity": op04_toxicity.query,
     "op5_pieces": op05_pieces.query,
@@ -17,6 +18,7 @@ QUERIES = {
 ORACLES = {
     "op1_mixing": op01_mixing.ORACLE,
     "op2_jaccard": op02_jaccard.ORACLE,
+    "op2_links": op02_jaccard.LINKS_ORACLE,
     "op7_sharding": op07_sharding.ORACLE,
     "op8_substrings": op08_substrings.ORACLE,
     "op9_quality": op09_quality.ORACLE,

@@ -91,6 +91,33 @@ def test_groups_in_small_chunks(docs, rows, monkeypatch):
     assert got == brute_groups(rows)
 
 
+def brute_links(rows):
+    sets = {i: shingles(t) for i, t in rows}
+    first, links = {}, dict.fromkeys(sets, 0)
+    for i in sorted(sets):
+        first.setdefault(frozenset(sets[i]), i)
+    for a in sets:
+        for b in sets:
+            common = len(sets[a] & sets[b])
+            links[a] += a != b and bool(sets[a]) and 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common)
+    return {i: (first[frozenset(s)] if s else i, links[i]) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize("chunk", [jac.LINK_CHUNK, 7])
+def test_links_within_components_against_brute_force(docs, rows, monkeypatch, chunk):
+    monkeypatch.setattr(jac, "LINK_CHUNK", chunk)
+    got = jac.with_links(docs).collect()
+    assert {r["id"]: (r["class_id"], r["n_links"]) for r in got} == brute_links(rows)
+    assert {r["id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_groups(rows)
+
+
+def test_intersections_in_small_matrices(monkeypatch):
+    monkeypatch.setattr(jac, "LINK_CELLS", 12)
+    r = np.random.default_rng(3)
+    left, right = ([np.unique(r.integers(0, 60, int(n)).astype(np.uint64)) for n in r.integers(1, 40, 5)] for _ in range(2))
+    assert jac._common(left, right).tolist() == [[len(np.intersect1d(x, y)) for y in right] for x in left]
+
+
 def test_linked_sets_post_a_common_block():
     r = np.random.default_rng(8)
     for n in [4, 5, 7, 12, 15, 16, 17, 40, 63, 64, 65, 200, 256, 257, 1000]:
