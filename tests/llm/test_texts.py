@@ -246,6 +246,24 @@ def test_message_passing_shares_labels(field):
     assert q[0, 1] > one[0, 1]
 
 
+def test_pii_evidence_reaches_all_mentions():
+    field = pii.Field(np.zeros((pii.BUCKETS, pii.LABELS)), np.zeros((pii.LABELS, pii.LABELS)), 5 * np.eye(pii.LABELS))
+    field.unary[pii._bucket("bias")] = [0.02, 0, 0, 0, 0]
+    field.unary[pii._bucket("before mail")] = [0, 8, 0, 0, 0]
+    for text in ("mail x7" + " and then x7" * 13, "x7 and then " * 13 + "mail x7"):
+        spans = pii.tokens(text)
+        assert len(spans) == 14 and not pii._edges(text, spans)[0]
+        p = field.marginals(text, spans)
+        assert (p[:, 1] > 0.5).all()
+        own, w = np.exp(field.unary[np.array(pii._features(text, spans, {}))].sum(1)), np.exp(field.skip)
+        down, up = np.ones((14, pii.LABELS)), np.ones((14, pii.LABELS))
+        for i in range(1, 14):  # forward and backward, exact for a chain
+            down[i] = (own[i - 1] * down[i - 1]) @ w
+            up[13 - i] = w @ (own[14 - i] * up[14 - i])
+        exact = own * down * up
+        assert np.allclose(p, exact / exact.sum(1, keepdims=True))
+
+
 def test_pii_of_odd_rows(spark, odd, field):
     rows = pii.found(odd, field).collect()
     assert len(rows) == len(ROWS)
