@@ -35,10 +35,10 @@ from .shingles import U, WordHashes, mixed, rolling
 SPAN, K = 20, 10
 NO_ID = -(1 << 63)
 WORDS_AT_ONCE = 400_000
-#: Bytes of a window's hash, bits of a chunk position beside an anchor's hash, bits of a text's hash beside a start.
-WIDE, PLACE, TEXT = 5, 28, 24
-EDGE = struct_of("m long, d long, at long, o int, w binary")
-MARKED = struct_of("d long, t int, a long, b long")
+#: Bytes of a window's hash, bits of a chunk position beside an anchor's hash.
+WIDE, PLACE = 5, 28
+EDGE = struct_of("m long, d long, t long, at int, o int, w binary")
+MARKED = struct_of("d long, t long, a long, b long")
 
 
 def _edges(d: np.ndarray, t: np.ndarray, words: list[np.ndarray]) -> pa.RecordBatch:
@@ -71,7 +71,7 @@ def _edges(d: np.ndarray, t: np.ndarray, words: list[np.ndarray]) -> pa.RecordBa
     send = np.flatnonzero(~late)
     raw_bytes = window.view(np.uint8).reshape(-1, 8)[:, :WIDE]
     take = np.repeat(first[send], count[send]) + _ramp(count[send])
-    at = (start << TEXT) | t[row[s0]]
+    text = t[row[s0]]
     # runs of marked windows, one span each
     r, x, y = row[s0][late], start[late], (start + count)[late]
     cut = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (x[1:] != y[:-1])))) if len(r) else np.empty(0, np.int64)
@@ -83,7 +83,7 @@ def _edges(d: np.ndarray, t: np.ndarray, words: list[np.ndarray]) -> pa.RecordBa
     spread = mixed(d[r[cut]].astype(U)) if len(cut) else np.empty(0, U)
     return pa.RecordBatch.from_arrays([
         pa.array(np.concatenate((m[send], spread)).view(np.int64)), both(doc[send], d[r[cut]], np.int64),
-        both(at[send], (x[cut] << TEXT) | t[r[cut]], np.int64), both(o[send], y[last] - x[cut], np.int32), w,
+        both(text[send], t[r[cut]], np.int64), both(start[send], x[cut], np.int32), both(o[send], y[last] - x[cut], np.int32), w,
     ], names=EDGE.names)
 
 
@@ -114,16 +114,17 @@ def _map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Marker:
-    """Marks repeated windows in edges sorted by (m, d, at); keeps the first windows of the last anchor from batch to batch."""
+    """Marks repeated windows in edges sorted by (m, d, at, t); keeps the first windows of the last anchor from batch to batch."""
 
     def __init__(self) -> None:
         self.m, self.kept = None, None
 
     def __call__(self, batch: pa.RecordBatch) -> pa.RecordBatch:
-        m, d, at, o = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-        w = batch.column(4)
+        m, d, t, at, o = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+        at = at.astype(np.int64)
+        w = batch.column(5)
         done = w.is_null().to_numpy(zero_copy_only=False)
-        out = [(d[done], at[done] & ((1 << TEXT) - 1), at[done] >> TEXT, (at[done] >> TEXT) + o[done])]
+        out = [(d[done], t[done], at[done], at[done] + o[done])]
         live = np.flatnonzero(~done)
         if len(live):
             ml = m[live]
@@ -137,7 +138,7 @@ class _Marker:
             wide = np.zeros((len(i), 8), np.uint8)
             wide[:, :WIDE] = data[(ends[i] + k * WIDE)[:, None] + np.arange(WIDE)]
             key = mixed(wide.view(U).ravel() + (o[i] - k).astype(U) * U(1 << 60)) + m[i].view(U) * U(3)
-            doc, start, text, old = d[i], (at[i] >> TEXT) + k, at[i] & ((1 << TEXT) - 1), np.zeros(len(i), bool)
+            doc, start, text, old = d[i], at[i] + k, t[i], np.zeros(len(i), bool)
             mi = m[i]
             if self.kept is not None and self.m == ml[0]:
                 key, doc, start = (np.concatenate(p) for p in zip(self.kept, (key, doc, start), strict=True))
@@ -152,7 +153,7 @@ class _Marker:
             last = np.append(cut[1:], len(dd))[: len(cut)] - 1 if len(cut) else cut
             out.append((dd[cut], tt[cut], ss[cut], ss[last] + 1))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32 if k == 1 else np.int64)) for k, c in enumerate(cols)], names=MARKED.names)
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=MARKED.names)
 
 
 def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,14 +164,14 @@ def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.withColumns({"_d": F.coalesce(F.col(id_col), F.lit(NO_ID)), "_t": F.xxhash64(text_col).bitwiseAND((1 << TEXT) - 1).cast("int")})
+    return docs.withColumns({"_d": F.coalesce(F.col(id_col), F.lit(NO_ID)), "_t": F.xxhash64(text_col)})
 
 
 def marked_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Runs of windows that start earlier elsewhere: d (id), t (text key), first start a, behind the last start b."""
     rows = _keyed(docs, id_col, text_col).select("_d", "_t", text_col)
     edges = rows.mapInArrow(_map, EDGE)
-    return edges.repartition("m").sortWithinPartitions("m", "d", "at").mapInArrow(_reduce, MARKED)
+    return edges.repartition("m").sortWithinPartitions("m", "d", "at", "t").mapInArrow(_reduce, MARKED)
 
 
 def _spans(pairs: list[int] | None) -> list[list[int]]:

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cityflux.llm import components as cc
@@ -202,6 +203,19 @@ def test_substrings_against_brute_force(docs, rows, monkeypatch, at_once):
     assert any("0, '" not in g for g in got)
 
 
+def test_substrings_of_equal_ids_with_near_hashes(spark):
+    passage, other = (" ".join(f"{x}{i}" for i in range(sub.SPAN + 5)) for x in "pq")
+    low = F.xxhash64("text").bitwiseAND((1 << 24) - 1).alias("h")
+    some = spark.range(12000)
+    marked = some.select(F.concat(F.lit("z"), "id", F.lit(" " + passage)).alias("text")).select("text", low)
+    clean = some.select(F.concat(F.lit(other + " y"), "id").alias("text")).select(F.col("text").alias("clean"), F.xxhash64("text").bitwiseAND((1 << 24) - 1).alias("h"))
+    pair = marked.join(clean, "h").orderBy("text", "clean").first()
+    rows = [(1, passage), (7, pair["text"]), (7, pair["clean"])]
+    out = sub.deduped(spark.createDataFrame(rows, "doc_id long, text string"), full=True).collect()
+    removed = {r["kept"].split()[-1]: r["n_removed"] for r in out}
+    assert removed == {passage.split()[-1]: 0, pair["text"].split()[0]: sub.SPAN + 5, pair["clean"].split()[-1]: 0}
+
+
 def test_substrings_of_odd_rows(spark):
     r = random.Random(9)
     a, b = " ".join(words(r, 30)), " ".join(words(r, 25))
