@@ -471,11 +471,11 @@ def prediction_analysis(spark, d):
 
 @query("m08_forest_metrics")
 def forest(spark, d):
-    """Metrics of a small forest and of the weekly baseline after the cut, ranked."""
+    """Metrics of the forest and of the weekly baseline after the cut, ranked."""
     f = _features(spark, d)
     train, test = forecast.time_split(f, "2024-01-25")
     numeric = ["hour", "day_of_week", "temperature_c", "rain_mm", "trips_lag_1h", "trips_lag_24h", "trips_lag_168h", "complaints_lag_24h"]
-    model = forecast.pipeline(forecast.random_forest(trees=10, depth=6), numeric, ["weather_condition"]).fit(train)
+    model = forecast.pipeline(forecast.random_forest(), numeric, ["weather_condition"]).fit(train)
     return forecast.compared(model.transform(test), "trips", {"forest": "prediction", "weekly": "trips_lag_168h"})
 
 

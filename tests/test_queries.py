@@ -1,5 +1,6 @@
 import pytest
 
+from cityflux.operators import forecast
 from cityflux.plans.registry import ORACLES, QUERIES
 
 from .oracle import connect, same
@@ -24,3 +25,10 @@ def test_variants_agree(spark, sf_dir):
         x, y = QUERIES[a](spark, sf_dir), QUERIES[b](spark, sf_dir)
         assert x.exceptAll(y.select(*x.columns)).count() == 0
         assert x.count() == y.count()
+
+
+def test_the_forest_has_the_surveys_size(spark, sf_dir, monkeypatch):
+    made, forest = [], forecast.random_forest
+    monkeypatch.setattr(forecast, "random_forest", lambda **k: made.append(forest(**k)) or made[-1])
+    assert QUERIES["m08_forest_metrics"](spark, sf_dir).count() == 2
+    assert [(m.getNumTrees(), m.getMaxDepth()) for m in made] == [(50, 18)]
