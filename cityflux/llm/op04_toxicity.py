@@ -1,25 +1,29 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
-Input at a word: a word embedding plus the mean of its character n-gram embeddings (3 to 5 characters, with word marks),
-both hashed into fixed tables. Two gated recurrent layers run over a window of words, one each way; attention pools their
-states and a logistic output scores the window. Windows overlap and cover the whole text; a document's score is that of
-its highest window. All of it is numpy: training on the driver, scoring in the tasks.
-
-Training uses at most ``TRAIN_EACH`` documents of each class (least hashes first, at most ``TRAIN_CHARS`` characters), only
-of rows with crc32(id as text) mod 5 other than 0. Only the highest window of a document is trained on; in the first epochs a
-toxic document shows the window with the word that is most frequent in toxic documents compared with others. The output is
-shifted so that 0.5 separates the training classes best. The seed, the order and so the weights are fixed by the data.
+Input at a word: a word embedding plus the mean of its character n-gram embeddings (3 to 6 bytes, with word marks), both
+hashed into fixed tables. Two gated recurrent layers run over a window of words, one each way; attention pools their states
+and a logistic output scores the window. Windows of ``WINDOW`` words start every ``STRIDE`` words, half a window, and cover
+the whole text; a document's score is a logistic combination of its ``TOP`` highest windows that don't overlap and its
+length. All of it is numpy: training on the driver, scoring in the tasks.
+
+Training uses at most ``TRAIN_EACH`` documents of each class, least hashes first, as long as they have ``TRAIN_CHARS``
+characters together at most, whatever the length of each, and only rows with crc32(id as text) mod 5 other than 0. A step
+trains on the highest window of each document it draws, of the ``LEADING`` windows with the most telling words and
+``OTHERS`` at random; in the first rounds a toxic document shows the window whose words, or their n-grams, are most of toxic
+documents. For ``WORD_DROP`` of a batch's words the word table is left out, so that n-grams carry what unseen words show.
+The number of rounds, the combination and its cut are those that do best on folds of the training documents which a network
+hasn't seen; the cut counts a flagged clean document ``CLEAN_COST`` times. The seed, the order and so the weights are fixed
+by the data.
 
 A task computes a word's input once and keeps it in a table that starts anew at ``TABLE_WORDS`` words.
 
 Defined results: a null or blank text is one empty window; a null id counts as held out; repeated rows are scored alike;
-texts of any length are read whole; an empty table gives no rows; without labels of both classes the score is 0.5 below
-any threshold, that is 0; input columns that clash with output columns are replaced.
+texts of any length are read whole; an empty table gives no rows; without labels of both classes the score is 0; input
+columns that clash with output columns are replaced, other columns may have any name.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +34,16 @@ from pyspark.sql import types as T
 
 from .common import struct_of, table
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 WORD_ROWS, GRAM_ROWS, WIDTH, HIDDEN = 4096, 16384, 16, 8
-GRAMS = (3, 4, 5)
-TRAIN_EACH, TRAIN_CHARS = 800, 20_000
-EPOCHS, SEED_EPOCHS, BATCH, RATE = 5, 2, 32, 0.01
+GRAMS = (3, 4, 5, 6)
+TRAIN_EACH, TRAIN_CHARS = 800, 24_000_000
+ROUNDS, SEED_ROUNDS, ROUND_BATCHES, BATCH, RATE = 7, 3, 60, 32, 0.01
+FOLDS, WORD_DROP, DECAY, SMOOTH, CLEAN_COST, MEAN = 3, 0.8, 0.002, 4.0, 10, 0.98
+#: Windows that a document's score combines; logits are cut at ``FAR``, which also stands for windows that a text lacks.
+TOP, FAR, HEAD_DECAY = 3, 8.0, 0.001
+#: Of a long document's windows a training step looks at these many; scoring looks at all.
+LEADING, OTHERS = 8, 16
 TABLE_WORDS, WORDS_AT_ONCE, WINDOWS_AT_ONCE = 200_000, 200_000, 2048
 #: ASCII signs and digits part words.
 _PLAIN = bytes(c if chr(c).isalpha() or c >= 128 else 32 for c in range(256))
@@ -44,25 +53,29 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(_PLAIN).split()
 
 
-def word_inputs(words: list[bytes]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """Word rows; per n: (words that have n-grams, where theirs start, gram rows); gram counts."""
-    marked = b"".join(b"<" + w + b">" for w in words)
-    x = np.frombuffer(marked, np.uint8).astype(np.uint32)
+def gram_hashes(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per n: how many n-grams each word has, and their 32-bit hashes, word by word."""
+    x = np.frombuffer(b"".join(b"<" + w + b">" for w in words), np.uint8).astype(np.uint32)
     size = np.array([len(w) + 2 for w in words], np.int64)
-    start = np.cumsum(size) - size
-    left = np.repeat(size, size) - (np.arange(len(x)) - np.repeat(start, size))  # characters up to the word's end
-    per_n, total = [], np.zeros(len(words), np.int64)
+    left = np.repeat(size, size) - (np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size))  # characters up to the word's end
     h = np.full(len(x), 2166136261, np.uint32)
     for n in range(1, max(GRAMS) + 1):
-        size_n = len(x) - n + 1
+        size_n = max(0, len(x) - n + 1)
         h = (h[:size_n] ^ x[n - 1 :]) * np.uint32(16777619)
         if n in GRAMS:
-            g = h ^ (h >> np.uint32(15))
-            rows = (g * np.uint32(2654435761) >> np.uint32(18))[left[:size_n] >= n] % GRAM_ROWS
-            counts = np.maximum(size - n + 1, 0)
-            have = np.flatnonzero(counts)
-            per_n.append((have, np.cumsum(counts[have]) - counts[have], rows.astype(np.int64)))
-            total += counts
+            yield np.maximum(size - n + 1, 0), ((h ^ (h >> np.uint32(15))) * np.uint32(2654435761))[left[:size_n] >= n]
+
+
+def word_inputs(words: list[bytes]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
+    """Word rows; per n: (words that have n-grams, where theirs start, gram rows); gram counts."""
+    x = np.frombuffer(b"".join(b"<" + w + b">" for w in words), np.uint8).astype(np.uint32)
+    size = np.array([len(w) + 2 for w in words], np.int64)
+    start = np.cumsum(size) - size
+    per_n, total = [], np.zeros(len(words), np.int64)
+    for counts, hashes in gram_hashes(words):
+        have = np.flatnonzero(counts)
+        per_n.append((have, np.cumsum(counts[have]) - counts[have], ((hashes >> np.uint32(18)) % GRAM_ROWS).astype(np.int64)))
+        total += counts
     whole = np.bitwise_xor.reduceat(x * (np.arange(len(x), dtype=np.uint32) - np.repeat(start, size).astype(np.uint32) + np.uint32(1)) * np.uint32(2246822519), start) if len(words) else np.empty(0, np.uint32)
     whole = (whole ^ (whole >> np.uint32(13))) * np.uint32(3266489917)
     return ((whole >> np.uint32(16)) % WORD_ROWS).astype(np.int64), per_n, total
@@ -77,10 +90,10 @@ class Network:
 
     SHAPES = {"word": (WORD_ROWS, WIDTH), "gram": (GRAM_ROWS, WIDTH), "wx": (WIDTH, 6 * HIDDEN), "bx": (6 * HIDDEN,), "uf": (HIDDEN, 3 * HIDDEN), "ub": (HIDDEN, 3 * HIDDEN), "wa": (2 * HIDDEN, HIDDEN), "ba": (HIDDEN,), "va": (HIDDEN,), "wo": (2 * HIDDEN,), "bo": ()}
 
-    def __init__(self, weights: dict[str, np.ndarray] | None = None, shift: float = 0.0, known: bool = True):
+    def __init__(self, weights: dict[str, np.ndarray] | None = None, head: np.ndarray | None = None, known: bool = True):
         rng = np.random.default_rng(7)
         self.w = weights or {k: (rng.standard_normal(s) * (0.1 if k in ("word", "gram") else 0 if k[0] == "b" else s[0] ** -0.5)).astype(np.float32) for k, s in self.SHAPES.items()}
-        self.shift, self.known = shift, known
+        self.head, self.known = np.append(np.eye(1, TOP + 1)[0], 0) if head is None else head, known
 
     # inputs
 
@@ -162,8 +175,8 @@ class Network:
 
     # documents
 
-    def scores(self, logits: np.ndarray) -> np.ndarray:
-        return np.round(sigmoid(logits.astype(np.float64) - self.shift), 6) if self.known else np.zeros(len(logits))
+    def scores(self, features: np.ndarray) -> np.ndarray:
+        return np.round(sigmoid(features @ self.head[:-1] + self.head[-1]), 6) if self.known else np.zeros(len(features))
 
 
 def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,15 +214,26 @@ class Scorer:
             self.n += len(new)
         return np.fromiter(map(self.ids.__getitem__, flat), np.int64, len(flat))
 
-    def logits(self, texts: list[list[bytes]]) -> np.ndarray:
-        """The highest window's logit of each text."""
+    def features(self, texts: list[list[bytes]]) -> np.ndarray:
+        """Per text: the logits of its ``TOP`` highest windows that don't overlap, highest first, and its length."""
         flat, sizes = self._known(texts), np.array([len(t) for t in texts], np.int64)
         doc, first = windows(sizes)
-        out = np.full(len(texts), -np.inf, np.float32)
+        value = np.empty(len(doc), np.float64)
         for i in range(0, len(doc), WINDOWS_AT_ONCE):
             part = slice(i, i + WINDOWS_AT_ONCE)
             ids, real = window_ids(flat, sizes, doc[part], first[part])
-            np.maximum.at(out, doc[part], self.net.forward(self.a, ids, real))
+            value[part] = self.net.forward(self.a, ids, real)
+        value = np.clip(value, -FAR, FAR)
+        out = np.full((len(texts), TOP + 1), -FAR, np.float64)
+        out[:, TOP] = np.log1p(sizes)
+        for k in range(TOP):
+            order = np.lexsort((first, -value, doc))
+            lead = order[np.concatenate(([True], doc[order][1:] != doc[order][:-1]))] if len(order) else order
+            out[doc[lead], k] = value[lead]
+            at = np.full(len(texts), -WINDOW, np.int64)
+            at[doc[lead]] = first[lead]
+            free = np.abs(first - at[doc]) >= WINDOW
+            doc, first, value = doc[free], first[free], value[free]
         return out
 
     def scores(self, texts: Iterator[str | None]) -> np.ndarray:
@@ -218,78 +242,180 @@ class Scorer:
             held.append(words_of(text))
             size += len(held[-1])
             if size >= WORDS_AT_ONCE:
-                out.append(self.net.scores(self.logits(held)))
+                out.append(self.net.scores(self.features(held)))
                 held, size = [], 0
         if held:
-            out.append(self.net.scores(self.logits(held)))
+            out.append(self.net.scores(self.features(held)))
         return np.concatenate(out) if out else np.empty(0)
 
 
-def train(texts: list[str], labels: list[int]) -> Network:
-    docs = [words_of(t) for t in texts]
-    y = np.array(labels, np.float32)
-    if not len(y) or y.min() == y.max():
-        return Network(known=False)
-    seen, bad = Counter(), Counter()
+def _leanings(names: list[bytes], docs: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """How much each word, or the n-gram of it that leans most, is of toxic documents: its smoothed share of them."""
+    owners, keys = [np.arange(len(names))], [np.arange(len(names), dtype=np.int64)]
+    for n, (counts, hashes) in enumerate(gram_hashes(names), 1):
+        owners.append(np.repeat(np.arange(len(names)), counts))
+        keys.append(hashes.astype(np.int64) + (n << 33))
+    owner = np.concatenate(owners)
+    _, part = np.unique(np.concatenate(keys), return_inverse=True)
+    order = np.argsort(owner, kind="stable")
+    part, first = part[order], np.searchsorted(owner[order], np.arange(len(names) + 1))
+    seen, bad, share = np.zeros(part.max() + 1), np.zeros(part.max() + 1), float(labels.mean())
     for words, label in zip(docs, labels, strict=True):
-        for w in set(words):
-            seen[w] += 1
-            bad[w] += label
-    vocabulary = {w: i for i, w in enumerate(seen)}
-    names = list(vocabulary)
-    share = sum(labels) / len(labels)
-    lean = np.array([(bad[w] + 2 * share) / (seen[w] + 2) for w in names])
-    flat = [np.fromiter(map(vocabulary.__getitem__, d), np.int64, len(d)) for d in docs]
-    net, rng = Network(), np.random.default_rng(11)
-    m = {k: np.zeros_like(v) for k, v in net.w.items()}
-    v = {k: np.zeros_like(x) for k, x in net.w.items()}
-    step = 0
-    for epoch in range(EPOCHS):
-        order = rng.permutation(len(docs))
-        for i in range(0, len(order), BATCH):
-            part = order[i : i + BATCH]
-            sizes = np.array([len(flat[d]) for d in part], np.int64)
-            words, local = np.unique(np.concatenate([flat[d] for d in part]), return_inverse=True) if sizes.sum() else (np.zeros(1, np.int64), np.empty(0, np.int64))
-            x, (rows, per_n, total) = net.embed([names[w] for w in words])
-            a = net.project(x)
-            doc, first = windows(sizes)
-            ids, real = window_ids(local, sizes, doc, first)
-            value = net.forward(a, ids, real)
-            if epoch < SEED_EPOCHS:
-                hint = lean[words][ids] if real is None else np.where(real, lean[words][ids], 0)
-                value = np.where(y[part][doc] > 0, hint.max(1) * 100, value)
-            best = np.lexsort((-value, doc))
-            best = best[np.concatenate(([True], doc[best][1:] != doc[best][:-1]))]
-            ids, real = ids[best], None if real is None else real[best]
-            logit, saved = net.forward(a, ids, real, keep=True)
-            d = ((sigmoid(logit) - y[part]) / len(part)).astype(np.float32)
-            g, da = net.gradients(a, ids, real, d, saved)
-            g["wx"], g["bx"] = x.T @ da, da.sum(0)
-            dx = da @ net.w["wx"].T
-            g["word"], g["gram"] = np.zeros_like(net.w["word"]), np.zeros_like(net.w["gram"])
-            used = np.flatnonzero(np.abs(da).sum(1))
-            np.add.at(g["word"], rows[used], dx[used])
-            each = dx / np.maximum(total, 1)[:, None].astype(np.float32)
-            hit = np.zeros(len(words), bool)
-            hit[used] = True
-            for have, starts, grams in per_n:
-                owner = np.repeat(have, np.diff(np.append(starts, len(grams))))
-                keep = hit[owner]
-                np.add.at(g["gram"], grams[keep], each[owner[keep]])
-            step += 1
-            for k in net.w:
-                m[k] = 0.9 * m[k] + 0.1 * g[k]
-                v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
-                net.w[k] = (net.w[k] - RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-    logits = Scorer(net).logits(docs).astype(np.float64)
+        words = np.unique(words)
+        counts = first[words + 1] - first[words]
+        held = np.unique(part[np.repeat(first[words], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)])
+        seen[held] += 1
+        bad[held] += label
+    lean = (bad + SMOOTH * share) / (seen + SMOOTH)
+    return np.maximum.reduceat(lean[part], first[:-1])
+
+
+class _Trainer:
+    """Documents as numbers of distinct words, their leanings, and one network in training."""
+
+    def __init__(self, docs: list[list[bytes]], y: np.ndarray):
+        vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for d in docs for w in d))}
+        self.names, self.y, self.docs = list(vocabulary), y, docs
+        self.flat = [np.fromiter(map(vocabulary.__getitem__, d), np.int64, len(d)) for d in docs]
+        self.lean = _leanings(self.names, self.flat, y) if self.names else np.zeros(1)
+        self.net, self.rng, self.step = Network(), np.random.default_rng(11), 0
+        self.leading = [self._leading(f) for f in self.flat]
+        self.m = {k: np.zeros_like(v) for k, v in self.net.w.items()}
+        self.v = {k: np.zeros_like(v) for k, v in self.net.w.items()}
+        self.mean = {k: v.astype(np.float64) for k, v in self.net.w.items()}
+
+    def _leading(self, flat: np.ndarray) -> np.ndarray:
+        """A document's first words of windows, those with the most leaning word first."""
+        _, first = windows(np.array([len(flat)]))
+        if len(flat) <= WINDOW:
+            return first
+        high = np.lib.stride_tricks.sliding_window_view(self.lean[flat], WINDOW)[first].max(1)
+        return first[np.argsort(-high, kind="stable")]
+
+    def round(self, seeded: bool) -> None:
+        """Whole passes over the documents, in ``ROUND_BATCHES`` batches at least."""
+        done = 0
+        while done < ROUND_BATCHES:
+            order = self.rng.permutation(len(self.flat))
+            for i in range(0, len(order), BATCH):
+                self._batch(order[i : i + BATCH], seeded)
+                done += 1
+
+    def _tried(self, d: int, seeded: bool) -> np.ndarray:
+        """The windows of a document that a step looks at: those with the most leaning words, and others at random."""
+        first = self.leading[d]
+        if seeded and self.y[d] > 0:
+            return first[:1]
+        if len(first) <= LEADING + OTHERS:
+            return first
+        return np.concatenate((first[:LEADING], self.rng.choice(first[LEADING:], OTHERS, replace=False)))
+
+    def _batch(self, part: np.ndarray, seeded: bool) -> None:
+        net, y = self.net, self.y[part]
+        tried = [self._tried(d, seeded) for d in part]
+        doc, first = np.repeat(np.arange(len(part)), [len(t) for t in tried]), np.concatenate(tried)
+        sizes = np.array([len(self.flat[d]) for d in part], np.int64)
+        ids, real = window_ids(np.concatenate([self.flat[d] for d in part]), sizes, doc, first)
+        words, ids = np.unique(ids, return_inverse=True)
+        ids = ids.reshape(real.shape if real is not None else (len(doc), WINDOW))
+        x, (rows, per_n, total) = net.embed([self.names[w] for w in words] if self.names else [b""])
+        value = net.forward(net.project(x), ids, real)
+        best = np.lexsort((-value, doc))
+        best = best[np.concatenate(([True], doc[best][1:] != doc[best][:-1]))]
+        ids, real = ids[best], None if real is None else real[best]
+        # the word table is dropped for some words, so that n-grams learn what unseen words can show too
+        known = self.rng.random(len(words)) >= WORD_DROP
+        x = x - net.w["word"][rows] * ~known[:, None]
+        a = net.project(x)
+        logit, saved = net.forward(a, ids, real, keep=True)
+        weight = np.where(y > 0, self.balance, 1).astype(np.float32)
+        d = ((sigmoid(logit) - y) * weight / weight.sum()).astype(np.float32)
+        g, da = net.gradients(a, ids, real, d, saved)
+        g["wx"], g["bx"] = x.T @ da, da.sum(0)
+        dx = da @ net.w["wx"].T
+        g["word"], g["gram"] = np.zeros_like(net.w["word"]), np.zeros_like(net.w["gram"])
+        hit = np.abs(da).sum(1) > 0
+        used = np.flatnonzero(hit & known)
+        np.add.at(g["word"], rows[used], dx[used])
+        each = dx / np.maximum(total, 1)[:, None].astype(np.float32)
+        for have, starts, grams in per_n:
+            owner = np.repeat(have, np.diff(np.append(starts, len(grams))))
+            keep = hit[owner]
+            np.add.at(g["gram"], grams[keep], each[owner[keep]])
+        self.step += 1
+        for k in net.w:
+            self.m[k] = 0.9 * self.m[k] + 0.1 * g[k]
+            self.v[k] = 0.99 * self.v[k] + 0.01 * g[k] ** 2
+            move = RATE * (self.m[k] / (1 - 0.9**self.step)) / (np.sqrt(self.v[k] / (1 - 0.99**self.step)) + 1e-6)
+            net.w[k] = (net.w[k] * (1 - (DECAY if k in ("word", "gram") else 0)) - move).astype(np.float32)
+            self.mean[k] += (1 - MEAN) * (net.w[k] - self.mean[k])
+
+    def averaged(self) -> Network:
+        """The network of the running mean of the weights, which a single step moves little."""
+        return Network({k: v.astype(np.float32) for k, v in self.mean.items()})
+
+    @property
+    def balance(self) -> float:
+        return float((self.y == 0).sum() / max(1, (self.y > 0).sum()))
+
+
+def _loss(logits: np.ndarray, y: np.ndarray) -> float:
+    """Mean logistic loss, both classes alike."""
+    each = np.logaddexp(0, np.where(y > 0, -logits, logits))
+    return float(np.mean([each[y == c].mean() for c in (0, 1) if (y == c).any()]))
+
+
+def _head(features: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A logistic combination of a document's features, both classes alike; windows never count against a document."""
+    x = np.column_stack((features, np.ones(len(y))))
+    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum()))
+    w = np.append(np.full(TOP, 0.3), (0, 0))
+    for _ in range(3000):
+        slope = x.T @ (weight * (sigmoid(x @ w) - y)) + HEAD_DECAY * np.append(w[:-1], 0)
+        w -= 0.05 * slope
+        w[:TOP] = np.maximum(w[:TOP], 0)
+    return w
+
+
+def _best_cut(logits: np.ndarray, y: np.ndarray) -> float:
+    """The middle of the cuts with the most toxic documents found, each share of clean ones flagged counting ``CLEAN_COST`` times."""
     ranked = np.argsort(logits, kind="stable")
     positive = y[ranked] > 0
-    # balanced accuracy of each cut, the cut being between neighbours
-    right = np.concatenate(([0], np.cumsum(~positive))) / max(1, (~positive).sum()) + np.concatenate((np.cumsum(positive[::-1])[::-1], [0])) / positive.sum()
-    cuts = np.flatnonzero(right == right.max())
+    right = CLEAN_COST * np.concatenate(([0], np.cumsum(~positive))) / max(1, (~positive).sum()) + np.concatenate((np.cumsum(positive[::-1])[::-1], [0])) / positive.sum()
+    cuts = np.flatnonzero(right >= right.max() - 1e-9)
     edge = np.concatenate(([logits[ranked[0]] - 1], logits[ranked], [logits[ranked[-1]] + 1]))
     cut = cuts[len(cuts) // 2]
-    net.shift = float((edge[cut] + edge[cut + 1]) / 2)
+    return float((edge[cut] + edge[cut + 1]) / 2)
+
+
+def train(texts: list[str], labels: list[int]) -> Network:
+    """A network; its rounds and its cut are those that are best on folds of the documents that a network hasn't seen."""
+    docs, y = [words_of(t) for t in texts], np.array(labels, np.float32)
+    if not len(y) or y.min() == y.max():
+        return Network(known=False)
+    place = np.empty(len(y), np.int64)
+    for label in (0, 1):  # each fold has its share of both classes
+        at = np.flatnonzero(y == label)
+        place[at] = np.arange(len(at)) % FOLDS
+    unseen = np.zeros((ROUNDS, len(y), TOP + 1))
+    for fold in range(FOLDS):
+        own, rest = np.flatnonzero(place != fold), np.flatnonzero(place == fold)
+        if not len(rest) or len(set(y[own])) < 2:
+            continue
+        trainer = _Trainer([docs[i] for i in own], y[own])
+        for k in range(ROUNDS):
+            trainer.round(k < SEED_ROUNDS)
+            if k + 1 >= SEED_ROUNDS:
+                unseen[k, rest] = Scorer(trainer.averaged()).features([docs[i] for i in rest])
+    heads = [_head(u, y) for u in unseen[SEED_ROUNDS - 1 :]]
+    best = int(np.argmin([_loss(u @ h[:-1] + h[-1], y) for u, h in zip(unseen[SEED_ROUNDS - 1 :], heads, strict=True)]))
+    trainer = _Trainer(docs, y)
+    for k in range(SEED_ROUNDS + best):
+        trainer.round(k < SEED_ROUNDS)
+    head = heads[best]
+    head[-1] -= _best_cut(unseen[SEED_ROUNDS - 1 + best] @ head[:-1] + head[-1], y)
+    net = trainer.averaged()
+    net.head = head
     return net
 
 
@@ -297,17 +423,24 @@ def remainder(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5, F.lit(0))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", each: int = TRAIN_EACH) -> Network:
-    """A network trained on at most ``each`` documents of each class."""
-    own = labels.where(remainder(id_col) != 0).where(F.col("toxic").isin(0, 1)).groupBy(F.col(id_col).alias("_i")).agg(F.max("toxic").alias("_y"))
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", each: int = TRAIN_EACH, chars: int = TRAIN_CHARS) -> Network:
+    """A network trained on at most ``each`` documents of each class and ``chars`` characters in all."""
+    own = labels.where(remainder(id_col) != 0).where(F.col("toxic").isin(0, 1)).select(F.col(id_col).alias("_i"), F.col("toxic").alias("_y")).groupBy("_i").agg(F.max("_y").alias("_y"))
     chosen = None
     for y in (0, 1):
         part = own.where(F.col("_y") == y).orderBy(F.xxhash64("_i"), "_i").limit(each)
         chosen = part if chosen is None else chosen.unionAll(part)
-    short = docs.where(F.length(text_col) <= TRAIN_CHARS).join(F.broadcast(chosen), F.col(id_col) == F.col("_i"))  # 2 x each rows at most
-    rows = short.groupBy("_i", "_y").agg(F.min(text_col).alias("t")).collect()
+    texts = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t")).join(F.broadcast(chosen), "_i")  # 2 x each rows at most
+    texts = texts.groupBy("_i", "_y").agg(F.min("_t").alias("_t")).where("_t is not null")
+    total, most = 0, None
+    for row in sorted(texts.select(F.xxhash64("_i").alias("h"), F.length("_t").alias("n")).collect()):
+        total += row["n"]
+        if total > chars:
+            break
+        most = row["h"]
+    rows = texts.where(F.xxhash64("_i") <= F.lit(most)).collect() if most is not None else []
     rows.sort(key=lambda r: r["_i"])
-    return train([r["t"] for r in rows], [r["_y"] for r in rows])
+    return train([r["_t"] for r in rows], [r["_y"] for r in rows])
 
 
 DIGEST = struct_of("held_out boolean, score double, predicted int")
@@ -316,7 +449,7 @@ DIGEST = struct_of("held_out boolean, score double, predicted int")
 def scored(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without its text, with held_out, score and predicted."""
     rest = [f for f in docs.schema.fields if f.name != text_col and f.name not in DIGEST.names]
-    shared = docs.sparkSession.sparkContext.broadcast((net.w, net.shift, net.known))  # tables of fixed size
+    shared = docs.sparkSession.sparkContext.broadcast((net.w, net.head, net.known))  # tables of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(Network(*shared.value))

@@ -1,10 +1,12 @@
 """Matroska, pieces, toxicity, PII."""
 
 import hashlib
+import math
 import random
 import re
 import struct
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -135,6 +137,72 @@ def test_gradients_match_differences():
         assert abs((up - down) / (2 * eps) - grad[i]) < 2e-3
 
 
+def test_forward_pass_in_plain_python():
+    net, r = tox.Network(), random.Random(6)
+    words = [b"".join(r.choice([b"an", b"er", b"\xc3\xa9", b"th"]) for _ in range(r.randint(1, 5))) for _ in range(21)]
+    w, n = {k: v.astype(float).tolist() for k, v in net.w.items()}, tox.HIDDEN
+    sig, dot = (lambda x: 1 / (1 + math.exp(-x))), (lambda x, m, j: sum(a * row[j] for a, row in zip(x, m, strict=True)))
+
+    def inputs(word):
+        rows, per_n, _ = tox.word_inputs([word])
+        grams = [g for _, _, found in per_n for g in found]
+        x = [v + sum(w["gram"][g][i] for g in grams) / max(1, len(grams)) for i, v in enumerate(w["word"][rows[0]])]
+        return [dot(x, w["wx"], j) + w["bx"][j] for j in range(6 * n)]
+
+    def layer(xs, u, at):
+        h, out = [0.0] * n, []
+        for x in xs:
+            hu = [dot(h, u, j) for j in range(3 * n)]
+            z = [sig(x[at + j] + hu[j]) for j in range(n)]
+            new = [math.tanh(x[at + 2 * n + j] + sig(x[at + n + j] + hu[n + j]) * hu[2 * n + j]) for j in range(n)]
+            h = [z[j] * h[j] + (1 - z[j]) * new[j] for j in range(n)]
+            out.append(h)
+        return out
+
+    xs = [inputs(x) for x in words]
+    both = [f + b for f, b in zip(layer(xs, w["uf"], 0), layer(xs[::-1], w["ub"], 3 * n)[::-1], strict=True)]
+    heed = [math.exp(sum(math.tanh(dot(s, w["wa"], j) + w["ba"][j]) * w["va"][j] for j in range(n))) for s in both]
+    pooled = [sum(a * s[j] for a, s in zip(heed, both, strict=True)) / sum(heed) for j in range(2 * n)]
+    want = sum(a * b for a, b in zip(pooled, w["wo"], strict=True)) + w["bo"]
+    assert abs(tox.Scorer(net).features([words])[0, 0] - want) < 1e-4
+
+
+def test_features_are_the_highest_apart_windows():
+    net, r = tox.Network(), random.Random(8)
+    text = [bytes([97 + r.randrange(26), 97 + r.randrange(26)]) for _ in range(300)]
+    got = tox.Scorer(net).features([text, text[:5], []])
+    _, firsts = tox.windows(np.array([300]))
+    one = {int(f): float(tox.Scorer(net).features([text[f : f + tox.WINDOW]])[0, 0]) for f in firsts}
+    want, free = [], dict(one)
+    for _ in range(tox.TOP):
+        best = max(free, key=lambda f: (free[f], -f))
+        want.append(free[best])
+        free = {f: v for f, v in free.items() if abs(f - best) >= tox.WINDOW}
+    assert np.allclose(got[0], [*want, math.log1p(300)], atol=1e-5)
+    assert (got[1:, 1 : tox.TOP] == -tox.FAR).all()
+
+
+def test_held_out_documents(spark):
+    folder = Path("/root/testdata/sf0.01")
+    if not folder.exists():
+        pytest.skip("no test tables")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    rows = tox.scored(docs.select("doc_id", "text"), tox.fitted(docs, labels)).join(labels, "doc_id").where("toxic is not null").collect()
+    found = lambda held, y: [r["predicted"] for r in rows if r["held_out"] == held and r["toxic"] == y]
+    assert np.mean(found(False, 1)) >= 0.9
+    assert np.mean(found(True, 0)) <= 0.1
+    assert np.mean(found(True, 1)) >= 0.5  # six documents only
+
+
+def test_columns_with_the_names_that_training_uses(spark):
+    docs = spark.createDataFrame([(i, f"{'bad idiot' if i % 2 else 'good'} word {i}", 1, 2, 3) for i in range(30)], "doc_id long, text string, _i int, _y int, _t int")
+    labels = spark.createDataFrame([(i, i % 2, 0, 0) for i in range(30)], "doc_id long, toxic int, _i int, _y int")
+    net = tox.fitted(docs, labels)
+    assert net.known
+    assert tox.scored(docs, net).columns == ["doc_id", "_i", "_y", "_t", "score", "predicted", "held_out"]
+    assert not tox.fitted(docs, labels, chars=5).known
+
+
 def test_windows_cover_every_word():
     sizes = np.array([0, 1, 31, 32, 33, 56, 57, 500])
     doc, first = tox.windows(sizes)
@@ -181,7 +249,7 @@ def test_labels_of_held_out_rows_are_not_used(spark, sf_dir):
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     flipped = labels.withColumn("toxic", F.when(tox.remainder("doc_id") == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = tox.fitted(docs, labels, each=20), tox.fitted(docs, flipped, each=20)
-    assert a.shift == b.shift
+    assert np.array_equal(a.head, b.head)
     assert all(np.array_equal(a.w[k], b.w[k]) for k in a.w)
 
 
