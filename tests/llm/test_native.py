@@ -226,6 +226,48 @@ def test_layouts(spark):
         chat.canonical_turns(spark.range(1), "id")
 
 
+def test_no_record_is_lost(spark):
+    user = ("user", "a")
+    cases = [
+        ({"messages": [{"role": "user", "content": None}]}, [("user", None)]), ({"messages": []}, []), ({"messages": None, "id": 1}, []),
+        ({"messages": [{"role": "user", "content": "a"}], "prompt": "a"}, [user]), ({"messages": [{"role": "assistant", "content": "b"}], "prompt": "a"}, [user, ("assistant", "b")]),
+        ({"messages": [], "prompt": "a"}, [user]), ({"prompt": None, "messages": [{"role": "user", "content": "a"}]}, [user]),
+        ({"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "image", "url": "u"}, "c"]}, {"role": "assistant", "content": "b"}]}, [("user", "a\n[image]\nc"), ("assistant", "b")]),
+        ({"messages": [{"role": "user"}, {"role": None, "content": "b", "name": "x"}]}, [("user", None), (None, "b")]), ({"conversations": [{"from": "gpt", "value": 5}], "text": "x", "role": "y", "turn": 1}, [("assistant", "5")]),
+        ({"prompt": None, "response": None}, [("user", ""), ("assistant", "")]), ({"prompt": "a", "response": "b", "meta": {"input": [1, {"output": 2}]}}, [user, ("assistant", "b")]),
+    ]
+    lost = ["{", "[1]", "5", None, "{}", json.dumps({"messages": [{"role": "user"}]}), json.dumps({"prompt": "a", "answer": "b"})]
+    rows = [(i, json.dumps(r)) for i, (r, _) in enumerate(cases)] + [(None, x) for x in lost] + [(None, json.dumps(cases[3][0]))]
+    df = spark.createDataFrame(rows, "id long, j string")
+    got = defaultdict(list)
+    for r in chat.record_turns(df, "id", "j").orderBy("conv", "turn").collect():
+        got[r["conv"]].append((r["role"], r["text"]))
+    assert got.pop(None) == [user]
+    assert got == {i: want for i, (_, want) in enumerate(cases) if want}
+    assert [r["conv"] for r in chat.unmapped(df, "id", "j").collect()] == [None] * len(lost)
+    assert chat.unmapped(df.limit(0), "id", "j").count() == 0
+
+
+def test_tables_with_clashing_and_nested_columns(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "a", "x", "y", "z", [1])], "conv long, turn long, role string, text string, input string, prompt string, output string, messages array<int>")
+    assert [tuple(r) for r in chat.canonical_turns(rows, "conv").collect()] == [(1, 0, "user", "a")]
+    parts = "id long, prompt string, messages array<struct<role: string, content: array<struct<type: string, text: string>>>>"
+    table = spark.createDataFrame([(1, "q", [("user", [("text", "a"), ("image", None)]), ("assistant", None)]), (2, None, None), (3, "a", [("user", [("text", "a")])])], parts)
+    got = [tuple(r) for r in chat.canonical_turns(table, "id").orderBy("conv", "turn").collect()]
+    assert got == [(1, 0, "user", "q"), (1, 1, "user", "a\n[image]"), (1, 2, "assistant", None), (3, 0, "user", "a")]
+    wide = spark.createDataFrame([(1, "a", "b", "c")], "id long, prompt string, response string, answer string")
+    assert [tuple(r) for r in chat.canonical_turns(wide, "id").collect()] == [(1, 0, "user", "a"), (1, 1, "assistant", "b")]
+
+
+def test_the_loss_mask_covers_assistant_texts_alone(spark):
+    rows = [(c, i, r, t) for c in (1, 2) for i, (r, t) in enumerate((r, t) for r in ("user", "assistant", "a\nb\\") for t in HARD)]
+    turns = spark.createDataFrame(rows, "conv long, turn long, role string, text string")
+    for row in chat.formatted(turns).collect():
+        under = [row["formatted"][m["start"] : m["end"]] for m in row["loss_mask"]]
+        assert [chat._UNESCAPE.sub(r"<\1|", x) for x in under] == HARD
+        assert all(row["formatted"][: m["start"]].endswith(f"{chat.OPEN}assistant\n") and row["formatted"][m["end"] :].startswith(chat.CLOSE) for m in row["loss_mask"])
+
+
 def test_chat_of_odd_rows(spark):
     rows = [(None, 0, "user", "x"), (1, None, "assistant", None), (1, 0, None, "y"), (1, 0, None, "y"), (2, 5, "assistant", "z" * 100000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("segment", F.lit("clash"))
