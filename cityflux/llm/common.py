@@ -29,10 +29,12 @@ def word_array(text: Column | str) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``; where it is unset, as in local tests, a new one."""
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``; where it is unset, a new one, which only a local master can have."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: on a cluster it must name a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='cityflux-')}"
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
@@ -45,6 +47,22 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A key with this share of all rows or more counts as hot.
+HOT_SHARE = 1000
+
+
+def looked_up(rows: DataFrame, facts: DataFrame, key: str, weight: str) -> DataFrame:
+    """``rows`` left-joined with ``facts``, which has one row per key and in ``weight`` how many of the rows have it.
+
+    Keys with a ``HOT_SHARE``-th of all rows or more, of which there are ``HOT_SHARE`` at most, are broadcast, so their rows
+    stay where they are; all others are joined by a shuffle. Both sides are read twice, so they should be stored.
+    """
+    total = facts.agg(F.sum(weight)).first()[0] or 0
+    hot = F.broadcast(facts.where(F.col(weight) * HOT_SHARE >= total).drop(weight))  # HOT_SHARE rows at most
+    cold = facts.where(F.col(weight) * HOT_SHARE < total).drop(weight)
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(cold, key, "left"))
+
+
 class Scratch:
     """Tables in the shared folder that live as long as the ``with`` block; for steps that are over when the operator returns."""
 

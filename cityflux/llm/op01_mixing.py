@@ -29,8 +29,9 @@ SEED = "mix-1"
 BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 1024, 64, 65536
 
 
-def _key(doc_id: str) -> Column:
-    return F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))))
+def _key(doc_id: str, text: str) -> Column:
+    """By id and text, so that rows with one id, null above all, spread over the buckets too."""
+    return F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(F.col(text), F.lit("")))))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHT_CYCLE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -62,7 +63,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = rows.withColumns({
         "size": F.size(word_array(text_col)).cast("long"),
         "_s": F.coalesce(F.concat(F.lit("0"), F.col(source_col)), F.lit("1")),  # sorts nulls last
-        "_key": _key(id_col),
+        "_key": _key(id_col, text_col),
         "_text": F.xxhash64(text_col),  # rows alike in id and size
     })
     rows = rows.withColumn("_b", F.floor(F.conv(F.substring("_key", 1, 4), 16, 10).cast("int") * F.lit(buckets) / 65536).cast("int"))
@@ -103,7 +104,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = f"""
 WITH d AS (
-  SELECT doc_id, text, coalesce('0' || source, '1') AS s, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k,
+  SELECT doc_id, text, coalesce('0' || source, '1') AS s, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS k,
          CAST(coalesce(len(regexp_extract_all(text, '{WORD_RE}')), 0) AS BIGINT) AS size FROM documents
 ), t AS (
   SELECT s, CAST(sum(size) AS BIGINT) AS total, CAST((row_number() OVER (ORDER BY s) - 1) % 3 + 1 AS BIGINT) AS w FROM d GROUP BY s

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, pinned, struct_of, table
+from .common import Scratch, looked_up, pinned, struct_of, table
 from .components import components
 from .shingles import U, WordHashes, mixed, shingle_set
 
@@ -344,13 +344,27 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pinned(join.prepared.select("id", "k", "n", "c")), labels
 
 
+def _by_class(rows: DataFrame, labels: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """Per class: c, label, class_id and component_id (smallest ids), copies, and n_links with ``links``; pinned."""
+    classes = rows.where("n > 0").groupBy("c").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
+    classes = classes.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
+    if links is not None:
+        classes = classes.join(links, "c", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("links", F.lit(0))).drop("links")
+    classes = pinned(classes)
+    least = pinned(classes.groupBy("label").agg(F.min("class_id").alias("component_id"), F.count(F.lit(1)).alias("_classes")))
+    return pinned(looked_up(classes, least, "label", "_classes"))
+
+
+def _with_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows with their class's columns; rows without words stay out of the join."""
+    return looked_up(rows.where("n > 0"), classes, "c", "copies").unionByName(rows.where("n = 0").withColumn("label", F.col("c")), allowMissingColumns=True)
+
+
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, k (row key), n_shingles, class_id (hash of the set), component_id (smallest id)."""
     rows, labels = linked_classes(docs, id_col, text_col)
-    rows = rows.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
-    least = rows.where("n > 0").groupBy("label").agg(F.min("id").alias("least"))
-    out = rows.join(least, "label", "left")
-    return out.select("id", "k", F.col("n").alias("n_shingles"), F.col("c").alias("class_id"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"), "label")
+    out = _with_classes(rows, _by_class(rows, labels).drop("class_id"))
+    return out.select("id", "k", F.col("n").alias("n_shingles"), F.col("c").alias("class_id"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), "label")
 
 
 def with_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -360,12 +374,8 @@ def with_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         labels = pinned(components(join.links()))
         links = pinned(join.link_counts(labels))
         rows = pinned(join.prepared.select("id", "k", "n", "c"))
-    classes = rows.where("n > 0").groupBy("c").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
-    classes = classes.join(labels.withColumnRenamed("node", "c"), "c", "left").join(links, "c", "left").withColumn("label", F.coalesce("label", "c"))
-    least = classes.groupBy("label").agg(F.min("class_id").alias("component_id"))
-    classes = classes.join(least, "label").select("c", "class_id", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     named = lambda x: F.when(F.col("n") > 0, F.col(x)).otherwise(F.col("id")).alias(x)
-    out = rows.join(classes, "c", "left")
+    out = _with_classes(rows, _by_class(rows, labels, links))
     return out.select("id", "k", F.col("n").alias("n_shingles"), named("class_id"), named("component_id"), F.when(F.col("n") > 0, F.col("n_links")).otherwise(0).alias("n_links"))
 
 
