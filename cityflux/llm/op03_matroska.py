@@ -2,12 +2,14 @@
 
 ``packets`` parses a file: variable-length element ids and sizes (unknown sizes too), tracks, clusters, simple blocks and
 block groups, all four lacings, and cues. It gives one row per frame: track, timestamp, byte range in the file, keyframe
-flag, lacing and cluster. ``store`` writes bytes losslessly as 8-bit samples, one frame per ``FRAME`` bytes, laced into
+flag, lacing, cluster and the encoding of its track: bytes to put in front (header stripping) or deflate. ``store`` writes bytes losslessly as 8-bit samples, one frame per ``FRAME`` bytes, laced into
 blocks; ``read`` gets them back through the packet table. All work is per row and per file; nothing is shuffled.
 
 Defined results: a null text or file is empty (an empty file has no packets); repeated rows, null ids and long texts are
-rows like any other; an empty table gives no rows; input columns that clash with output columns are replaced; a file that
-breaks the format raises ``ValueError`` with the place.
+rows like any other; an empty table gives no rows; input columns that clash with output columns are replaced. A file that
+breaks the format makes ``parse`` and ``read`` raise ``ValueError`` with the place, and nothing else; in the packet table it
+is one row with ``error`` and no packet, and other files go on. Frames of other encodings (encryption, other compressions)
+are listed as they are stored, and ``read`` raises for them.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ TIMESTAMP_SCALE, DURATION, TRACK_ENTRY, TRACK_NUMBER, TRACK_TYPE, CODEC_ID, DEFA
 CLUSTER_TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE_BLOCK = 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH, TRACK_UID, FLAG_LACING = 0xE1, 0xB5, 0x9F, 0x6264, 0x73C5, 0x9C
+ENCODINGS, ENCODING, ENCODING_SCOPE, COMPRESSION, COMPRESSION_KIND, COMPRESSION_SETTINGS = 0x6D80, 0x6240, 0x5032, 0x5034, 0x4254, 0x4255
 DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION = 0x4282, 0x4287, 0x4285
 TOP_LEVEL = {0x114D9B74, INFO, TRACKS, CLUSTER, CUES, 0x1941A469, 0x1043A770, 0x1254C367}
 NO_LACING, XIPH, FIXED, EBML_LACING = 0, 1, 2, 3
@@ -156,9 +159,38 @@ def children(data: bytes, at: int, end: int, stop: frozenset | set = frozenset()
 
 
 def _uint(data: bytes, a: int, b: int) -> int:
+    if b - a > 8:
+        raise ValueError(f"a number of {b - a} bytes at byte {a}")
     return int.from_bytes(data[a:b], "big")
 
 
+def _float(data: bytes, a: int, b: int) -> float:
+    if b - a not in (0, 4, 8):
+        raise ValueError(f"a fraction of {b - a} bytes at byte {a}")
+    value = struct.unpack(">f" if b - a == 4 else ">d", data[a:b])[0] if b > a else 0.0
+    if not abs(value) < 1 << 62:
+        raise ValueError(f"no finite length at byte {a}")
+    return value
+
+
+def _encoding(data: bytes, a: int, b: int) -> tuple[str, bytes]:
+    """How a track's frames are stored: plain, ``header`` with the bytes that go in front, ``zlib``, or ``other``."""
+    found = []
+    for n, c, d in children(data, a, b):
+        if n != ENCODING:
+            continue
+        parts = {m: (x, y) for m, x, y in children(data, c, d)}
+        if ENCODING_SCOPE in parts and not _uint(data, *parts[ENCODING_SCOPE]) & 1:
+            continue  # not of frames
+        if COMPRESSION not in parts:
+            found.append(("other", b""))
+            continue
+        how = {m: (x, y) for m, x, y in children(data, *parts[COMPRESSION])}
+        kind = _uint(data, *how[COMPRESSION_KIND]) if COMPRESSION_KIND in how else 0
+        found.append({0: ("zlib", b""), 3: ("header", data[slice(*how.get(COMPRESSION_SETTINGS, (0, 0)))])}.get(kind, ("other", b"")))
+    return ("plain", b"") if not found else found[0] if len(found) == 1 else ("other", b"")
+
+
 @dataclass
 class Media:
     """A parsed file. ``packets``: (track, timestamp ns, offset, size, keyframe, lacing, cluster). ``cues``: (time ns, track, cluster's offset in the file)."""
@@ -175,6 +207,8 @@ def lace_sizes(data: bytes, at: int, end: int, lacing: int) -> tuple[list[int],
     """Frame sizes of a block and where its first frame starts; ``at`` is behind the block's flags."""
     if lacing == NO_LACING:
         return [end - at], at
+    if at >= end:
+        raise ValueError(f"no number of frames at byte {at}")
     n, at = data[at] + 1, at + 1
     if lacing == FIXED:
         if (end - at) % n:
@@ -185,6 +219,8 @@ def lace_sizes(data: bytes, at: int, end: int, lacing: int) -> tuple[list[int],
         if lacing == XIPH:
             size = 0
             while True:
+                if at >= end:
+                    raise ValueError(f"frame sizes reach beyond their block at byte {at}")
                 size, more = size + data[at], data[at] == 255
                 at += 1
                 if not more:
@@ -204,11 +240,17 @@ def lace_sizes(data: bytes, at: int, end: int, lacing: int) -> tuple[list[int],
 
 def _block(data: bytes, a: int, b: int, media: Media, time: int, key: bool | None) -> None:
     track, at = _vint(data, a, b, False)
+    if at + 3 > b:
+        raise ValueError(f"a block without a head at byte {a}")
+    if not 0 <= track < 1 << 31:
+        raise ValueError(f"no track number at byte {a}")
     offset, flags = struct.unpack_from(">hB", data, at)
     lacing = flags >> 1 & 3
     sizes, at = lace_sizes(data, at + 3, b, lacing)
     step = media.tracks.get(track, {}).get("default_ns", 0)
     start = (time + offset) * media.scale
+    if abs(start) + len(sizes) * step >= 1 << 63:
+        raise ValueError(f"a time out of range at byte {a}")
     key = bool(flags & 0x80) if key is None else key
     for k, size in enumerate(sizes):
         media.packets.append((track, start + k * step, at, size, key, lacing, len(media.clusters) - 1))
@@ -227,14 +269,14 @@ def parse(data: bytes) -> Media:
                     if m == TIMESTAMP_SCALE:
                         media.scale = _uint(data, c, d)
                     elif m == DURATION:
-                        media.duration_ns = struct.unpack(">f" if d - c == 4 else ">d", data[c:d])[0]
+                        media.duration_ns = _float(data, c, d)
             elif n == TRACKS:
                 for m, c, d in children(data, a, b):
                     if m == TRACK_ENTRY:
                         seen = {k: (x, y) for k, x, y in children(data, c, d)}
                         get = lambda k, seen=seen, default=0: _uint(data, *seen[k]) if k in seen else default
                         codec = seen.get(CODEC_ID)
-                        media.tracks[get(TRACK_NUMBER)] = {"type": get(TRACK_TYPE), "codec": data[slice(*codec)].decode() if codec else "", "default_ns": get(DEFAULT_DURATION)}
+                        media.tracks[get(TRACK_NUMBER)] = {"type": get(TRACK_TYPE), "codec": data[slice(*codec)].decode(errors="replace") if codec else "", "default_ns": get(DEFAULT_DURATION), "encoding": _encoding(data, *seen[ENCODINGS]) if ENCODINGS in seen else ("plain", b"")}
             elif n == CLUSTER:
                 media.clusters.append(a)
                 time = 0
@@ -265,9 +307,26 @@ def parse(data: bytes) -> Media:
     return media
 
 
+def frames(data: bytes, media: Media, track: int | None = None) -> list[bytes]:
+    """The frames of one track or all, decoded, in order of time."""
+    out = []
+    for p in sorted((p for p in media.packets if track in (None, p[0])), key=lambda p: (p[1], p[2])):
+        kind, head = media.tracks.get(p[0], {}).get("encoding", ("plain", b""))
+        raw = data[p[2] : p[2] + p[3]]
+        if kind == "zlib":
+            try:
+                raw = zlib.decompress(raw)
+            except zlib.error as e:
+                raise ValueError(f"a frame that can't be inflated at byte {p[2]}") from e
+        elif kind == "other":
+            raise ValueError(f"a frame of an unknown encoding at byte {p[2]}")
+        out.append(head + raw)
+    return out
+
+
 def read(data: bytes, track: int = 1) -> bytes:
     """The track's frames in order of time."""
-    return b"".join(data[p[2] : p[2] + p[3]] for p in sorted((p for p in parse(data).packets if p[0] == track), key=lambda p: (p[1], p[2])))
+    return b"".join(frames(data, parse(data), track))
 
 
 def padded(text: str | None) -> tuple[int, bytes]:
@@ -285,7 +344,7 @@ def features(media: Media, payload: bytes) -> str:
 
 # Tables
 
-PACKET = struct_of("packet int, track int, timestamp_ns long, offset long, size long, keyframe boolean, lacing int, cluster int")
+PACKET = struct_of("packet int, track int, timestamp_ns long, offset long, size long, keyframe boolean, lacing int, cluster int, encoding string, header binary, error string")
 DIGEST = struct_of("n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
@@ -306,18 +365,26 @@ def stored(docs: DataFrame, text_col: str = "text", media_col: str = "media") ->
 
 
 def packets(files: DataFrame, media_col: str = "media") -> DataFrame:
-    """One row per frame of each file, with the file's other columns."""
+    """One row per frame of each file, with the file's other columns; one row with ``error`` for a file that breaks the format."""
     rest = _others(files, media_col, PACKET)
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.string()]
+
+    def table_of(data: bytes) -> list[tuple]:
+        try:
+            media = parse(data)
+        except ValueError as e:
+            return [(*[None] * (len(types) - 1), str(e))]
+        how = {t: v["encoding"] for t, v in media.tracks.items()}
+        return [(k, *p, *how.get(p[0], ("plain", b"")), None) for k, p in enumerate(media.packets)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, rows = [], []
             for i, f in enumerate(batch.column(batch.schema.get_field_index(media_col))):
-                found = [(k, *p) for k, p in enumerate(parse(f.as_py() or b"").packets)]
+                found = table_of(f.as_py() or b"")
                 rows += found
                 at += [i] * len(found)
             kept = [batch.column(batch.schema.get_field_index(f.name)).take(pa.array(at, pa.int32())) for f in rest]
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([*kept, *[pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]], names=[*[f.name for f in rest], *PACKET.names])
 
     return files.select(*[f.name for f in rest], media_col).mapInArrow(run, T.StructType([*rest, *PACKET.fields]))
@@ -327,7 +394,7 @@ def digest(text: str | None) -> tuple:
     n, payload = padded(text)
     data = store(payload)
     media = parse(data)
-    back = b"".join(data[p[2] : p[2] + p[3]] for p in media.packets)
+    back = b"".join(frames(data, media))
     return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(data), hashlib.sha256(data).hexdigest(), features(media, back)
 
 

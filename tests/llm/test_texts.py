@@ -74,6 +74,57 @@ def test_unknown_sizes_groups_and_scale():
     assert mkv.parse(b"").packets == []
 
 
+#: A file written by hand from the format: a header; a segment of unknown size with a track of default duration 1 ms whose frames
+#: have lost their first bytes ca fe ba; a cluster at 5 with a simple block of two frames of 2 and 1 bytes in Xiph lacing, and a
+#: group with a block at -1 and a reference.
+BY_HAND = bytes.fromhex(
+    "1A45DFA3 8B 4282 88 6D6174726F736B61"
+    "18538067 01FFFFFFFFFFFFFF"
+    "1654AE6B A9 AE A7 D7 81 01 83 81 02 86 85 415F50434D 23E383 83 0F4240 6D80 90 6240 8D 5034 8A 4254 81 03 4255 83 CAFEBA"
+    "1F43B675 9A E7 81 05 A3 89 81 0002 82 01 02 AABB CC A0 8A A1 85 81 FFFF 00 DD FB 81 01"
+)
+
+
+def test_a_file_written_by_hand(spark):
+    media = mkv.parse(BY_HAND)
+    assert media.tracks == {1: {"type": 2, "codec": "A_PCM", "default_ns": 1_000_000, "encoding": ("header", b"\xca\xfe\xba")}}
+    assert [(p[1], BY_HAND[p[2] : p[2] + p[3]].hex(), p[4], p[5]) for p in media.packets] == [(7_000_000, "aabb", True, 1), (8_000_000, "cc", True, 1), (4_000_000, "dd", False, 0)]
+    assert mkv.read(BY_HAND).hex() == "cafebadd" + "cafebaaabb" + "cafebacc"
+    files = spark.createDataFrame([(1, BY_HAND), (2, BY_HAND[:-3]), (3, None), (4, b"\x00")], "doc_id long, media binary")
+    rows = {k: [r for r in mkv.packets(files).collect() if r["doc_id"] == k] for k in range(1, 5)}
+    assert [(r["timestamp_ns"], r["encoding"], bytes(r["header"]), r["error"]) for r in rows[1]] == [(t, "header", b"\xca\xfe\xba", None) for t in (7_000_000, 8_000_000, 4_000_000)]
+    assert [len(rows[k]) for k in (2, 3, 4)] == [1, 0, 1]
+    assert all("byte" in r["error"] and r["packet"] is None for k in (2, 4) for r in rows[k])
+
+
+def test_deflated_and_unknown_encodings():
+    track = lambda kind: mkv.element(mkv.TRACKS, mkv.element(mkv.TRACK_ENTRY, mkv.uint(mkv.TRACK_NUMBER, 1) + mkv.element(mkv.ENCODINGS, mkv.element(mkv.ENCODING, mkv.element(mkv.COMPRESSION, mkv.uint(mkv.COMPRESSION_KIND, kind))))))
+    file = lambda kind, frame: mkv._HEAD + mkv.element(mkv.SEGMENT, track(kind) + mkv.element(mkv.CLUSTER, mkv.uint(mkv.CLUSTER_TIMESTAMP, 0) + mkv.element(mkv.SIMPLE_BLOCK, mkv.block(1, 0, [frame], 0))))
+    assert mkv.read(file(0, zlib.compress(b"abc"))) == b"abc"
+    for kind, frame in ((0, b"abc"), (1, b"abc")):
+        with pytest.raises(ValueError, match="byte"):
+            mkv.read(file(kind, frame))
+
+
+def test_damaged_files_raise_defined_errors():
+    r, sound = random.Random(9), [BY_HAND, mkv.store(mkv.padded("some text " * 900)[1])[:3000] + b"", mkv.store(mkv.padded("x")[1])]
+    for _ in range(6000):
+        data = bytearray(r.choice(sound))
+        for _ in range(r.randint(1, 4)):
+            where = r.randrange(min(len(data), 160))
+            how = r.randrange(3)
+            if how == 0:
+                data[where] = r.randrange(256)
+            elif how == 1:
+                del data[where : where + r.randint(1, 9)]
+            else:
+                data[where:where] = bytes(r.randrange(256) for _ in range(r.randint(1, 9)))
+        try:
+            mkv.read(bytes(data))
+        except ValueError as e:
+            assert "byte" in str(e)
+
+
 def test_packet_table(spark, odd):
     files = mkv.stored(odd)
     rows = mkv.packets(files).where("doc_id = 5").collect()
