@@ -2,8 +2,8 @@
 
 A polygon is an array of rings (outer ring and holes alike), each two arrays of vertices; a point is inside by the even-odd
 rule over all rings, and a point on an edge is outside, as for ``within``. Zones are matched by a grid: a zone's bounding
-box names the cells it touches, a point names one cell, and the join is an equality on cells; nothing is broadcast
-unless Spark finds it small.
+box names the cells it touches, a point names one cell, and the join is an equality on cells. The cells are broadcast up to
+a number of vertices that is counted first.
 """
 
 from __future__ import annotations
@@ -40,20 +40,30 @@ def inside(px: Column, py: Column, rings: Column) -> Column:
     return (total % 2 == 1) & ~F.exists(rings, lambda r: on_edge(px, py, r["xs"], r["ys"]))
 
 
-def assign_zones(points: DataFrame, zones: DataFrame, x: str, y: str, zone_id: str = "zone_id", cell: float = 1.0, key: str = "_point") -> DataFrame:
+#: Zones with this many vertices in all are small enough to send to every executor (some tens of MB).
+MOST_VERTICES = 1_000_000
+
+
+def assign_zones(points: DataFrame, zones: DataFrame, x: str, y: str, zone_id: str = "zone_id", cell: float | None = None) -> DataFrame:
     """``points`` with the id of the zone they lie in and a status; a point in several zones fails the run.
 
-    ``zones`` has ``zone_id`` and ``rings``.
+    ``zones`` has ``zone_id`` and ``rings``. A cell is as wide as a zone's box is in the mean, unless given. A point meets the
+    zones of its cell as one list, so points are neither multiplied nor grouped again.
     """
     low = lambda axis: F.array_min(F.flatten(F.transform("rings", lambda r: r[axis])))
     high = lambda axis: F.array_max(F.flatten(F.transform("rings", lambda r: r[axis])))
+    known = zones.agg(F.avg(F.greatest(high("xs") - low("xs"), high("ys") - low("ys"))), F.sum(F.aggregate(F.transform("rings", lambda r: F.size(r["xs"])), F.lit(0), lambda a, n: a + n))).first()
+    cell = cell or known[0] or 1.0
     at = lambda c: F.floor(c / cell)
     spread = zones.select(F.col(zone_id).alias("_zone"), "rings", F.explode(F.sequence(at(low("xs")), at(high("xs")))).alias("_cx"), F.sequence(at(low("ys")), at(high("ys"))).alias("_ys"))
-    spread = spread.select("_zone", "rings", "_cx", F.explode("_ys").alias("_cy"))
-    marked = points.withColumns({key: F.monotonically_increasing_id(), "_cx": at(F.col(x)), "_cy": at(F.col(y))})
+    near = spread.select("_zone", "rings", "_cx", F.explode("_ys").alias("_cy")).groupBy("_cx", "_cy").agg(F.collect_list(F.struct("_zone", "rings")).alias("_near"))
+    if (known[1] or 0) <= MOST_VERTICES:
+        near = F.broadcast(near)
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
-    joined = marked.join(spread, ["_cx", "_cy"], "left").withColumn("_hit", F.coalesce(inside(px, py, F.col("rings")), F.lit(False)))
+    marked = points.withColumns({"_cx": at(px), "_cy": at(py)}).join(near, ["_cx", "_cy"], "left")
+    hits = F.transform(F.filter(F.coalesce("_near", F.array()), lambda z: F.coalesce(inside(px, py, z["rings"]), F.lit(False))), lambda z: z["_zone"])
     several = F.raise_error(F.concat(F.lit("a point lies in several zones: "), F.col(x).cast("string"), F.lit(" "), F.col(y).cast("string")))
-    hits = joined.groupBy(key, *points.columns).agg(F.sum(F.col("_hit").cast("int")).alias("_n"), F.max(F.when(F.col("_hit"), F.col("_zone"))).alias(zone_id))
-    zone = F.when(F.col("_n") > 1, several.cast("int")).otherwise(F.col(zone_id))
-    return hits.select(*points.columns, zone.alias(zone_id), F.when(F.col("_n") > 0, MAPPED).otherwise(OUTSIDE).alias("status"))
+    found = marked.withColumn("_hits", hits)
+    zone = F.when(F.size("_hits") > 1, several.cast(zones.schema[zone_id].dataType)).otherwise(F.get("_hits", 0))
+    rest = [c for c in points.columns if c not in (zone_id, "status")]
+    return found.select(*rest, zone.alias(zone_id), F.when(F.size("_hits") > 0, MAPPED).otherwise(OUTSIDE).alias("status"))

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators.cube import cells, dense_cube, grid, hours
+from ..operators.cube import GRAIN, cells, daily, dense_cube, grid, hours
 from .analytics import Star
+from .stored import stored
 
 START, END, ZONES = "2024-01-01", "2024-01-31", 25
 
@@ -52,6 +53,20 @@ def weather(spark: SparkSession) -> DataFrame:
 
 
 def star(spark: SparkSession, d: str) -> Star:
+    """The cube, which is Gold: built once for a data folder, then read."""
+    return Star(stored(spark, "cube", _sources(d, "events", "nation", "region"), lambda: _cube(spark, d)), zones(spark, d))
+
+
+def days(spark: SparkSession, d: str) -> DataFrame:
+    """The daily aggregate of the cube, stored like it."""
+    return stored(spark, "days", _sources(d, "events", "nation", "region"), lambda: daily(star(spark, d).fact).coalesce(1))  # a row per zone and day
+
+
+def _sources(d: str, *names: str) -> list[str]:
+    return [f"{d}/{n}.parquet" for n in names]
+
+
+def _cube(spark: SparkSession, d: str) -> DataFrame:
     kinds = F.col("event_type").isin("purchase", "error")
     events = read(spark, d, "events").where((F.col("ts") >= F.lit(START).cast("timestamp_ntz")) & (F.col("ts") < F.lit(END).cast("timestamp_ntz")) & kinds)
     bought = F.col("event_type") == "purchase"
@@ -61,15 +76,19 @@ def star(spark: SparkSession, d: str) -> Star:
         "complaints": F.count_if(F.col("event_type") == "error"),
     }
     facts = cells(events, "ts", (F.col("user_id") % ZONES).cast("int"), measures)  # one scan for both kinds of facts
-    z = zones(spark, d)
-    fact = dense_cube(grid(spark, START, END, z.select("zone_id")), [facts], weather(spark), zero=("trips", "complaints"))
-    return Star(fact.withColumn("revenue", F.coalesce("revenue", F.lit(0).cast("decimal(28,2)"))), z)
+    fact = dense_cube(grid(spark, START, END, zones(spark, d).select("zone_id")), [facts], weather(spark), zero=("trips", "complaints"))
+    return fact.withColumn("revenue", F.coalesce("revenue", F.lit(0).cast("decimal(28,2)"))).orderBy(*GRAIN)
 
 
 def month_star(spark: SparkSession, d: str) -> Star:
+    """Orders by zone and day, stored like the cube."""
+    return Star(stored(spark, "month-days", _sources(d, "orders"), lambda: _month_days(spark, d)), zones(spark, d))
+
+
+def _month_days(spark: SparkSession, d: str) -> DataFrame:
     orders = read(spark, d, "orders")
     fact = orders.groupBy((F.col("o_custkey") % ZONES).cast("int").alias("zone_id"), F.to_date("o_orderdate").alias("date")).agg(F.count(F.lit(1)).alias("trips"), F.sum(S.money("o_totalprice")).alias("revenue"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("complaints"))
-    return Star(fact, zones(spark, d))
+    return fact.orderBy("zone_id", "date")
 
 
 #: The tables above in SQL: z, ev, g (the cube), mf (orders by zone and day), dz (the cube by zone and day).

@@ -80,7 +80,7 @@ def silver_complaints(raw: DataFrame, p: Period) -> Layer:
     return Layer(layer.valid.drop("occurrence", "latitude_text", "longitude_text").withColumns({"created_date": F.to_date("created_at"), "created_time": F.date_format("created_at", "HH:mm:ss")}), layer.events, layer.counts)
 
 
-def mapped_complaints(complaints: DataFrame, polygons: DataFrame, cell: float = 0.05) -> DataFrame:
+def mapped_complaints(complaints: DataFrame, polygons: DataFrame, cell: float | None = None) -> DataFrame:
     """Complaints with the zone that their coordinates lie in."""
     return geo.assign_zones(complaints, polygons, "longitude", "latitude", cell=cell)
 
@@ -116,7 +116,7 @@ def gold(trips: DataFrame, complaints: DataFrame, weather: DataFrame, zone_dim:
     want = (t.count(), c.count(), zones.count() * cube.hours(spark, p.start, p.end).count(), 0)
     if tuple(x or 0 for x in got) != want:
         raise ValueError(f"the cube has {tuple(got)}, {want} went in")
-    return out.select(*FACT_KEYS, "zone_name", "borough", *MEASURES)
+    return out.select(*FACT_KEYS, "zone_name", "borough", *MEASURES).orderBy("date", "hour", "zone_id")  # one stable order in the written table
 
 
 def staged_checks(stage: DataFrame, zones: DataFrame, weather_labels: Sequence[str]) -> dict[str, int]:

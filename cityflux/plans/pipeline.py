@@ -413,6 +413,7 @@ def pending_files(spark, d):
 
 _LAGS = SQL + ", x AS (SELECT *, lag(trips, 1) OVER p AS l1, lag(trips, 24) OVER p AS l24, lag(trips, 168) OVER p AS l168, lag(complaints, 1) OVER p AS c1, lag(complaints, 24) OVER p AS c24 FROM g WINDOW p AS (PARTITION BY zone_id ORDER BY date, hour)), y AS (SELECT * FROM x WHERE l168 IS NOT NULL)"
 _METRICS = "count(*) AS n, round(avg(trips), 6) AS mean_actual, round(avg(l168), 6) AS mean_predicted, round(avg(abs(l168 - trips)), 6) AS mae, round(sqrt(avg(CAST((l168 - trips) * (l168 - trips) AS DOUBLE))), 6) AS rmse, round(avg(CASE WHEN trips > 0 THEN 100.0::DOUBLE * abs(l168 - trips) / trips END), 6) AS mape, round(avg(CASE WHEN trips + l168 > 0 THEN 200.0::DOUBLE * abs(l168 - trips) / (trips + l168) END), 6) AS smape, round(avg(l168 - trips), 6) AS bias"
+_R2 = "round(CASE WHEN round(var_pop(trips) * count(*), 9) = 0 THEN CASE WHEN sum((l168 - trips) * (l168 - trips)) = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE 1 - sum(CAST((l168 - trips) * (l168 - trips) AS DOUBLE)) / (var_pop(trips) * count(*)) END, 6) AS r2"
 
 
 def _features(spark, d) -> DataFrame:
@@ -425,14 +426,14 @@ def lag_features(spark, d):
     return _features(spark, d).select(F.col("date").cast("string").alias("date"), F.col("hour").cast("long").alias("hour"), F.col("zone_id").cast("long").alias("zone_id"), "trips", *names, F.col("day_of_week").cast("long").alias("day_of_week"))
 
 
-@query("m06_baseline_by_zone", _LAGS + f"SELECT CAST(zone_id AS BIGINT) AS zone_id, {_METRICS} FROM y GROUP BY zone_id")
+@query("m06_baseline_by_zone", _LAGS + f"SELECT CAST(zone_id AS BIGINT) AS zone_id, {_METRICS}, {_R2} FROM y GROUP BY zone_id")
 def baseline(spark, d):
-    return forecast.metrics(_features(spark, d), "trips", "trips_lag_168h", ["zone_id"]).drop("r2").withColumn("zone_id", F.col("zone_id").cast("long"))
+    return forecast.metrics(_features(spark, d), "trips", "trips_lag_168h", ["zone_id"]).withColumn("zone_id", F.col("zone_id").cast("long"))
 
 
-@query("m10_baseline_by_level", _LAGS + f"SELECT CASE WHEN trips <= 0 THEN 'Zero (0)' WHEN trips <= 5 THEN 'Very Low (1-5)' WHEN trips <= 20 THEN 'Low (6-20)' ELSE 'Moderate (21-50)' END AS level, {_METRICS} FROM y GROUP BY 1")
+@query("m10_baseline_by_level", _LAGS + f"SELECT CASE WHEN trips <= 0 THEN 'Zero (0)' WHEN trips <= 5 THEN 'Very Low (1-5)' WHEN trips <= 20 THEN 'Low (6-20)' ELSE 'Moderate (21-50)' END AS level, {_METRICS}, {_R2} FROM y GROUP BY 1")
 def baseline_by_level(spark, d):
-    return forecast.metrics(_features(spark, d), "trips", "trips_lag_168h", [S.demand_level("trips").alias("level")]).drop("r2")
+    return forecast.metrics(_features(spark, d), "trips", "trips_lag_168h", [S.demand_level("trips").alias("level")])
 
 
 def _predictions(spark, d) -> DataFrame:

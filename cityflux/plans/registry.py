@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.cube import daily
 from . import analytics as A
 from . import analytics_sql, driver, pipeline
 
@@ -30,8 +29,7 @@ def _months_daily(spark, d):
 
 def _with_days(f, **how):
     def run(spark, d):
-        s = driver.star(spark, d)
-        return _plain(f(s, days=daily(s.fact), **how))
+        return _plain(f(driver.star(spark, d), days=driver.days(spark, d), **how))
 
     return run
 

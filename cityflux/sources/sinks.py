@@ -37,6 +37,15 @@ class Store:
         fs, p = self._at(path)
         return fs.exists(p)
 
+    def stamp(self, path: str) -> tuple[int, int]:
+        """Bytes below a path and the time of its last change."""
+        fs, p = self._at(path)
+        return fs.getContentSummary(p).getLength(), fs.getFileStatus(p).getModificationTime()
+
+    def matching(self, pattern: str) -> list[str]:
+        fs, p = self._at(pattern)
+        return sorted(str(s.getPath()) for s in fs.globStatus(p) or [])
+
     def remove(self, path: str) -> None:
         fs, p = self._at(path)
         fs.delete(p, True)
@@ -50,8 +59,10 @@ class Store:
 
 
 def publish(df: DataFrame, path: str, expected: int | None = None, partition_by: Sequence[str] = (), check=None) -> int:
-    """Replaces the table at ``path``: writes beside it, reads back and verifies the count (and ``check(df)``), then swaps; on a failure the old table stays."""
+    """Replaces the table at ``path``: writes beside it, reads back and verifies the count (and ``check(df)``), then swaps; on a failure the old table stays. A table that a lost driver left as a backup alone is put back first."""
     spark, store = df.sparkSession, Store(df.sparkSession)
+    if not store.exists(path) and (left := store.matching(f"{path}.backup-*")):
+        store.move(left[-1], path)
     tag = uuid.uuid4().hex
     stage, backup = f"{path}.stage-{tag}", f"{path}.backup-{tag}"
     try:

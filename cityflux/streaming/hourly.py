@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.sinks import publish, upserted
+from ..sources.sinks import Store, replace_partitions, upserted
 
 
 def source(spark: SparkSession, path: str, schema, files_per_trigger: int = 100) -> DataFrame:
@@ -26,22 +26,28 @@ def hourly(events: DataFrame, moment: str, zone: Column, lateness: str = "1 hour
 
 
 def upsert_into(path: str) -> Callable[[DataFrame, int], None]:
-    """A batch function that upserts cells into the table at ``path``; a repeated batch changes nothing."""
+    """A batch function that upserts cells into the table at ``path``, partitioned by date; a repeated batch changes nothing.
+
+    Only the dates that a batch touches, a few within the lateness, are read and replaced.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
+        spark, store = batch.sparkSession, Store(batch.sparkSession)
+        stage = f"{path}.stage-{epoch}"
+        store.remove(stage)  # of a run that was lost in this batch
         kept = batch.persist()
         try:
-            try:
-                current = spark.read.schema(batch.schema).parquet(path)
-                current.limit(1).count()
-            except Exception as e:  # the first batch
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
-                current = spark.createDataFrame([], batch.schema)
-            publish(upserted(current, kept, ["date", "hour", "zone_id"]), path)
+            dates = [r["date"] for r in kept.select("date").distinct().collect()]
+            if not dates:
+                return
+            current = spark.createDataFrame([], batch.schema)
+            if store.exists(path):
+                current = spark.read.schema(batch.schema).parquet(path).where(F.col("date").isin(dates))
+            upserted(current, kept, ["date", "hour", "zone_id"]).write.parquet(stage)
+            replace_partitions(spark.read.schema(batch.schema).parquet(stage), path, ["date"])
         finally:
             kept.unpersist()
+            store.remove(stage)
 
     return write
 
