@@ -1,4 +1,8 @@
-"""Connected components in Spark, by alternating star steps; edges never reach the driver."""
+"""Connected components in Spark, by alternating star steps; edges never reach the driver.
+
+Defined results: edges from a node to itself and repeated edges count for nothing, so a node without another edge has no
+row; edges with a null end are left out; no edges give no rows.
+"""
 
 from __future__ import annotations
 

@@ -17,7 +17,7 @@ the bound become rows, which are verified like the others. So no link between di
 
 Defined results: texts without words have an empty set and link with nothing; a null id never is a component's id unless all
 its ids are null; rows with equal ids are separate rows; repeated rows are copies; an empty table gives no rows; input
-columns that clash with output columns are replaced.
+columns that clash with output columns are replaced; ids are whole numbers, and others fail the run.
 """
 
 from __future__ import annotations

@@ -8,8 +8,8 @@ against the model's normaliser and vocabulary; a model that breaks them is encod
 
 The table belongs to the task, so nothing is shuffled. A global table, joined back onto packed positions in blocks of a
 million chunks, was built and measured: at 0.1 GB it had written 3.4 times the input and used 537 CPU seconds a GB before
-its texts were put together, since one position in seven of a block brings a chunk that is new to it. The table starts anew at ``TABLE_CHUNKS`` entries, and chunks over ``LONG_CHUNK`` characters
-stay out of it, so memory is bounded; neither changes a result.
+its texts were put together, since its blocks listed 3.6 million distinct chunks. The table starts anew at ``TABLE_CHUNKS``
+entries, and chunks over ``LONG_CHUNK`` characters stay out of it, so memory is bounded; neither changes a result.
 
 Defined results: a null text is empty and has no ids; texts of any length, repeated rows and null ids are rows like any
 other; an empty table gives no rows; input columns that clash with output columns are replaced.

@@ -15,7 +15,8 @@ A window counts as repeated when ``K``-word hash (64 bits), distance and ``SPAN`
 
 Defined results: null texts have no words; a null id sorts before all others; rows with equal ids are separate rows, and a
 window is marked only for one that starts at a smaller (id, start), so repeated rows don't remove each other; an empty table
-gives no rows; input columns that clash with output columns are replaced.
+gives no rows; input columns that clash with output columns are replaced, others may have any name; ids are whole numbers,
+and others fail the run.
 """
 
 from __future__ import annotations
@@ -192,9 +193,12 @@ def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ful
     digest = struct_of("n_words long, n_removed long, kept_sha256 string")
     made = [*digest.names, *[f.name for f in extra]]
     rest = [f for f in docs.schema.fields if f.name != text_col and f.name not in made]
+    names = [*[f.name for f in rest], *made]
+    docs = docs.select(*[F.col(f.name).alias(f"c{k}") for k, f in enumerate(rest)], F.col(text_col).alias("t"), F.col(id_col).alias("i"))  # no name clashes with those of the steps
+    rest, id_col, text_col = [T.StructField(f"c{k}", f.dataType, f.nullable) for k, f in enumerate(rest)], "i", "t"
     # a document's own spans meet; equal ones of repeated rows are combined before the shuffle
     spans = marked_windows(docs, id_col, text_col).groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(F.collect_set(F.shiftleft("a", 32).bitwiseOR(F.col("b"))).alias("_spans"))
-    rows = _keyed(docs.select(*[f.name for f in rest], text_col), id_col, text_col).join(spans, ["_d", "_t"], "left")
+    rows = _keyed(docs, id_col, text_col).join(spans, ["_d", "_t"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,7 +217,7 @@ def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ful
             types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64())), pa.string()]
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(rest))], *[pa.array(v, t) for v, t in zip(out, types, strict=False)]], names=[*[f.name for f in rest], *made])
 
-    return rows.select(*[f.name for f in rest], text_col, "_spans").mapInArrow(run, T.StructType([*rest, *digest.fields, *extra]))
+    return rows.select(*[f.name for f in rest], text_col, "_spans").mapInArrow(run, T.StructType([*rest, *digest.fields, *extra])).toDF(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Word hashes and rolling hashes in numpy, shared by the operators on word sequences."""
+"""Word hashes and rolling hashes in numpy, shared by the operators on word sequences.
+
+Defined results: no words give empty arrays; equal sequences give equal numbers whatever their place.
+"""
 
 from __future__ import annotations
 

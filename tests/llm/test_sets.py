@@ -261,3 +261,16 @@ def test_pipeline_of_odd_rows(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
         stage(spark, odd, sf_dir).collect()
+
+
+def test_columns_with_the_names_of_the_steps(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, text, 1, 2, 3, 4, 5), (2, text, 1, 2, 3, 4, 5)], "doc_id long, text string, _spans int, _d int, _t int, c0 int, i int")
+    rows = sorted(sub.deduped(docs).collect())
+    assert [(r["doc_id"], r["n_removed"], r["_spans"], r["_d"], r["_t"], r["c0"], r["i"]) for r in rows] == [(1, 0, 1, 2, 3, 4, 5), (2, 30, 1, 2, 3, 4, 5)]
+
+
+def test_components_of_odd_edges(spark):
+    edges = spark.createDataFrame([(5, 5), (1, 2), (2, 1), (1, 2), (None, 3), (7, None)], "a long, b long")
+    assert sorted(tuple(r) for r in cc.components(edges).distinct().collect()) == [(1, 1), (2, 1)]
+    assert cc.components(edges.limit(0)).count() == 0
