@@ -1,8 +1,7 @@
 """Quality rules.
 
 Word unigrams and bigrams are hashed into a fixed number of bins. Two multinomials are counted over them: the trusted
-target (documents labelled good; at most ``TRUSTED_ROWS`` of them, those with the smallest id hashes) and the raw corpus
-(all documents, all words). A bin's weight is log(p_target / p_raw) with ``SMOOTHING`` added to the target's count and to
+target (all documents labelled good) and the raw corpus (all documents, all words). A bin's weight is log(p_target / p_raw) with ``SMOOTHING`` added to the target's count and to
 the count expected from the raw corpus, so bins with little evidence weigh little, whether a document is among the trusted
 ones or not. A document's score is the mean weight of its n-grams, and it is kept when
 the score reaches a fixed threshold and no base rule fails. Everything is built-in functions: one pass counts the bins
@@ -25,7 +24,6 @@ from pyspark.sql import functions as F
 from .common import SPACE_CLASS, WORD_RE, sql_crc, table, word_array
 
 BINS = 1 << 16
-TRUSTED_ROWS = 20_000
 SMOOTHING = 20.0
 UNITS = 10_000
 THRESHOLD = -0.12
@@ -66,15 +64,15 @@ def gram_bins(words: Column, bins: int = BINS) -> Column:
     return F.concat(F.transform(words, lambda w: of(w)), pairs)
 
 
-def trusted_ids(labels: DataFrame, id_col: str = "doc_id", rows: int = TRUSTED_ROWS) -> DataFrame:
-    ids = labels.where((F.col("quality") == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_t")).distinct()
-    return ids.orderBy(F.md5(F.col("_t").cast("string")), "_t").limit(rows)
+def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    return labels.where((F.col("quality") == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_t")).distinct()
 
 
 def weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bins: int = BINS) -> DataFrame:
     """One row: the array of log(p_target / p_raw) by bin, in units of 1 / UNITS."""
-    trusted = F.broadcast(trusted_ids(labels, id_col))  # TRUSTED_ROWS ids at most
-    grams = docs.select(F.col(id_col).alias("_i"), word_array(text_col).alias("_words")).join(trusted, F.col("_i") == F.col("_t"), "left")
+    rows = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_text"))
+    known = rows.where("_i is not null").join(trusted_ids(labels, id_col), F.col("_i") == F.col("_t"), "left")  # rows without an id don't meet in one task
+    grams = known.unionByName(rows.where("_i is null"), allowMissingColumns=True).select("_t", word_array("_text").alias("_words"))
     grams = grams.select(F.col("_t").isNotNull().cast("long").alias("_good"), F.explode(gram_bins(F.col("_words"), bins)).alias("_bin"))
     counts = grams.groupBy("_bin").agg(F.count(F.lit(1)).alias("_raw"), F.sum("_good").alias("_target"))
     every = docs.sparkSession.range(bins).select(F.col("id").cast("int").alias("_bin")).join(counts, "_bin", "left").na.fill(0, ["_raw", "_target"])
@@ -126,7 +124,7 @@ WITH d AS (
 ), ub AS (
   SELECT doc_id, bin FROM u JOIN h USING (x)
 ), trusted AS (
-  SELECT doc_id AS good FROM (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT {TRUSTED_ROWS}
+  SELECT DISTINCT doc_id AS good FROM labels WHERE quality = 1 AND doc_id IS NOT NULL
 ), c AS (
   SELECT bin, count(*) AS r, count(good) AS g FROM ub LEFT JOIN trusted ON doc_id = good GROUP BY bin
 ), v AS (
