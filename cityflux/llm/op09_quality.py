@@ -71,7 +71,8 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bins: int = BINS) -> DataFrame:
     """One row: the array of log(p_target / p_raw) by bin, in units of 1 / UNITS."""
     rows = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_text"))
-    known = rows.where("_i is not null").join(trusted_ids(labels, id_col), F.col("_i") == F.col("_t"), "left")  # rows without an id don't meet in one task
+    # one plan at every size: texts move once, unsorted; rows without an id don't move
+    known = rows.where("_i is not null").join(trusted_ids(labels, id_col).hint("shuffle_hash"), F.col("_i") == F.col("_t"), "left")
     grams = known.unionByName(rows.where("_i is null"), allowMissingColumns=True).select("_t", word_array("_text").alias("_words"))
     grams = grams.select(F.col("_t").isNotNull().cast("long").alias("_good"), F.explode(gram_bins(F.col("_words"), bins)).alias("_bin"))
     counts = grams.groupBy("_bin").agg(F.count(F.lit(1)).alias("_raw"), F.sum("_good").alias("_target"))
