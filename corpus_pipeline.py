@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of
 their documents; a stage that changes a text sets ``n_chars`` anew. Stages are written as Parquet and read again.
+
+Defined results: null and blank texts fail the base rules and go in the first stage; null ids and sources are values like any
+other; of repeated rows one stays, as of all near duplicates, and ties of ids go by a hash of the row; an empty table gives no
+rows; other columns go along.
 """
 
 from __future__ import annotations
