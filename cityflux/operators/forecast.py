@@ -29,6 +29,28 @@ def features(cube: DataFrame, lags: Mapping[str, Sequence[int]] = LAGS, complete
     return out.dropna(subset=list(named)) if complete else out
 
 
+def lag_differences(featured: DataFrame, cube: DataFrame, lags: Mapping[str, Sequence[int]] = LAGS) -> DataFrame:
+    """Per lag, against the cube's value that many hours before: rows compared, rows where only one side has a value, largest difference."""
+    at = F.timestamp_add("HOUR", F.col("hour"), F.col("date").cast("timestamp_ntz"))
+    named = {f"{m}_lag_{k}h": (m, k) for m, ks in lags.items() for k in ks}
+    hours = sorted({k for _, k in named.values()})
+    later = cube.select("zone_id", at.alias("_from"), *lags, F.explode(F.array(*map(F.lit, hours))).alias("_k"))
+    # all lags of an hour in one row, so that one join serves them
+    expected = later.groupBy("zone_id", F.timestamp_add("HOUR", F.col("_k"), F.col("_from")).alias("_at")).agg(*[F.max(F.when(F.col("_k") == k, F.col(m))).alias(f"_{n}") for n, (m, k) in named.items()])
+    joined = featured.withColumn("_at", at).join(expected, ["zone_id", "_at"], "left")
+    rows = joined.select(F.inline(F.array(*[F.struct(F.lit(n).alias("lag"), F.col(n).cast("double").alias("a"), F.col(f"_{n}").cast("double").alias("b")) for n in named])))
+    a, b = F.col("a"), F.col("b")
+    return rows.groupBy("lag").agg(F.count(a - b).alias("compared"), F.count_if(a.isNull() != b.isNull()).alias("unmatched"), F.max(F.abs(a - b)).alias("largest_difference"))
+
+
+def require_aligned(featured: DataFrame, cube: DataFrame, lags: Mapping[str, Sequence[int]] = LAGS) -> DataFrame:
+    """``featured``; raises if a lag isn't the value of its hour."""
+    bad = [r["lag"] for r in lag_differences(featured, cube, lags).collect() if r["unmatched"] or r["largest_difference"]]
+    if bad:
+        raise ValueError(f"lags out of place: {', '.join(sorted(bad))}")
+    return featured
+
+
 def forbid_leaks(names: Sequence[str], leaking: set[str] = LEAKING) -> None:
     bad = sorted(set(names) & leaking)
     if bad:
@@ -55,9 +77,10 @@ def metrics(df: DataFrame, actual: str, predicted: str, by: Sequence[str | Colum
 
 
 def encoder(columns: Sequence[str]):
-    from pyspark.ml.feature import StringIndexer
+    """Ordinal codes of categories, -1 for unknown ones."""
+    from .ordinal import OrdinalEncoder
 
-    return StringIndexer(inputCols=list(columns), outputCols=[f"{c}_code" for c in columns], handleInvalid="keep", stringOrderType="alphabetAsc")
+    return OrdinalEncoder(columns, [f"{c}_code" for c in columns])
 
 
 def pipeline(model, numeric: Sequence[str], categories: Sequence[str] = ()):
@@ -76,7 +99,7 @@ def random_forest(label: str = "trips", trees: int = 50, depth: int = 18, seed:
     return RandomForestRegressor(labelCol=label, numTrees=trees, maxDepth=depth, minInstancesPerNode=5, featureSubsetStrategy="0.75", subsamplingRate=0.7, seed=seed)
 
 
-def boosted_trees(label: str = "trips", rounds: int = 50, depth: int = 5, seed: int = 42):
+def boosted_trees(label: str = "trips", rounds: int = 200, depth: int = 5, seed: int = 42):
     from pyspark.ml.regression import GBTRegressor
 
     return GBTRegressor(labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=0.08, minInstancesPerNode=30, seed=seed)

@@ -43,11 +43,17 @@ class Layer:
 
 
 def bronze(spark: SparkSession, files: str | Sequence[str], out: str, p: Period, year: int, month: int) -> int:
-    """Raw trip files as a month's Bronze partition; the written rows are counted."""
+    """Raw trip files as a month's Bronze partition; raises unless what is read back has the columns, types and number of rows that went in."""
     raw = quality.require_columns(readers.parquet(spark, files), TRIP_COLUMNS, "TAXI_SCHEMA_MISMATCH")
     rows = readers.with_lineage(raw, "yellow_taxi", p.run_id, p.at, year, month)
     sinks.replace_partitions(rows, out, ["_processing_year", "_processing_month"])
-    return spark.read.parquet(out).where((F.col("_processing_year") == year) & (F.col("_processing_month") == month)).count()
+    back = spark.read.parquet(out).where((F.col("_processing_year") == year) & (F.col("_processing_month") == month))
+    if not readers.same_schema([raw, back.select(*raw.columns)]):
+        raise ValueError("the written partition has other columns or types than its source")
+    want, got = raw.count(), back.count()
+    if got != want:
+        raise ValueError(f"{got} rows were written, {want} were read")
+    return got
 
 
 def bronze_checks(df: DataFrame) -> dict[str, int]:

@@ -272,6 +272,14 @@ def missing_hours(spark, d):
     return quality.missing_hours(cube.hours(spark, START, END), seen).select(F.col("date").cast("string").alias("date"), F.col("hour").cast("long").alias("hour"))
 
 
+@query("j12_surrogate_keys", "WITH d AS (SELECT row_number() OVER (ORDER BY n_nationkey) AS k, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA') SELECT CAST(coalesce(k, 0) AS BIGINT) AS zone_key, count(*) AS customers, round(sum(CAST(c_acctbal AS DECIMAL(18,2)))::DOUBLE, 2) AS balance FROM customer LEFT JOIN d ON c_nationkey = n_nationkey GROUP BY 1")
+def surrogate_keys(spark, d):
+    """Customers by the key of their zone; zones that the dimension lacks become its unknown member."""
+    dim = dims.keyed(zones(spark, d).where("borough <> 'ASIA'"), "zone_id", "zone_key")
+    facts = read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("zone_id")).agg(F.count(F.lit(1)).alias("n"), F.sum(S.money("c_acctbal")).alias("b"))
+    return dims.resolved(facts, dim, "zone_id", "zone_key").groupBy(F.col("zone_key").cast("long").alias("zone_key")).agg(F.sum("n").alias("customers"), F.round(F.sum("b").cast("double"), 2).alias("balance"))
+
+
 # Profiles and aggregates
 
 
@@ -426,6 +434,21 @@ def lag_features(spark, d):
     return _features(spark, d).select(F.col("date").cast("string").alias("date"), F.col("hour").cast("long").alias("hour"), F.col("zone_id").cast("long").alias("zone_id"), "trips", *names, F.col("day_of_week").cast("long").alias("day_of_week"))
 
 
+def _joined_lag(measure: str, hours: int, column: str) -> str:
+    return f"SELECT '{measure}_lag_{hours}h' AS lag, y.{column} AS a, s.{measure} AS b FROM y LEFT JOIN s ON s.zone_id = y.zone_id AND s.t = y.t - INTERVAL {hours} HOUR"
+
+
+_JOINED = " UNION ALL ".join([_joined_lag("trips", 1, "l1"), _joined_lag("trips", 24, "l24"), _joined_lag("trips", 168, "l168"), _joined_lag("complaints", 1, "c1"), _joined_lag("complaints", 24, "c24")])
+
+
+@query("j17_lag_alignment", SQL + ", s AS (SELECT *, CAST(date AS TIMESTAMP) + to_hours(hour) AS t FROM g WHERE trips > 0), x AS (SELECT *, lag(trips, 1) OVER p AS l1, lag(trips, 24) OVER p AS l24, lag(trips, 168) OVER p AS l168, lag(complaints, 1) OVER p AS c1, lag(complaints, 24) OVER p AS c24 FROM s WINDOW p AS (PARTITION BY zone_id ORDER BY date, hour)), y AS (SELECT * FROM x WHERE l24 IS NOT NULL), e AS (" + _JOINED + ") SELECT lag, count(a - b) AS compared, count(*) FILTER ((a IS NULL) <> (b IS NULL)) AS unmatched, CAST(max(abs(a - b)) AS DOUBLE) AS largest_difference FROM e GROUP BY lag")
+def lag_alignment(spark, d):
+    """Row-offset lags of the cells with trips, which aren't dense, against the values of their hours."""
+    sparse = star(spark, d).fact.where("trips > 0")
+    featured = forecast.features(sparse, complete=False).where("trips_lag_24h is not null")
+    return forecast.lag_differences(featured, sparse)
+
+
 @query("m06_baseline_by_zone", _LAGS + f"SELECT CAST(zone_id AS BIGINT) AS zone_id, {_METRICS}, {_R2} FROM y GROUP BY zone_id")
 def baseline(spark, d):
     return forecast.metrics(_features(spark, d), "trips", "trips_lag_168h", ["zone_id"]).withColumn("zone_id", F.col("zone_id").cast("long"))

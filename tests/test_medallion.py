@@ -24,6 +24,9 @@ def test_raw_to_fact(spark, tmp_path, zone_dim, monkeypatch):
     raw = str(tmp_path / "raw")
     spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], readers.TRIPS).write.parquet(raw)
     assert M.bronze(spark, raw, str(tmp_path / "bronze"), P, 2025, 1) == 6
+    with monkeypatch.context() as m, pytest.raises(ValueError, match="5 rows were written, 6 were read"):
+        m.setattr(sinks, "replace_partitions", lambda df, out, by: df.limit(5).write.partitionBy(*by).parquet(out))
+        M.bronze(spark, raw, str(tmp_path / "short"), P, 2025, 1)
     bronze = spark.read.parquet(str(tmp_path / "bronze"))
     assert set(M.bronze_checks(bronze).values()) == {0}
     trips = M.silver_trips(bronze, zone_dim, P)

@@ -133,6 +133,11 @@ def test_lags_need_history(spark):
     assert f.count() == 2 * 24
     r = f.where("zone_id = 1 and hour = 0").first()
     assert (r["trips"], r["trips_lag_1h"], r["trips_lag_24h"], r["trips_lag_168h"]) == (800, 723, 700, 100)
+    assert {(r["compared"], r["unmatched"], r["largest_difference"]) for r in forecast.lag_differences(f, base).collect()} == {(48, 0, 0.0)}
+    assert forecast.require_aligned(f, base) is f
+    gapped = base.where("not (zone_id = 1 and hour = 7 and dayofmonth(date) = 8)")
+    with pytest.raises(ValueError, match="trips_lag_1h"):
+        forecast.require_aligned(forecast.features(gapped), gapped)
     with pytest.raises(ValueError, match="revenue"):
         forecast.forbid_leaks(["hour", "revenue"])
 
@@ -165,6 +170,15 @@ def test_models_and_importance(spark):
     assert forecast.chosen(compared, "none") == "forest"
 
 
+def test_unknown_categories_are_minus_one(spark):
+    df = spark.createDataFrame([("b",), ("a",), (None,), ("c",)], "k string")
+    model = forecast.encoder(["k"]).fit(df.where("k <> 'c' or k is null"))
+    assert {r["k"]: r["k_code"] for r in model.transform(df).collect()} == {"a": 0.0, "b": 1.0, "c": -1.0, None: -1.0}
+    many = spark.range(300).select((F.col("id") % 100).cast("string").alias("k"), (F.col("id") % 100).cast("double").alias("trips"))
+    assert forecast.pipeline(forecast.random_forest(trees=2, depth=4), [], ["k"]).fit(many).transform(many).count() == 300
+    assert forecast.encoder(["k"]).fit(df.limit(0)).transform(df).where("k_code = -1").count() == 4
+
+
 def test_profiles(spark):
     df = spark.createDataFrame([(1, "a"), (1, " "), (2, None), (None, "a")], "n int, t string")
     n = {r["column_name"]: (r["row_count"], r["missing"]) for r in profile.nulls(df).collect()}

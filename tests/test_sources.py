@@ -166,3 +166,13 @@ def test_log_lines(spark, tmp_path):
     sinks.append_log(spark, path, [{"run_id": "a", "rows_read": 1}], schema)
     sinks.append_log(spark, path, [{"run_id": "b"}], schema)
     assert sorted((r["run_id"], r["rows_read"]) for r in spark.read.schema(schema).json(path).collect()) == [("a", 1), ("b", None)]
+
+
+def test_database_tables(spark):
+    url, driver = "jdbc:derby:memory:cityflux;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    rows = spark.range(1, 101).select(F.col("id").alias("K"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("NAME"))
+    assert sinks.to_jdbc(rows, url, "STAGE", driver=driver) == 100
+    assert sinks.to_jdbc(rows.where("K > 40"), url, "STAGE", driver=driver) == 60  # replaced, not added to
+    back = readers.jdbc(spark, url, "STAGE", "K", (1, 100), 4, driver=driver)
+    assert back.rdd.getNumPartitions() == 4
+    assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in rows.where("K > 40").collect())
