@@ -507,3 +507,40 @@ def forest(spark, d):
 def rule_catalog(spark, d):
     rows = [(r.source, int(r.rejects)) for r in quality.catalog()]
     return spark.createDataFrame(rows, "source string, rejects int").groupBy("source").agg(F.count(F.lit(1)).alias("n_rules"), F.sum("rejects").alias("n_rejecting"))
+
+
+def _trips(spark, d) -> DataFrame:
+    """Events as raw trips, with values that break the rules for trips."""
+    value, user = F.col("value"), F.col("user_id")
+    minutes = F.floor(value * 20).cast("int") - 200
+    made = {
+        "tpep_pickup_datetime": F.when(user % 11 != 0, F.col("ts")), "tpep_dropoff_datetime": F.when(user % 13 != 0, F.timestamp_add("MINUTE", minutes, F.col("ts"))), "PULocationID": F.when(user % 7 != 0, user % 7),
+        "DOLocationID": F.lit(1), "trip_distance": value * 4 - 10, "fare_amount": value * 20 - 300, "total_amount": value * 20 - 400, "passenger_count": user % 9,
+    }
+    return quality.numbered(_events(spark, d), ["user_id", "event_type"], ["event_id"]).withColumns(made)
+
+
+#: Rule and condition in SQL; the first seven reject, the others flag rows that no rule rejects.
+_TRIP_RULES = [
+    ("DQ_TAXI_001", "pu IS NULL"), ("DQ_TAXI_002", "doff IS NULL"), ("DQ_TAXI_003", "doff < pu"), ("DQ_TAXI_004", "pu < TIMESTAMP '2024-01-05' OR pu >= TIMESTAMP '2024-01-20'"), ("DQ_TAXI_005", "user_id % 7 = 0"),
+    ("DQ_TAXI_006", "occurrence > 1"), ("DQ_TAXI_007", "value * 4 - 10 < 0"), ("DQ_TAXI_008", "value * 20 - 300 < 0"), ("DQ_TAXI_009", "value * 20 - 400 < 0"), ("DQ_TAXI_010", "value * 20 - 300 >= 900"),
+    ("DQ_TAXI_011", "value * 4 - 10 >= 150"), ("DQ_TAXI_012", "date_diff('second', pu, doff) >= 36000"), ("DQ_TAXI_013", "user_id % 9 = 0 OR user_id % 9 > 6"),
+]
+_TRIP_SQL = (
+    "WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS occurrence, CASE WHEN user_id % 11 <> 0 THEN ts END AS pu, CASE WHEN user_id % 13 <> 0 THEN ts + to_minutes(CAST(floor(value * 20) AS BIGINT) - 200) END AS doff FROM events), t AS (SELECT *, "
+    + " OR ".join(f"coalesce({test}, false)" for _, test in _TRIP_RULES[:7])
+    + " AS bad FROM n), c AS ("
+    + " UNION ALL ".join(f"SELECT '{rule}' AS rule_id, count(*) FILTER ({test}) AS n FROM t{'' if k < 7 else ' WHERE NOT bad'}" for k, (rule, test) in enumerate(_TRIP_RULES))
+    + ") SELECT rule_id, n FROM c WHERE n > 0"
+)
+
+
+@query("w01_trip_rules", _TRIP_SQL)
+def trip_rules(spark, d):
+    """How many rows break each of the catalog's rules for trips, and get each flag."""
+    rules = quality.of_source(quality.catalog("2024-01-05", "2024-01-20"), "yellow_taxi")
+    tagged = quality.tagged(_trips(spark, d), rules, ["event_id"])
+    rejected = tagged.select(F.explode("_reasons.rule_id").alias("rule_id")).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+    flags = [r for r in rules if r.flags]
+    flagged = quality.valid(tagged, rules).agg(*[F.count_if(r.flag).alias(r.rule_id) for r in flags]).unpivot([], [r.rule_id for r in flags], "rule_id", "n")
+    return rejected.unionByName(flagged.where("n > 0"))
