@@ -86,9 +86,9 @@ def silver_complaints(raw: DataFrame, p: Period) -> Layer:
     return Layer(layer.valid.drop("occurrence", "latitude_text", "longitude_text").withColumns({"created_date": F.to_date("created_at"), "created_time": F.date_format("created_at", "HH:mm:ss")}), layer.events, layer.counts)
 
 
-def mapped_complaints(complaints: DataFrame, polygons: DataFrame, cell: float | None = None) -> DataFrame:
+def mapped_complaints(complaints: DataFrame, polygons: DataFrame) -> DataFrame:
     """Complaints with the zone that their coordinates lie in."""
-    return geo.assign_zones(complaints, polygons, "longitude", "latitude", cell=cell)
+    return geo.assign_zones(complaints, polygons, "longitude", "latitude")
 
 
 def silver_weather(hours: DataFrame, p: Period, gap_report: str | None = None) -> Layer:

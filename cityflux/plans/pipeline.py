@@ -260,6 +260,55 @@ def point_in_zone(spark, d):
     return geo.assign_zones(points, shapes, "x", "y").select("vec_id", F.coalesce("zone_id", F.lit(-1)).cast("long").alias("zone_id"), "status")
 
 
+#: Vertices of a border between rows of zones; a zone has two borders.
+STEPS = 160
+
+
+def _border(line, step):
+    """Height of a border's vertex, by a rule that both engines compute alike."""
+    return line * 1.25 - 3.0 + ((line * 977 + step * 7919) % 101) / F.lit(101.0) * 0.9
+
+
+def detailed_zones(spark: SparkSession, d: str) -> DataFrame:
+    """A zone for each nation, five to a row, between two jagged borders of ``STEPS`` edges that neighbours share."""
+    z = F.col("n_nationkey")
+    row, column, k = F.floor(z / 5), z % 5, F.sequence(F.lit(0), F.lit(STEPS))
+    xs = F.transform(k, lambda i: column * 1.25 - 3.0 + i / F.lit(float(STEPS)) * 1.25)
+    low, high = (F.transform(k, lambda i: _border(line, column * STEPS + i)) for line in (row, row + 1))
+    ring = F.struct(F.concat(xs, F.reverse(xs)).alias("xs"), F.concat(low, F.reverse(high)).alias("ys"))
+    return read(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("zone_id"), F.array(ring).alias("rings"))
+
+
+@query("j05_detailed_zones", f"""
+WITH s AS (SELECT n_nationkey AS z, n_nationkey // 5 AS r, n_nationkey % 5 AS c, unnest(range({STEPS})) AS i FROM nation),
+h AS (SELECT z, c * 1.25 - 3.0::DOUBLE + i / {STEPS}.0::DOUBLE * 1.25::DOUBLE AS x1, c * 1.25 - 3.0::DOUBLE + (i + 1) / {STEPS}.0::DOUBLE * 1.25::DOUBLE AS x2, r + n AS line, c * {STEPS} + i AS k FROM s, (VALUES (0), (1)) AS b(n)),
+e AS (SELECT z, x1, x2, line * 1.25::DOUBLE - 3.0::DOUBLE + ((line * 977 + k * 7919) % 101) / 101.0::DOUBLE * 0.9::DOUBLE AS y1, line * 1.25::DOUBLE - 3.0::DOUBLE + ((line * 977 + (k + 1) * 7919) % 101) / 101.0::DOUBLE * 0.9::DOUBLE AS y2 FROM h),
+u AS (SELECT z, min(x1) AS a, max(x2) AS b FROM e GROUP BY z),
+p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) * 10 AS x, CAST(embedding[2] AS DOUBLE) * 10 AS y FROM embeddings),
+t AS (SELECT vec_id, z, count(*) FILTER (x1 <= x AND x < x2 AND y < (y2 - y1) * (x - x1) / (x2 - x1) + y1) AS above FROM p JOIN u ON x > a AND x < b JOIN e USING (z) GROUP BY ALL),
+f AS (SELECT vec_id, min(z) AS z FROM t WHERE above % 2 = 1 GROUP BY vec_id)
+SELECT vec_id, CAST(coalesce(z, -1) AS BIGINT) AS zone_id, CASE WHEN z IS NULL THEN 'OUTSIDE_TAXI_ZONE_POLYGONS' ELSE 'MAPPED' END AS status FROM p LEFT JOIN f USING (vec_id)""")
+def points_in_detailed_zones(spark, d):
+    points = read(spark, d, "embeddings").select("vec_id", (F.get("embedding", 0).cast("double") * 10).alias("x"), (F.get("embedding", 1).cast("double") * 10).alias("y"))
+    return geo.assign_zones(points, detailed_zones(spark, d), "x", "y").select("vec_id", F.coalesce("zone_id", F.lit(-1)).cast("long").alias("zone_id"), "status")
+
+
+@query("s09_zone_faults", """
+WITH b AS (SELECT s_suppkey AS z, s_suppkey % 40 AS a, s_suppkey // 40 AS c, CASE WHEN s_acctbal > 8000 THEN 1.5 ELSE 1.0 END AS w, s_nationkey = 3 AS bow FROM supplier)
+SELECT z AS zone, 'CROSSING' AS fault, CAST(NULL AS BIGINT) AS other FROM b WHERE bow
+UNION ALL SELECT l.z, 'OVERLAPS_ZONE', r.z FROM b l JOIN b r ON l.z < r.z AND l.a < r.a + r.w AND r.a < l.a + l.w AND l.c < r.c + 1 AND r.c < l.c + 1 WHERE NOT l.bow AND NOT r.bow""")
+def zone_faults(spark, d):
+    """Suppliers as squares side by side: rich ones reach into their neighbour, and those of one nation have their vertices in the wrong order."""
+    t, bow = read(spark, d, "supplier"), F.col("s_nationkey") == 3
+    x, y, w = (F.col("s_suppkey") % 40).cast("double"), F.floor(F.col("s_suppkey") / 40).cast("double"), F.when(F.col("s_acctbal") > 8000, 1.5).otherwise(1.0)
+    xs = F.array(x, x + w, F.when(bow, x).otherwise(x + w), F.when(bow, x + w).otherwise(x))
+    zones = t.select(F.col("s_suppkey").alias("zone_id"), F.array(F.struct(xs.alias("xs"), F.array(y, y, y + 1, y + 1).alias("ys"))).alias("rings"), bow.alias("bow"))
+    broken = zones.where("bow").select(F.col("zone_id").alias("b"))
+    found = geo.zone_faults(zones.drop("bow")).where("fault <> 'SELF_TOUCH'")
+    crossing = found.where("other is null").select("zone", "fault", "other").distinct()
+    return crossing.unionByName(found.where("other is not null").join(broken, F.col("b").isin(F.col("zone"), F.col("other")), "left_anti").select("zone", "fault", "other"))
+
+
 @query("j11_unresolved_keys", "SELECT count(*) AS n FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 0)")
 def unresolved(spark, d):
     good = read(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))

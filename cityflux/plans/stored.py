@@ -2,28 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shared_folder
 from ..sources.sinks import Store, publish
 
 _MADE: dict[tuple, tuple[str, object]] = {}
 
 
-def _folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, a new folder, which only a local master can have."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is unset: on a cluster it must name a folder that all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='cityflux-')}"
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 def _state(spark: SparkSession, paths: Sequence[str]) -> tuple:
     """Sizes and times of the sources, so that a changed one is a new one."""
     store = Store(spark)
@@ -35,7 +24,7 @@ def stored(spark: SparkSession, name: str, sources: Sequence[str], build: Callab
     key = (spark.sparkContext.applicationId, name, _state(spark, sources))
     if key not in _MADE:
         df = build()
-        path = f"{_folder(spark)}/gold-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+        path = f"{shared_folder(spark)}/gold-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
         publish(df, path)
         _MADE[key] = path, df.schema
     path, schema = _MADE[key]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "cityflux", master: str | None = None, **settings: str) -> SparkSession:
@@ -21,3 +23,22 @@ def session(name: str = "cityflux", master: str | None = None, **settings: str)
     for key, value in {**defaults, **{k.replace("_", "."): v for k, v in settings.items()}}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is unset, a new folder, which only a local master can have."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: on a cluster it must name a folder that all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='cityflux-')}"
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` in reliable checkpoint files of the shared folder, where lineage ends."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)

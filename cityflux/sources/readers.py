@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import geo
 from ..functions import scalar as S
 
 
@@ -105,11 +106,14 @@ def file_counts(df: DataFrame) -> DataFrame:
 
 
 def checked_polygons(shapes: DataFrame, expected: int | None = None, special: Sequence[int] = (264, 265)) -> DataFrame:
-    """Polygons as ``polygons`` gives them; raises on null, special or double ids, rings of under three vertices, or another number of zones."""
-    broken = F.exists("rings", lambda r: (F.size(r["xs"]) < 3) | (F.size(r["xs"]) != F.size(r["ys"])))
+    """Polygons as ``polygons`` gives them; raises on null, special or double ids, another number of zones, rings of under three vertices, and on rings or zones that ``geo.zone_faults`` finds fault with."""
+    broken = F.exists("rings", lambda r: (F.size(r["xs"]) < 3) | (F.size(r["xs"]) != F.size(r["ys"])) | F.exists(F.concat(r["xs"], r["ys"]), lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
     row = shapes.agg(F.count(F.lit(1)), F.count_distinct("zone_id"), F.count_if(S.truth(broken) | F.col("zone_id").isNull() | F.col("zone_id").isin(*special) | (F.size("rings") < 1))).first()
     if row[0] != row[1] or row[2] or (expected is not None and row[0] != expected):
         raise ValueError(f"{row[0]} polygons of {row[1]} zones, {row[2]} of them invalid")
+    found = geo.zone_faults(shapes).orderBy("zone", "fault", "other", "x", "y").limit(20).collect()
+    if found:
+        raise ValueError("invalid polygons: " + "; ".join(f"zone {r['zone']} {r['fault']}{'' if r['other'] is None else f' {r["other"]}'} at {r['x']} {r['y']}" for r in found))
     return shapes
 
 

@@ -41,7 +41,7 @@ def test_raw_to_fact(spark, tmp_path, zone_dim, monkeypatch):
     assert (complaints.counts.valid, complaints.counts.rejected) == (2, 1)
     square = [(1, 0, i, x, y) for i, (x, y) in enumerate([(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)])]
     polygons = readers.polygons(spark.createDataFrame(square, "zone_id int, ring int, seq int, x double, y double"))
-    mapped = M.mapped_complaints(complaints.valid.drop("status"), polygons, cell=1.0)
+    mapped = M.mapped_complaints(complaints.valid.drop("status"), polygons)
     assert {r["unique_key"]: r["status"] for r in mapped.collect()} == {"1": geo.MAPPED, "2": geo.OUTSIDE}
 
     stamps = [f"2025-01-0{d}T{h:02d}:00" for d in (1, 2) for h in range(24)]
