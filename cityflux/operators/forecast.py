@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from .ranks import ranked
 
 LEAKING = {"revenue", "average_fare", "average_trip_distance", "average_distance"}
 LAGS = {"trips": (1, 24, 168), "complaints": (1, 24)}
@@ -116,21 +117,35 @@ def chosen(comparison: DataFrame, baseline: str) -> str:
     return comparison.where(F.col("model") != baseline).orderBy("mae", "rmse", "model").first()["model"]
 
 
-def permuted(df: DataFrame, columns: Sequence[str], seed: int, parts: int = 64) -> DataFrame:
-    """``df`` with the columns' values shuffled together between rows: rows are dealt into ``parts`` and in each part get the values of a row at another random place."""
-    spread = df.withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.lit(parts)))
-    w = lambda s: Window.partitionBy("_part").orderBy(F.xxhash64(F.lit(s), *df.columns))
-    placed = spread.withColumn("_i", F.row_number().over(w(0)))
-    other = spread.withColumn("_i", F.row_number().over(w(seed + 1))).select("_part", "_i", *[F.col(c).alias(f"_{c}") for c in columns])
-    return placed.join(other, ["_part", "_i"]).select(*[F.col(f"_{c}").alias(c) if c in columns else c for c in df.columns])
+class GroupMeans:
+    """Predicts the mean of its training rows with equal keys; rows of unknown keys get none."""
 
+    def __init__(self, df: DataFrame, keys: Sequence[str], label: str):
+        self.keys = list(keys)
+        self.means = df.groupBy(*keys).agg(F.avg(label).alias("prediction"))
 
-def permutation_importance(model, df: DataFrame, label: str, groups: Mapping[str, Sequence[str]], repeats: int = 3) -> list[tuple[str, float, float]]:
-    """(group, mean rise of MAE, deviation) when a group's columns are shuffled together."""
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.join(self.means, self.keys, "left")
+
+
+def permuted(df: DataFrame, columns: Sequence[str], seed: int, key: Sequence[str] = ()) -> DataFrame:
+    """``df`` with the columns' values shuffled together over all rows: two random orders of the rows, and each row gets the values of the one at its place in the other order.
+
+    The orders are those of MD5 sums of ``key`` (all columns, unless given) with the seed; places come from ranges and prefix
+    sums, so no task holds more than its range.
+    """
+    at = lambda s: F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key or df.columns], F.lit(str(s))))
+    placed = ranked(df, [at(0)], "_i")
+    other = ranked(df.select(*key, *columns) if key else df, [at(seed + 1)], "_i").select("_i", *[F.col(c).alias(f"_{c}") for c in columns])
+    return placed.join(other, "_i").select(*[F.col(f"_{c}").alias(c) if c in columns else c for c in df.columns])
+
+
+def permutation_importance(model, df: DataFrame, label: str, groups: Mapping[str, Sequence[str]], repeats: int = 3, key: Sequence[str] = ()) -> list[tuple[str, float, float]]:
+    """(group, mean rise of MAE, deviation) when a group's columns are shuffled together; ``model`` is anything with ``transform``."""
     error = lambda d: model.transform(d).agg(F.avg(F.abs(F.col("prediction") - F.col(label)))).first()[0]
     base, out = error(df), []
     for name, columns in groups.items():
-        rises = [error(permuted(df, columns, 1000 + k)) - base for k in range(repeats)]
+        rises = [error(permuted(df, columns, 1000 + k, key)) - base for k in range(repeats)]
         mean = sum(rises) / repeats
         out.append((name, mean, (sum((r - mean) ** 2 for r in rises) / repeats) ** 0.5))
     return sorted(out, key=lambda r: -r[1])

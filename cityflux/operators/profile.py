@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from .ranks import order_statistics
 
 QUANTILES = (0.0, 0.01, 0.5, 0.95, 0.99, 0.999, 1.0)
 
@@ -26,9 +28,35 @@ def nulls(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
 
 def ranges(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Per numeric column: smallest, largest, mean, distinct values."""
-    row = df.agg(*[x for c in columns for x in (F.min(c).cast("double").alias(f"{c}__low"), F.max(c).cast("double").alias(f"{c}__high"), F.count_distinct(c).alias(f"{c}__n_distinct"))])
-    return _long(row, columns, ("low", "high", "n_distinct"))
+    """Per numeric column: smallest, largest, distinct values. Each column is counted on its own, so no row is copied for each column."""
+    row = df.agg(*[x for c in columns for x in (F.min(c).cast("double").alias(f"{c}__low"), F.max(c).cast("double").alias(f"{c}__high"))])
+    return _long(row, columns, ("low", "high")).join(distinct_values(df, columns), "column_name")
+
+
+def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Per column: exact number of distinct values. A scan for each column, which reads nothing else."""
+    each = [df.select(F.col(c)).where(F.col(c).isNotNull()).distinct().agg(F.lit(c).alias("column_name"), F.count(F.lit(1)).alias("n_distinct")) for c in columns]
+    return reduce(DataFrame.unionByName, each)
+
+
+#: Log2 of a sketch's size, and the relative error that all but a few of a thousand estimates keep (4 / sqrt(2 ** SKETCH)).
+SKETCH, SKETCH_ERROR = 14, 4 / 2**7
+
+
+def sketches(df: DataFrame, columns: Sequence[str], period: str) -> DataFrame:
+    """period, column_name, row_count, missing and a sketch of the distinct values: one pass for all columns, rows of fixed size.
+
+    Kept as a table (``sinks.replace_partitions`` by period), it answers for any periods together without their rows.
+    """
+    per = [x for c in columns for x in (F.count(F.lit(1)).alias(f"{c}__row_count"), F.count_if(F.col(c).isNull()).alias(f"{c}__missing"), F.hll_sketch_agg(F.col(c).cast("string"), F.lit(SKETCH)).alias(f"{c}__sketch"))]
+    wide = df.groupBy(period).agg(*per)
+    structs = [F.struct(F.lit(c).alias("column_name"), *[F.col(f"{c}__{p}").alias(p) for p in ("row_count", "missing", "sketch")]) for c in columns]
+    return wide.select(period, F.inline(F.array(*structs)))
+
+
+def estimated(sketch_rows: DataFrame) -> DataFrame:
+    """Per column over all given periods: rows, nulls, estimated distinct values."""
+    return sketch_rows.groupBy("column_name").agg(F.sum("row_count").alias("row_count"), F.sum("missing").alias("missing"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_estimated"))
 
 
 def battery(df: DataFrame, tests: Mapping[str, Column]) -> DataFrame:
@@ -37,9 +65,8 @@ def battery(df: DataFrame, tests: Mapping[str, Column]) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], at: Sequence[float] = QUANTILES) -> DataFrame:
-    """Interpolated; keeps all distinct values, so for small or coarse columns."""
-    row = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, at))).alias(c) for c in columns])
-    return _spread(row, columns, at)
+    """Interpolated, by global ranks: memory and what a task reads don't grow with a column's distinct values."""
+    return df.sparkSession.createDataFrame(order_statistics(df, columns, at), "column_name string, quantile double, value double")
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], at: Sequence[float] = QUANTILES, accuracy: int = 10000) -> DataFrame:
@@ -91,5 +118,5 @@ def json_fields(df: DataFrame, json_column: str, part: str) -> DataFrame:
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str], file: str) -> DataFrame:
-    """Keys of several rows: how many, and the first file that has one (the keeper)."""
+    """Keys of several rows: how many, and the first file that has one (the keeper). For wide keys see ``duplicates``."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("occurrences"), F.min(file).alias("keeper")).where("occurrences > 1")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions import scalar as S
-from ..operators import cube, dims, quality
+from ..operators import cube, dims, duplicates, quality
 from ..sources import readers, sinks
 
 TRIP_COLUMNS = [f.name for f in readers.TRIPS]
@@ -70,7 +70,7 @@ def _layer(rows: DataFrame, rules: list[quality.Rule], originals: Sequence[str],
 def silver_trips(rows: DataFrame, zone_dim: DataFrame, p: Period) -> Layer:
     """Valid trips with duration, payment method, revenue and both zones; duplicates are those of the source columns, the first by file stays."""
     quality.require_columns(rows, [*TRIP_COLUMNS, *readers.LINEAGE], "TAXI_SCHEMA_MISMATCH")
-    numbered = quality.numbered(rows, TRIP_COLUMNS, ["_source_file"])
+    numbered = duplicates.numbered(rows, TRIP_COLUMNS, ["_source_file"])
     layer = _layer(numbered, quality.of_source(quality.catalog(p.start, p.end), "yellow_taxi"), TRIP_COLUMNS, "yellow_taxi", p)
     made = layer.valid.drop("occurrence").withColumns({
         "pickup_date": F.to_date("tpep_pickup_datetime"), "pickup_hour": F.hour("tpep_pickup_datetime"), "trip_duration_minutes": S.minutes_between("tpep_pickup_datetime", "tpep_dropoff_datetime"),

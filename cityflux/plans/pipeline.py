@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions import scalar as S
-from ..operators import cube, dims, forecast, profile, quality
+from ..operators import cube, dims, duplicates, forecast, profile, quality
 from ..sources import readers, sinks
 from . import analytics as A
 from . import control
@@ -367,6 +367,23 @@ def top_values(spark, d):
     return profile.top_values(read(spark, d, "part"), "p_type")
 
 
+_STATISTICS = (0.0, 0.001, 0.25, 0.5, 0.75, 0.999, 1.0)
+
+
+@query("a05_order_statistics", " UNION ALL ".join(f"SELECT '{c}' AS column_name, q AS quantile, round(v, 4) AS value FROM (SELECT unnest({list(_STATISTICS)})::DOUBLE AS q, unnest(quantile_cont({c}, {list(_STATISTICS)})) AS v FROM lineitem)" for c in ("l_extendedprice", "l_quantity", "l_discount", "l_orderkey")))
+def order_statistics(spark, d):
+    return profile.exact_quantiles(read(spark, d, "lineitem"), ["l_extendedprice", "l_quantity", "l_discount", "l_orderkey"], _STATISTICS).withColumn("value", F.round("value", 4))
+
+
+@query("a07_sketched_distinct", " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS missing, count(DISTINCT {c}) AS n_distinct, true AS within_bound FROM events" for c in ("event_id", "user_id", "event_type", "props", "value")))
+def sketched_distinct(spark, d):
+    """Estimates from daily sketches beside exact counts, which an exact second pass gives; the bound has to hold."""
+    columns = ["event_id", "user_id", "event_type", "props", "value"]
+    events = _events(spark, d).withColumn("day", F.to_date("ts"))
+    both = profile.estimated(profile.sketches(events, columns, "day")).join(profile.distinct_values(events, columns), "column_name")
+    return both.select("column_name", "row_count", "missing", "n_distinct", (F.abs(F.col("n_estimated") - F.col("n_distinct")) <= F.col("n_distinct") * profile.SKETCH_ERROR).alias("within_bound"))
+
+
 @query("a07_ranges", "SELECT 'l_quantity' AS column_name, CAST(min(l_quantity) AS DOUBLE) AS low, CAST(max(l_quantity) AS DOUBLE) AS high, count(DISTINCT l_quantity) AS n_distinct FROM lineitem UNION ALL SELECT 'l_tax', CAST(min(l_tax) AS DOUBLE), CAST(max(l_tax) AS DOUBLE), count(DISTINCT l_tax) FROM lineitem")
 def ranges(spark, d):
     return profile.ranges(read(spark, d, "lineitem"), ["l_quantity", "l_tax"])
@@ -398,6 +415,12 @@ def gold_cube(spark, d):
 # Windows
 
 
+@query("n01_prescanned_numbers", "SELECT l_orderkey, l_linenumber, CAST(n AS INTEGER) AS occurrence FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_suppkey, l_quantity ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n > 1")
+def prescanned_numbers(spark, d):
+    rows = read(spark, d, "lineitem")
+    return duplicates.numbered(rows, ["l_partkey", "l_suppkey", "l_quantity"], ["l_orderkey", "l_linenumber"]).where("occurrence > 1").select("l_orderkey", "l_linenumber", "occurrence")
+
+
 @query("n01_first_of_duplicates", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) WHERE n = 1")
 def first_of_duplicates(spark, d):
     return quality.keep_first(_events(spark, d), ["user_id", "event_type"], ["ts", "event_id"]).select("event_id")
@@ -498,6 +521,26 @@ def lag_alignment(spark, d):
     return forecast.lag_differences(featured, sparse)
 
 
+_GROUPS = {"hour": ["hour"], "zone": ["zone_id"], "both": ["hour", "zone_id"], "day": ["day"]}
+
+
+def _importance_sql(repeats: int) -> str:
+    rows = "SELECT hour, zone_id, trips, CAST(day(date) AS BIGINT) AS day, concat_ws('|', date, hour, zone_id) AS k FROM g"
+    orders = ", ".join(f"row_number() OVER (ORDER BY md5(k || '|{s}')) AS r{s}" for s in (0, *[1001 + n for n in range(repeats)]))
+    keys = lambda columns: " AND ".join(f"m.{c} = {'y' if c in columns else 'x'}.{c}" for c in ("hour", "zone_id"))
+    errors = [f"SELECT '{g}' AS feature_group, (SELECT avg(abs(p - x.trips)) FROM b x JOIN b y ON x.r0 = y.r{1001 + n} JOIN m ON {keys(c)}) - (SELECT avg(abs(p - x.trips)) FROM b x JOIN m USING (hour, zone_id)) AS rise" for g, c in _GROUPS.items() for n in range(repeats)]
+    return SQL + f", a AS ({rows}), b AS (SELECT *, {orders} FROM a), m AS (SELECT hour, zone_id, avg(trips) AS p FROM a GROUP BY ALL), e AS ({' UNION ALL '.join(errors)}) SELECT feature_group, round(avg(rise), 6) + 0.0 AS mae_rise, round(stddev_pop(rise), 6) + 0.0 AS deviation FROM e GROUP BY 1"
+
+
+@query("m11_group_importance", _importance_sql(2))
+def group_importance(spark, d):
+    """How much worse group means predict when features are permuted over all rows."""
+    rows = star(spark, d).fact.select("date", "hour", "zone_id", "trips", F.dayofmonth("date").cast("long").alias("day"))
+    model = forecast.GroupMeans(rows, ["hour", "zone_id"], "trips")
+    found = forecast.permutation_importance(model, rows, "trips", _GROUPS, 2, ["date", "hour", "zone_id"])
+    return spark.createDataFrame(found, "feature_group string, mae_rise double, deviation double").select("feature_group", *[(F.round(c, 6) + 0.0).alias(c) for c in ("mae_rise", "deviation")])
+
+
 @query("m06_baseline_by_zone", _LAGS + f"SELECT CAST(zone_id AS BIGINT) AS zone_id, {_METRICS}, {_R2} FROM y GROUP BY zone_id")
 def baseline(spark, d):
     return forecast.metrics(_features(spark, d), "trips", "trips_lag_168h", ["zone_id"]).withColumn("zone_id", F.col("zone_id").cast("long"))

@@ -152,7 +152,7 @@ def test_metrics_edges(spark):
 
 def test_shuffled_columns_keep_their_values(spark):
     df = spark.range(500).withColumns({"a": F.col("id") * 2, "b": F.col("id") * 3})
-    out = forecast.permuted(df, ["a", "b"], 5, parts=4)
+    out = forecast.permuted(df, ["a", "b"], 5)
     rows = out.collect()
     assert len(rows) == 500
     assert sorted(r["a"] for r in rows) == [2 * i for i in range(500)]
