@@ -13,8 +13,9 @@ spot, since their windows start later. So a passage that a third of all document
 
 A window counts as repeated when ``K``-word hash (64 bits), distance and ``SPAN``-word hash (40 bits) agree.
 
-Defined results: null texts have no words; a null id sorts before all others; rows with equal ids are separate rows, and a
-window is marked only for one that starts at a smaller (id, start), so repeated rows don't remove each other; an empty table
+Defined results: null texts have no words; a null id sorts before all others; rows with equal ids and other texts are separate
+documents, of whose windows the first is the one with the least (id, start, hash of the text), whatever the rows' order, and
+all others are marked; rows that are alike in id and text are one document, and all keep or lose the same words; an empty table
 gives no rows; input columns that clash with output columns are replaced, others may have any name; ids are whole numbers,
 and others fail the run.
 """
@@ -65,14 +66,12 @@ def _edges(d: np.ndarray, t: np.ndarray, words: list[np.ndarray]) -> pa.RecordBa
     o = a - s0
     m = grams[a]
     whole = mixed(np.add.reduceat(mixed(window + (anchor - s).astype(U)), first) + m * U(3) + (o * 64 + count).astype(U)) if len(first) else np.empty(0, U)
-    _, lead, group = np.unique(whole, return_index=True, return_inverse=True)
-    lead = lead[group]
-    doc, start = d[row[s0]], place[s0]
-    late = (doc != doc[lead]) | (start != start[lead])  # what remains starts at the same place of a repeated row, or leads
+    doc, start, text = d[row[s0]], place[s0], t[row[s0]]
+    lead = _first(whole, doc, start, text)
+    late = (doc != doc[lead]) | (start != start[lead]) | (text != text[lead])  # what remains leads, or is the same place of the same row once more
     send = np.flatnonzero(~late)
     raw_bytes = window.view(np.uint8).reshape(-1, 8)[:, :WIDE]
     take = np.repeat(first[send], count[send]) + _ramp(count[send])
-    text = t[row[s0]]
     # runs of marked windows, one span each
     r, x, y = row[s0][late], start[late], (start + count)[late]
     cut = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (x[1:] != y[:-1])))) if len(r) else np.empty(0, np.int64)
@@ -88,6 +87,15 @@ def _edges(d: np.ndarray, t: np.ndarray, words: list[np.ndarray]) -> pa.RecordBa
     ], names=EDGE.names)
 
 
+def _first(key: np.ndarray, doc: np.ndarray, start: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """For each row the place of the first one with its key, by (doc, start, text)."""
+    order = np.lexsort((text, start, doc))
+    _, lead, group = np.unique(key[order], return_index=True, return_inverse=True)
+    out = np.empty(len(key), np.int64)
+    out[order] = order[lead][group]
+    return out
+
+
 def _ramp(counts: np.ndarray) -> np.ndarray:
     """0 .. count - 1 for each count, one after the other."""
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -115,7 +123,10 @@ def _map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Marker:
-    """Marks repeated windows in edges sorted by (m, d, at, t); keeps the first windows of the last anchor from batch to batch."""
+    """Marks repeated windows in edges sorted by (m, d, at + o, t); keeps the first windows of the last anchor from batch to batch.
+
+    ``at + o`` is the anchor's place, and equal windows are equally far from it. So edges arrive in the order of their windows' starts, and what is kept comes before all that follows.
+    """
 
     def __init__(self) -> None:
         self.m, self.kept = None, None
@@ -142,13 +153,13 @@ class _Marker:
             doc, start, text, old = d[i], at[i] + k, t[i], np.zeros(len(i), bool)
             mi = m[i]
             if self.kept is not None and self.m == ml[0]:
-                key, doc, start = (np.concatenate(p) for p in zip(self.kept, (key, doc, start), strict=True))
-                text, old, mi = np.concatenate((np.zeros(len(key) - len(text), np.int64), text)), np.arange(len(key)) < len(key) - len(text), np.concatenate((np.full(len(key) - len(mi), self.m), mi))
-            _, lead, group = np.unique(key, return_index=True, return_inverse=True)
-            own = mi[lead] == ml[-1]
-            self.m, self.kept = ml[-1], (key[lead[own]], doc[lead[own]], start[lead[own]])
-            lead = lead[group]
-            late = ((doc != doc[lead]) | (start != start[lead])) & ~old
+                n = len(self.kept[0])
+                key, doc, start, text = (np.concatenate(p) for p in zip(self.kept, (key, doc, start, text), strict=True))
+                old, mi = np.arange(len(key)) < n, np.concatenate((np.full(n, self.m), mi))
+            lead = _first(key, doc, start, text)
+            own = np.unique(lead[mi == ml[-1]])
+            self.m, self.kept = ml[-1], (key[own], doc[own], start[own], text[own])
+            late = ((doc != doc[lead]) | (start != start[lead]) | (text != text[lead])) & ~old
             dd, tt, ss = doc[late], text[late], start[late]
             cut = np.flatnonzero(np.concatenate(([True], (dd[1:] != dd[:-1]) | (tt[1:] != tt[:-1]) | (ss[1:] != ss[:-1] + 1)))) if len(dd) else np.empty(0, np.int64)
             last = np.append(cut[1:], len(dd))[: len(cut)] - 1 if len(cut) else cut
@@ -172,7 +183,7 @@ def marked_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Runs of windows that start earlier elsewhere: d (id), t (text key), first start a, behind the last start b."""
     rows = _keyed(docs, id_col, text_col).select("_d", "_t", text_col)
     edges = rows.mapInArrow(_map, EDGE)
-    return edges.repartition("m").sortWithinPartitions("m", "d", "at", "t").mapInArrow(_reduce, MARKED)
+    return edges.repartition("m").sortWithinPartitions("m", "d", F.col("at") + F.col("o"), "t").mapInArrow(_reduce, MARKED)
 
 
 def _spans(pairs: list[int] | None) -> list[list[int]]:

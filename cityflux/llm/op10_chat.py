@@ -17,8 +17,9 @@ conversation id form one conversation; repeated rows are repeated turns; an empt
 turns is empty or null has no turns, but a mapping. A text that is a list of parts is their texts, joined by line breaks; a
 part without a text stands as its type in brackets, other values as JSON. A prompt beside messages is a user turn before
 them, unless the first user turn repeats it. In a table of one row per turn all other columns are extra ones, whatever their
-names; other tables with more known fields than any layout have the largest layout that they hold. Where no mapping fits,
-tables raise and records are left out and listed by ``unmapped``.
+names; other tables whose known fields are those of no layout have the largest layout that they hold. A list of turns holds
+objects with a role or a text, or texts beside such; anything else in its place, and lists without any known field, are other
+layouts. Where no mapping fits, tables raise and records are left out and listed by ``unmapped``.
 """
 
 from __future__ import annotations
@@ -79,7 +80,10 @@ MAPPINGS = (
 )
 ROWS = MAPPINGS[0]
 KNOWN = {p for m in MAPPINGS for p in m.paths}
-RECORD_KNOWN = (KNOWN - set(ROWS.paths)) | {m.turns for m in MAPPINGS if m.turns}
+LISTS = {m.turns for m in MAPPINGS if m.turns}
+RECORD_KNOWN = (KNOWN - set(ROWS.paths)) | LISTS
+#: Of tables and of records; only a record can have a list that is seen to be empty.
+BY_LAYOUT = {m.fingerprints[0]: m for m in MAPPINGS}
 BY_FINGERPRINT = {f: m for m in MAPPINGS if not m.order for f in m.fingerprints}
 
 
@@ -93,22 +97,26 @@ def paths_of(schema: T.DataType, at: str = "") -> list[str]:
 
 
 def known_paths(paths, known: set[str] = RECORD_KNOWN) -> set[str]:
-    """The known fields among paths; what lies deeper inside a known field counts as the field."""
+    """The known fields among paths; what lies deeper inside a known field counts as the field, but inside a list of turns only known fields do: a list without any is another layout."""
     out = set()
     for p in paths:
         starts = [p[:i] for i in range(1, len(p) + 1) if i == len(p) or p[i] in ".["]
         found = [x for x in starts if x in known]
         if found:
-            out.add(found[-1])
-    return {p for p in out if not any(q.startswith(f"{p}[].") for q in out)}
+            out.add(f"{found[-1]}?" if found[-1] in LISTS and found[-1] != p else found[-1])
+    return {p for p in out if not any(q.startswith(f"{p.removesuffix('?')}[].") for q in out)}
+
+
+def _largest_held(held: set[str]) -> Mapping | None:
+    """The second rule for tables, where no fingerprint fits: the largest layout whose fields are all there."""
+    return max((m for m in MAPPINGS if not m.order and set(m.paths) <= held), key=lambda m: len(m.paths), default=None)
 
 
 def _layout(schema: T.StructType, id_col: str) -> Mapping:
+    """A table's mapping: by the fingerprint of the fields of a row per turn, by that of all fields that records know, then by ``_largest_held``."""
     paths = [p for p in paths_of(schema) if p != id_col]
-    if set(ROWS.paths) <= set(schema.names) - {id_col}:
-        return ROWS
     held = known_paths(paths)
-    found = BY_FINGERPRINT.get(fingerprint(held)) or max((m for m in MAPPINGS if not m.order and set(m.paths) <= held), key=lambda m: len(m.paths), default=None)
+    found = BY_LAYOUT.get(fingerprint(known_paths(paths, set(ROWS.paths)))) or BY_LAYOUT.get(fingerprint(held)) or _largest_held(held)
     if found is None:
         raise ValueError(f"no mapping for the layout {fingerprint(held)} with the fields {sorted(paths)}")
     return found
@@ -183,10 +191,13 @@ def record(text: str | None) -> tuple[str | None, list[tuple[str | None, str | N
     m = BY_FINGERPRINT.get(fingerprint(known_paths(_value_paths(value))))
     if m is None:
         return None, []
+    given = value.get(m.turns) if m.turns else None
+    if given is not None and not (isinstance(given, list) and all(t is None or isinstance(t, str) or isinstance(t, dict) and (m.role in t or m.text in t) for t in given)):
+        return None, []
     if not m.turns:
         return m.name, [(role, "\n".join(t for f in fields.split("\n") if (t := _plain(value.get(f))))) for role, fields in m.fixed]
     rename, turns = dict(m.roles), []
-    for t in value.get(m.turns) or []:
+    for t in given or []:
         t = t if isinstance(t, dict) else {m.text: t}
         role = _plain(t.get(m.role))
         turns.append((rename.get(role, role), _plain(t.get(m.text))))

@@ -236,7 +236,8 @@ def test_no_record_is_lost(spark):
         ({"messages": [{"role": "user"}, {"role": None, "content": "b", "name": "x"}]}, [("user", None), (None, "b")]), ({"conversations": [{"from": "gpt", "value": 5}], "text": "x", "role": "y", "turn": 1}, [("assistant", "5")]),
         ({"prompt": None, "response": None}, [("user", ""), ("assistant", "")]), ({"prompt": "a", "response": "b", "meta": {"input": [1, {"output": 2}]}}, [user, ("assistant", "b")]),
     ]
-    lost = ["{", "[1]", "5", None, "{}", json.dumps({"messages": [{"role": "user"}]}), json.dumps({"prompt": "a", "answer": "b"})]
+    unknown = [{"messages": [{"from": "human", "value": "a"}]}, {"conversations": [{"role": "user", "content": "x"}]}, {"messages": "hi"}, {"messages": {"role": "user", "content": "a"}}, {"messages": ["a", "b"]}, {"messages": [{"role": "user", "content": "a"}, {"x": 1}]}, {"messages": [{"role": "user", "content": "a"}, 5]}]
+    lost = [*map(json.dumps, unknown), "{", "[1]", "5", None, "{}", json.dumps({"messages": [{"role": "user"}]}), json.dumps({"prompt": "a", "answer": "b"})]
     rows = [(i, json.dumps(r)) for i, (r, _) in enumerate(cases)] + [(None, x) for x in lost] + [(None, json.dumps(cases[3][0]))]
     df = spark.createDataFrame(rows, "id long, j string")
     got = defaultdict(list)
@@ -274,3 +275,19 @@ def test_chat_of_odd_rows(spark):
     got = {r["conv_id"]: (r["n_turns"], r["loss_chars"]) for r in chat.digests(chat.canonical_turns(df, "conv_id")).collect()}
     assert got == {None: (1, 0), 1: (3, 0), 2: (1, 100000)}
     assert chat.digests(chat.canonical_turns(df.limit(0), "conv_id")).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["array<struct<from: string, value: string>>", "string", "array<string>", "struct<role: string, content: string>", "array<struct<role: string>>"])
+def test_tables_of_unknown_layouts_raise(spark, kind):
+    with pytest.raises(ValueError, match="no mapping"):
+        chat.canonical_turns(spark.createDataFrame([], f"id long, messages {kind}"), "id")
+
+
+def test_the_query_picks_its_mapping_by_fingerprint(spark, sf_dir, monkeypatch):
+    seen = []
+    monkeypatch.setattr(chat, "fingerprint", lambda paths, f=chat.fingerprint: seen.append(f(paths)) or seen[-1])
+    assert chat.query(spark, sf_dir).count() > 0
+    assert chat.BY_LAYOUT[seen[0]] is chat.ROWS
+    monkeypatch.setattr(chat, "BY_LAYOUT", {})
+    with pytest.raises(ValueError, match="no mapping"):
+        chat.query(spark, sf_dir)

@@ -255,6 +255,46 @@ def test_pipeline(spark, sf_dir):
     assert got == sorted(str(tuple(r)) for r in corpus_pipeline.run(spark, sf_dir).select(last.columns).collect())
 
 
+def windows_kept(spark, rows):
+    """Kept words of each (id, text) by the definition: the first of equal windows is the least by (id, start, hash of the text)."""
+    keyed = {tuple(r)[:2]: r[2] for r in spark.createDataFrame(sorted(set(rows), key=repr), "i long, t string").select("i", "t", F.xxhash64("t")).collect()}
+    at, kept = {}, {}
+    for (i, t), h in keyed.items():
+        w = t.split()
+        for k in range(len(w) - sub.SPAN + 1):
+            at.setdefault(tuple(w[k : k + sub.SPAN]), []).append(((i is not None, i or 0, k, h), (i, t), k))
+    gone = {key: set() for key in keyed}
+    for found in at.values():
+        for _, key, k in sorted(found)[1:]:
+            gone[key] |= set(range(k, k + sub.SPAN))
+    for (i, t), g in gone.items():
+        kept[i, t] = " ".join(w for k, w in enumerate(t.split()) if k not in g)
+    return kept, at
+
+
+@pytest.mark.parametrize("batch", [10000, 2])
+def test_equal_and_null_ids_in_every_order(spark, batch):
+    r = random.Random(8)
+    new = lambda n: [f"u{r.randrange(10**9)}" for _ in range(n)]
+    passage, other = new(150), new(35)
+    texts = [(None, passage), (None, new(30) + passage), (5, passage[20:90] + new(3)), (5, new(4) + passage[:100]), (5, other + passage[:60] + other), (None, other), (9, passage), (9, passage), (4, new(25) + other + other)]
+    rows = [(i, " ".join(w)) for i, w in texts]
+    want, at = windows_kept(spark, rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        for n in range(7):
+            r.shuffle(rows)
+            df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1 + n % 3).withColumn("t", F.col("text"))
+            got = sub.deduped(df, full=True).select("doc_id", "t", "kept").collect()
+            assert len(got) == len(rows)
+            assert {(x["doc_id"], x["t"]): x["kept"] for x in got} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # no word of the passages is lost altogether
+    left = {w for text in want.values() for w in text.split()}
+    assert {*passage, *other} <= left
+
+
 def test_pipeline_of_odd_rows(spark, sf_dir):
     empty = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     odd = spark.createDataFrame([(None, None, None, None, None), (1, "a b c d e f g h i j k l", "en", None, 3), (1, "a b c d e f g h i j k l", "en", None, 3)], empty.schema)
