@@ -17,6 +17,7 @@ from ..functions import geo
 from ..functions import scalar as S
 from ..operators import cube, dims, duplicates, quality
 from ..sources import readers, sinks
+from .loading import Loaded, load_months
 
 TRIP_COLUMNS = [f.name for f in readers.TRIPS]
 FACT_KEYS = ["date", "hour", "zone_id"]
@@ -43,17 +44,19 @@ class Layer:
 
 
 def bronze(spark: SparkSession, files: str | Sequence[str], out: str, p: Period, year: int, month: int) -> int:
-    """Raw trip files as a month's Bronze partition; raises unless what is read back has the columns, types and number of rows that went in."""
+    """Raw trip files as a month's Bronze partition; raises, and leaves the old one, unless what is read back has the columns, types and number of rows that went in."""
     raw = quality.require_columns(readers.parquet(spark, files), TRIP_COLUMNS, "TAXI_SCHEMA_MISMATCH")
     rows = readers.with_lineage(raw, "yellow_taxi", p.run_id, p.at, year, month)
-    sinks.replace_partitions(rows, out, ["_processing_year", "_processing_month"])
-    back = spark.read.parquet(out).where((F.col("_processing_year") == year) & (F.col("_processing_month") == month))
-    if not readers.same_schema([raw, back.select(*raw.columns)]):
-        raise ValueError("the written partition has other columns or types than its source")
-    want, got = raw.count(), back.count()
-    if got != want:
-        raise ValueError(f"{got} rows were written, {want} were read")
-    return got
+    want = raw.count()
+
+    def check(back: DataFrame) -> None:
+        if not readers.same_schema([raw, back.select(*raw.columns)]):
+            raise ValueError("the written partition has other columns or types than its source")
+        if (got := back.count()) != want:
+            raise ValueError(f"{got} rows were written, {want} were read")
+
+    sinks.replace_verified(rows, out, ["_processing_year", "_processing_month"], check)
+    return want
 
 
 def bronze_checks(df: DataFrame) -> dict[str, int]:
@@ -137,36 +140,15 @@ def staged_checks(stage: DataFrame, zones: DataFrame, weather_labels: Sequence[s
     return found
 
 
-@dataclass(frozen=True)
-class Loaded:
-    status: str
-    updated: int = 0
-    inserted: int = 0
-
+def load(fact: str, ledger: str, pipeline: str, file: str, sha256: str, stage: DataFrame, zones: DataFrame, at: str, run_id: str = "load") -> Loaded:
+    """Upserts a staged cube into the months of the fact at a path, unless this content has been loaded; see ``loading``."""
 
-def load(fact: str, registry: str, pipeline: str, file: str, sha256: str, stage: DataFrame, zones: DataFrame, at: str) -> Loaded:
-    """Upserts a staged cube into the fact at a path, unless this content has been loaded; the registry gets the outcome."""
-    spark, store = stage.sparkSession, sinks.Store(stage.sparkSession)
-    log = spark.read.schema(sinks.REGISTRY).json(registry) if store.exists(registry) else spark.createDataFrame([], sinks.REGISTRY)
-    if not sinks.pending(spark.createDataFrame([(file, sha256)], "file string, sha256 string"), log, pipeline).count():
-        return Loaded("SKIPPED")
-
-    def record(status: str) -> None:
-        row = spark.createDataFrame([(pipeline, file, sha256, status, sinks.batch_key(pipeline, file, sha256), at)], "pipeline string, file string, sha256 string, status string, batch string, at string")
-        row.coalesce(1).write.mode("append").json(registry)
-
-    try:
-        broken = {k: v for k, v in staged_checks(stage, zones, sorted(dims.WEATHER_CODES.values())).items() if v}
+    def check(rows: DataFrame) -> None:
+        broken = {k: v for k, v in staged_checks(rows, zones, sorted(dims.WEATHER_CODES.values())).items() if v}
         if broken:
             raise ValueError(f"the staged cube breaks {broken}")
-        current = spark.read.schema(stage.schema).parquet(fact) if store.exists(fact) else spark.createDataFrame([], stage.schema)
-        updated, inserted = sinks.upsert_counts(current, stage, FACT_KEYS)
-        sinks.publish(sinks.upserted(current, stage, FACT_KEYS), fact, expected=current.count() + inserted)
-    except Exception:
-        record("FAILED")
-        raise
-    record("SUCCESS")
-    return Loaded("SUCCESS", updated, inserted)
+
+    return load_months(fact, ledger, pipeline, file, sha256, stage, "date", FACT_KEYS, run_id, at, check)
 
 
 def year_gate(reports: DataFrame, months: int = 12) -> None:

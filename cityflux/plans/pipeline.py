@@ -6,16 +6,20 @@ driver's data hits.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions import scalar as S
 from ..operators import cube, dims, duplicates, forecast, profile, quality
+from ..session import shared_folder
 from ..sources import readers, sinks
 from . import analytics as A
 from . import control
 from .driver import END, SQL, START, ZONES, read, star, zones
+from .loading import load_months
 
 Q = {}
 ORACLES = {}
@@ -462,18 +466,38 @@ def dim_zone(spark, d):
 # Loads
 
 
-@query("w06_upsert", "WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS s, 1 AS batch FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT o_orderkey AS k, 'X' AS s, 2 AS batch FROM orders WHERE o_orderkey % 2 = 0) SELECT k, s, CAST(batch AS BIGINT) AS batch FROM b UNION ALL SELECT k, s, batch FROM a ANTI JOIN b USING (k)")
+@query("w06_upsert", "WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS s, 1 AS batch FROM orders WHERE o_orderstatus <> 'P'), b AS (SELECT o_orderkey AS k, 'X' AS s, 2 AS batch FROM orders WHERE o_orderstatus <> 'F') SELECT k, s, CAST(batch AS BIGINT) AS batch FROM b UNION ALL SELECT k, s, batch FROM a ANTI JOIN b USING (k)")
 def upsert(spark, d):
+    """Finished and open orders, then open and pending ones: every order is in a batch, open ones are in both."""
     o = read(spark, d, "orders")
     part = lambda p, s, n: o.where(p).select(F.col("o_orderkey").alias("k"), s.alias("s"), F.lit(n).cast("long").alias("batch"))
-    return sinks.upserted(part("o_orderkey % 3 <> 0", F.col("o_orderstatus"), 1), part("o_orderkey % 2 = 0", F.lit("X"), 2), ["k"])
+    return sinks.upserted(part("o_orderstatus <> 'P'", F.col("o_orderstatus"), 1), part("o_orderstatus <> 'F'", F.lit("X"), 2), ["k"])
 
 
-@query("k09_insert_if_absent", "WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT o_orderkey AS k, 'X' AS s FROM orders WHERE o_orderkey % 2 = 0) SELECT k, s FROM a UNION ALL SELECT k, s FROM b ANTI JOIN a USING (k)")
+@query("k09_insert_if_absent", "WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders WHERE o_orderstatus <> 'P'), b AS (SELECT o_orderkey AS k, 'X' AS s FROM orders WHERE o_orderstatus <> 'F') SELECT k, s FROM a UNION ALL SELECT k, s FROM b ANTI JOIN a USING (k)")
 def insert_if_absent(spark, d):
     o = read(spark, d, "orders")
     part = lambda p, s: o.where(p).select(F.col("o_orderkey").alias("k"), s.alias("s"))
-    return sinks.inserted(part("o_orderkey % 3 <> 0", F.col("o_orderstatus")), part("o_orderkey % 2 = 0", F.lit("X")), ["k"])
+    return sinks.inserted(part("o_orderstatus <> 'P'", F.col("o_orderstatus")), part("o_orderstatus <> 'F'", F.lit("X")), ["k"])
+
+
+@query("w06_month_loads", """
+WITH a AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS date, CAST(o_totalprice AS DECIMAL(18,2)) AS amount, 1 AS version FROM orders WHERE o_orderpriority <> '5-LOW'),
+b AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS date, CAST(o_totalprice AS DECIMAL(18,2)) + 1 AS amount, 2 AS version FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') AND year(o_orderdate) >= 2000),
+f AS (SELECT * FROM b UNION ALL SELECT * FROM a ANTI JOIN b USING (k))
+SELECT strftime(date, '%Y-%m') AS month, CAST(version AS BIGINT) AS version, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS amount, min(k) AS first_key, max(k) AS last_key FROM f GROUP BY ALL""")
+def month_loads(spark, d):
+    """A first file of orders, then one with corrections and late orders of its months, then the same content once more, which changes nothing."""
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").alias("date"), S.money("o_totalprice").alias("amount"), "o_orderpriority")
+    files = {
+        "one": o.where("o_orderpriority <> '5-LOW'").withColumn("version", F.lit(1).cast("long")).drop("o_orderpriority"),
+        "two": o.where("o_orderpriority in ('1-URGENT', '5-LOW') and year(date) >= 2000").withColumns({"version": F.lit(2).cast("long"), "amount": (F.col("amount") + 1).cast("decimal(18,2)")}).drop("o_orderpriority"),
+    }
+    root = f"{shared_folder(spark)}/loads-{uuid.uuid4().hex}"
+    for file in ("one", "two", "two"):
+        load_months(f"{root}/fact", f"{root}/ledger", "orders", file, file, files[file].withColumn("amount", F.col("amount").cast("decimal(18,2)")), "date", ["k"], "run-1", "2024-02-01")
+    fact = spark.read.schema("k bigint, date date, amount decimal(18,2), version bigint, month string").parquet(f"{root}/fact")
+    return fact.groupBy("month", "version").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").cast("double").alias("amount"), F.min("k").alias("first_key"), F.max("k").alias("last_key"))
 
 
 @query("w05_routing_audit", "SELECT strftime(date_trunc('month', l_shipdate), '%Y-%m-%d') AS event_month, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS stored_month, count(*) AS rows, abs(date_diff('month', o_orderdate, l_shipdate)) > 1 AS late FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL")

@@ -5,10 +5,12 @@ File moves go through Hadoop's file system API, so any store that Spark reads wi
 
 from __future__ import annotations
 
+import hashlib
 import os
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from fnmatch import fnmatch
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -50,6 +52,36 @@ class Store:
         fs, p = self._at(path)
         fs.delete(p, True)
 
+    def create(self, path: str, text: str) -> bool:
+        """A small file, unless there is one: the store decides which of two writers made it."""
+        fs, p = self._at(path)
+        try:
+            out = fs.create(p, False)
+        except Exception as e:
+            if fs.exists(p):
+                return False
+            raise OSError(f"{path} can't be created") from e
+        out.write(bytearray(text.encode()))
+        out.close()
+        return True
+
+    def text(self, path: str) -> str:
+        fs, p = self._at(path)
+        stream = fs.open(p)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def files(self, path: str) -> list[tuple[str, int]]:
+        """(path, bytes) of every file below a path, empty ones too."""
+        fs, p = self._at(path)
+        found, out = fs.listFiles(p, True), []
+        while found.hasNext():
+            s = found.next()
+            out.append((s.getPath().toString(), s.getLen()))
+        return sorted(out)
+
     def move(self, source: str, target: str) -> None:
         fs, p = self._at(source)
         q = self.jvm.org.apache.hadoop.fs.Path(target)
@@ -93,6 +125,37 @@ def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) ->
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 
+def write_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
+    df.write.partitionBy(*partition_by).parquet(path)
+
+
+def replace_verified(df: DataFrame, path: str, partition_by: Sequence[str], check) -> None:
+    """Replaces the partitions that ``df`` has rows of, after ``check`` has seen what was written; on a failure the old ones stay."""
+    spark, store = df.sparkSession, Store(df.sparkSession)
+    tag = uuid.uuid4().hex
+    stage, backup = f"{path}.stage-{tag}", f"{path}.backup-{tag}"
+    try:
+        write_partitions(df, stage, partition_by)
+        check(spark.read.parquet(stage))
+        moved = []
+        try:
+            for new in store.matching(stage + "/*=*" * len(partition_by)):
+                part = new[new.index(tag) + len(tag) :]
+                if store.exists(path + part):
+                    store.move(path + part, backup + part)
+                moved.append(part)
+                store.move(new, path + part)
+        except Exception:
+            for part in moved:
+                if store.exists(backup + part):
+                    store.remove(path + part)
+                    store.move(backup + part, path + part)
+            raise
+    finally:
+        store.remove(stage)
+        store.remove(backup)
+
+
 def upserted(current: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``current`` with rows of equal key replaced by ``incoming`` and the rest of it added; raises on double or null keys."""
     bad = incoming.groupBy(*keys).count().where(" or ".join(["count > 1", *[f"{k} is null" for k in keys]])).limit(1).count()
@@ -124,10 +187,42 @@ def upserted_groups(current: DataFrame, incoming: DataFrame, keys: Sequence[str]
 # Files
 
 
+MANIFEST = "file string, size long, sha256 string"
+#: Bytes of a file that are in memory at once.
+CHUNK = 16 << 20
+
+
 def manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """file, size and SHA-256 of every file with bytes below a path (Spark passes over empty files)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return files.select(F.col("path").alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    """file, size and SHA-256 of every file below a path, empty ones too.
+
+    Names and sizes come from the store's listing. Each file is hashed as a stream in blocks, in a task of its own, so its size
+    doesn't matter; tasks open files by their full path, so the store has to be one that pyarrow reads (local, HDFS, S3 and others).
+    """
+    names = [(f, n) for f, n in Store(spark).files(path) if fnmatch(f.rsplit("/", 1)[1], pattern)]
+    files = spark.createDataFrame(names, "file string, size long")
+    if len(names) > 1:
+        files = files.repartition(min(len(names), 10_000), "file")
+
+    def hashed(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            out = []
+            for f in batch.column(0).to_pylist():
+                scheme, _, rest = f.partition(":")
+                host, _, at = rest.removeprefix("//").partition("/") if rest.startswith("//") else ("", "", rest.removeprefix("/"))
+                # names hold any characters, so they never pass through a URI
+                system, root = (fs.LocalFileSystem(), "") if scheme == "file" else fs.FileSystem.from_uri(f"{scheme}://{host}/")
+                at = f"{root.rstrip('/')}/{at}"
+                sha = hashlib.sha256()
+                with system.open_input_stream(at, compression=None) as stream:
+                    while block := stream.read(CHUNK):
+                        sha.update(block)
+                out.append(sha.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["file", "size", "sha256"])
+
+    return files.mapInArrow(hashed, MANIFEST)
 
 
 def verified(baseline: DataFrame, current: DataFrame) -> DataFrame:
@@ -146,7 +241,9 @@ REGISTRY = "pipeline string, file string, sha256 string, status string, batch st
 
 
 def latest(log: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
-    return log.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(at)))).where("_n = 1").drop("_n")
+    """The last row of each key; of rows of one time the one with the greatest values, column by column."""
+    ties = [F.col(c).desc_nulls_last() for c in log.columns if c not in (at, *keys)]
+    return log.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(at), *ties))).where("_n = 1").drop("_n")
 
 
 def pending(files: DataFrame, registry: DataFrame, pipeline: str) -> DataFrame:
