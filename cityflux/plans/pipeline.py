@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions import scalar as S
-from ..operators import cube, dims, duplicates, forecast, profile, quality
+from ..operators import boosting, cube, dims, duplicates, forecast, profile, quality
 from ..session import shared_folder
 from ..sources import readers, sinks
 from . import analytics as A
@@ -609,6 +609,19 @@ def prediction_analysis(spark, d):
     return out.select(F.col("date").cast("string").alias("date"), F.col("hour").cast("long").alias("hour"), "zone_name", "actual", "predicted", "signed_error", "absolute_error", "percentage_error")
 
 
+_BOOSTED = ["hour", "day_of_week", "temperature_c", "rain_mm", "trips_lag_1h", "trips_lag_24h", "trips_lag_168h", "complaints_lag_24h"]
+
+
+@query("m07_boosted_metrics")
+def boosted(spark, d):
+    """Metrics of boosted trees by histograms, of the forest and of the weekly baseline after the cut, ranked."""
+    train, test = forecast.time_split(_features(spark, d), "2024-01-25")
+    model = boosting.fitted(train, _BOOSTED, rounds=10, rate=0.3)
+    shallow = forecast.pipeline(forecast.random_forest(trees=10, depth=8), _BOOSTED).fit(train)
+    both = shallow.transform(model.transform(test, "boosted"))
+    return forecast.compared(both, "trips", {"boosted": "boosted", "forest": "prediction", "weekly": "trips_lag_168h"})
+
+
 @query("m08_forest_metrics")
 def forest(spark, d):
     """Metrics of the forest and of the weekly baseline after the cut, ranked."""
