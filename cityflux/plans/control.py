@@ -124,7 +124,7 @@ def incremental_summary(registry: DataFrame) -> DataFrame:
 def log_violations(log: DataFrame) -> DataFrame:
     """Successful runs whose counts don't reconcile, ended runs without an end, runs still open."""
     numbers = ["rows_processed", "rows_valid", "rows_rejected", "quarantine_rows"]
-    broken = S.any_of([*[F.col(c).isNull() for c in numbers], F.col("rows_processed") != F.col("rows_valid") + F.col("rows_rejected"), F.col("quarantine_rows") < F.col("rows_rejected")])
+    broken = S.any_of([*[F.col(c).isNull() for c in numbers], F.col("rows_processed") != F.col("rows_valid") + F.col("rows_rejected"), F.col("quarantine_rows") != F.col("rows_rejected")])
     kind = (
         F.when((F.col("status") == "SUCCESS") & broken, "NOT RECONCILED").when(F.col("status").isin("SUCCESS", "FAILED") & F.col("end_time").isNull(), "WITHOUT END").when(F.col("status") == "STARTED", "STILL OPEN")
     )

@@ -179,7 +179,7 @@ def reconciliation_health(spark, d):
     return control.reconciliation_health(_events(spark, d).select(F.col("event_type").alias("metric_name"), F.when(F.col("value") < 40, "PASS").otherwise("FAIL").alias("status"), F.when(F.col("event_id") % 3 > 0, F.col("value") - 20).alias("variance_value")))
 
 
-@query("i02_log_violations", _LOG + ", k AS (SELECT *, CASE WHEN status = 'SUCCESS' AND (p <> v + r OR q < r) THEN 'NOT RECONCILED' WHEN status IN ('SUCCESS', 'FAILED') AND end_time IS NULL THEN 'WITHOUT END' WHEN status = 'STARTED' THEN 'STILL OPEN' END AS violation FROM l) SELECT pipeline_name, violation, count(*) AS runs FROM k WHERE violation IS NOT NULL GROUP BY ALL")
+@query("i02_log_violations", _LOG + ", k AS (SELECT *, CASE WHEN status = 'SUCCESS' AND (p <> v + r OR q <> r) THEN 'NOT RECONCILED' WHEN status IN ('SUCCESS', 'FAILED') AND end_time IS NULL THEN 'WITHOUT END' WHEN status = 'STARTED' THEN 'STILL OPEN' END AS violation FROM l) SELECT pipeline_name, violation, count(*) AS runs FROM k WHERE violation IS NOT NULL GROUP BY ALL")
 def log_violations(spark, d):
     return control.log_violations(_log(spark, d))
 

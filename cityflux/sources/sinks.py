@@ -263,7 +263,7 @@ def watermark(log: DataFrame, pipeline: str):
 
 @dataclass(frozen=True)
 class Run:
-    """One run of a stage: STARTED, then SUCCESS or FAILED, once. Success needs processed = valid + rejected and at least one quarantine event per rejected row."""
+    """One run of a stage: STARTED, then SUCCESS or FAILED, once. Success needs processed = valid + rejected, as many quarantined records as rejected ones, and an event at least for each."""
 
     run_id: str
     pipeline: str
@@ -272,6 +272,7 @@ class Run:
     processed: int | None = None
     valid: int | None = None
     rejected: int | None = None
+    quarantined: int | None = None
     events: int | None = None
     error: str | None = None
 
@@ -279,11 +280,11 @@ class Run:
         if self.status != "STARTED":
             raise ValueError(f"run {self.run_id} is {self.status}")
 
-    def succeed(self, processed: int, valid: int, rejected: int, events: int) -> Run:
+    def succeed(self, processed: int, valid: int, rejected: int, quarantined: int, events: int) -> Run:
         self._open()
-        if processed != valid + rejected or events < rejected or (rejected == 0) != (events == 0):
-            raise ValueError(f"run {self.run_id} doesn't reconcile: {processed}, {valid}, {rejected}, {events}")
-        return replace(self, status="SUCCESS", processed=processed, valid=valid, rejected=rejected, events=events)
+        if processed != valid + rejected or quarantined != rejected or events < rejected or (rejected == 0) != (events == 0):
+            raise ValueError(f"run {self.run_id} doesn't reconcile: {processed}, {valid}, {rejected}, {quarantined}, {events}")
+        return replace(self, status="SUCCESS", processed=processed, valid=valid, rejected=rejected, quarantined=quarantined, events=events)
 
     def fail(self, error: str) -> Run:
         self._open()

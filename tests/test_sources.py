@@ -59,12 +59,89 @@ def test_paging_stops_on_a_short_page():
 
     def get(url):
         asked.append(url)
-        return json.dumps([{"k": i} for i in range(2 if len(asked) < 3 else 1)]).encode()
+        return json.dumps([{"d": "2025-01-01", "k": 2 * len(asked) + i} for i in range(2 if len(asked) < 3 else 1)]).encode()
 
-    assert [len(p) for p in rest.pages("http://x", "created_date", "2025-01-01", "2025-02-01", "created_date", 2, get)] == [2, 2, 1]
-    assert "offset=4" in asked[2]
+    assert [len(p) for p in rest.pages("http://x", "d", "k", rest.KeyRange("2025-01-01", "2025-02-01"), 2, get)] == [2, 2, 1]
+    assert "offset" not in asked[2]
+    part = rest.KeyRange("a", "b")
     with pytest.raises(ValueError, match="list"):
-        list(rest.pages("http://x", "d", "a", "b", "d", 2, lambda url: b"{}"))
+        list(rest.pages("http://x", "d", "k", part, 2, lambda url: b"{}"))
+    with pytest.raises(ValueError, match="lacks"):
+        list(rest.pages("http://x", "d", "k", part, 1, lambda url: b'[{"d": "a"}]'))
+    with pytest.raises(ValueError, match="apart"):
+        list(rest.pages("http://x", "d", "k", part, 1, lambda url: b'[{"d": "a", "k": 1}]'))
+    halves = rest.ranges(["2025-01-01T00:00:00", "2025-02-01T00:00:00", "2025-03-01T00:00:00"], 2)
+    assert [(x.start, x.end) for x in halves[:2]] == [("2025-01-01T00:00:00", "2025-01-16T12:00:00.000"), ("2025-01-16T12:00:00.000", "2025-02-01T00:00:00")]
+    assert len(halves) == 4
+
+
+class Portal:
+    """A local server over SQLite, into which ``between`` may put records before each answer."""
+
+    def __init__(self, rows, between=lambda portal, n: None):
+        import sqlite3
+        import threading
+        from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+        from urllib.parse import parse_qs, urlparse
+
+        self.db, self.lock, self.answers = sqlite3.connect(":memory:", check_same_thread=False), threading.Lock(), 0
+        self.db.execute("CREATE TABLE t (unique_key TEXT, created_date TEXT)")
+        self.put(rows)
+        portal = self
+
+        class Handler(BaseHTTPRequestHandler):
+            def do_GET(self):  # noqa: N802
+                q = {k: v[0] for k, v in parse_qs(urlparse(self.path).query).items()}
+                with portal.lock:
+                    portal.answers += 1
+                    between(portal, portal.answers)
+                    sql = f"SELECT {q.get('$select', '*')} FROM t WHERE {q.get('$where', '1')} ORDER BY {q['$order']} LIMIT {q['$limit']}"
+                    found = portal.db.execute(sql)
+                    body = json.dumps([dict(zip([c[0] for c in found.description], r, strict=True)) for r in found]).encode()
+                self.send_response(200)
+                self.end_headers()
+                self.wfile.write(body)
+
+            def log_message(self, *args):
+                pass
+
+        self.server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        self.url = f"http://127.0.0.1:{self.server.server_port}/"
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+
+    def put(self, rows):
+        self.db.executemany("INSERT INTO t VALUES (?, ?)", rows)
+
+
+def records(first, n, month=1):
+    return [(f"k'{k:05d}", f"2025-{month:02d}-{1 + k % 28:02d}T{k % 5:02d}:00:00.000") for k in range(first, first + n)]
+
+
+def test_records_that_arrive_between_pages(spark):
+    spark.dataSource.register(rest.PagedSource)
+    old = records(0, 300) + records(1000, 50, 2)
+    portal = Portal(old, lambda p, n: p.put(records(5000 + 20 * n, 20)))
+    read = spark.read.format("paged_rest").option("url", portal.url).option("months", "2025-01-01T00:00:00.000,2025-02-01T00:00:00.000,2025-03-01T00:00:00.000").option("page", 7)
+    for splits in (1, 4):
+        df = read.option("splits", splits).load()
+        assert df.rdd.getNumPartitions() == 2 * splits
+        keys = [r["unique_key"] for r in df.select("unique_key").collect()]
+        assert len(keys) == len(set(keys))  # none twice
+        assert set(keys) >= {k for k, _ in old}  # none lost
+    portal.server.shutdown()
+
+
+def test_a_stream_of_records_keeps_its_place(spark, tmp_path):
+    spark.dataSource.register(rest.PagedSource)
+    portal = Portal(records(0, 90))
+    events = lambda: spark.readStream.format("paged_rest").option("url", portal.url).option("page", 8).load().select("unique_key")
+    run = lambda: events().writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    for n, month in ((0, 1), (40, 2), (0, 2), (25, 3)):
+        portal.put(records(1000 * month, n, month))
+        assert run().awaitTermination(120)
+    keys = [r["unique_key"] for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(keys) == sorted(k for k, _ in records(0, 90) + records(2000, 40, 2) + records(3000, 25, 3))
+    portal.server.shutdown()
 
 
 def test_retries():
@@ -150,11 +227,14 @@ def test_registry_watermark_and_runs(spark):
     assert sinks.watermark(marks, "p") == 3
     run = sinks.Run("r", "p", "silver")
     with pytest.raises(ValueError, match="reconcile"):
-        run.succeed(10, 8, 1, 1)
+        run.succeed(10, 8, 1, 1, 1)
+    for quarantined in (1, 3):  # records, not events: as many as were rejected
+        with pytest.raises(ValueError, match="reconcile"):
+            run.succeed(10, 8, 2, quarantined, 3)
     with pytest.raises(ValueError, match="reconcile"):
-        run.succeed(10, 8, 2, 1)
-    done = run.succeed(10, 8, 2, 3)
-    assert done.status == "SUCCESS"
+        run.succeed(10, 8, 2, 2, 1)
+    done = run.succeed(10, 8, 2, 2, 3)
+    assert (done.status, done.quarantined, done.events) == ("SUCCESS", 2, 3)
     with pytest.raises(ValueError, match="SUCCESS"):
         done.fail("late")
     assert run.fail("x").error == "x"
