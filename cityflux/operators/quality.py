@@ -165,6 +165,12 @@ def assert_reconciled(c: Counts) -> Counts:
     return c
 
 
+def rule_counts(df: DataFrame, rules: Iterable[Rule]) -> DataFrame:
+    """rule_id and number of rows for which its test is true, of all rules with a test, in one pass."""
+    tests = {r.rule_id: r.test for r in rules if r.test is not None}
+    return df.agg(*[F.count_if(S.truth(t)).alias(name) for name, t in tests.items()]).unpivot([], list(tests), "rule_id", "n")
+
+
 def missing_hours(spark_hours: DataFrame, observed: DataFrame) -> DataFrame:
     """Expected (date, hour) without an observation."""
     return spark_hours.join(observed.select("date", "hour").distinct(), ["date", "hour"], "left_anti")

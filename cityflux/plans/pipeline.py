@@ -664,6 +664,73 @@ _TRIP_SQL = (
 )
 
 
+def _complaints(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as raw complaints, with texts that can't be parsed, blanks, repeated keys and places off the globe."""
+    k, price = F.col("o_orderkey"), F.col("o_totalprice")
+    text = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    made = {
+        "unique_key": F.col("o_custkey").cast("string"), "created_date": F.when(k % 41 == 0, "soon").when(k % 43 != 0, text("o_orderdate")), "closed_date": F.when(k % 5 != 0, text(F.expr("o_orderdate + make_dt_interval(cast(o_totalprice % 500 as int) - 20)"))),
+        "latitude": F.when(k % 37 == 0, " ").when(k % 31 == 0, "north").otherwise((F.floor(price) % 200 - 100).cast("string")), "longitude": F.when(k % 29 != 0, (F.floor(price) % 400 - 200).cast("string")),
+    }
+    rows = read(spark, d, "orders").withColumns(made)
+    return rows.select(*[F.col(c) if c in made else F.lit(None).cast("string").alias(c) for c in readers.COMPLAINTS.names])
+
+
+def _hourly_rows(spark: SparkSession, d: str) -> DataFrame:
+    value = F.col("value")
+    made = {c: value for c in ("rain", "snowfall", "wind_speed_10m", "wind_gusts_10m")} | {"temperature_2m": F.when(F.col("event_id") % 29 != 0, value), "relative_humidity_2m": value * 2, "precipitation": value - 2, "time": F.date_trunc("HOUR", "ts").cast("timestamp_ntz")}
+    return quality.numbered(_events(spark, d).withColumns(made), ["time"], ["event_id"])
+
+
+def _zone_rows(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    rows = read(spark, d, "supplier").withColumns({"LocationID": F.when(k % 13 != 0, k % 20 + 250), "Zone": F.when(k % 7 == 0, " ").when(k % 11 == 0, "N/A").otherwise(F.col("s_name"))})
+    return quality.numbered(rows, ["LocationID"], ["s_suppkey"])
+
+
+@query("w01_other_rules", """
+WITH c AS (SELECT o_custkey AS k, CASE WHEN o_orderkey % 41 <> 0 AND o_orderkey % 43 <> 0 THEN o_orderdate END AS a, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate + to_days(CAST(trunc(o_totalprice % 500) AS INTEGER) - 20) END AS b,
+  CASE WHEN o_orderkey % 37 = 0 THEN ' ' WHEN o_orderkey % 31 = 0 THEN 'north' ELSE CAST(CAST(floor(o_totalprice) AS BIGINT) % 200 - 100 AS VARCHAR) END AS y, CASE WHEN o_orderkey % 29 <> 0 THEN CAST(CAST(floor(o_totalprice) AS BIGINT) % 400 - 200 AS VARCHAR) END AS x FROM orders),
+h AS (SELECT date_trunc('hour', ts) AS t, CASE WHEN event_id % 29 <> 0 THEN value END AS v, value FROM events),
+z AS (SELECT CASE WHEN s_suppkey % 13 <> 0 THEN s_suppkey % 20 + 250 END AS l, CASE WHEN s_suppkey % 7 = 0 THEN ' ' WHEN s_suppkey % 11 = 0 THEN 'N/A' ELSE s_name END AS n FROM supplier)
+SELECT 'DQ_311_001' AS rule_id, count(*) FILTER (a IS NULL) AS n FROM c
+UNION ALL SELECT 'DQ_311_002', count(*) FILTER (a < '1996-01-01' OR a >= '1999-01-01') FROM c
+UNION ALL SELECT 'DQ_311_003', count(*) FILTER (b < a) FROM c
+UNION ALL SELECT 'DQ_311_004', count(*) - count(DISTINCT k) FROM c
+UNION ALL SELECT 'DQ_311_005', count(*) FILTER (y = ' ' OR x IS NULL) FROM c
+UNION ALL SELECT 'DQ_311_006', count(*) FILTER (y = 'north' OR abs(try_cast(y AS DOUBLE)) > 90 OR abs(try_cast(x AS DOUBLE)) > 180) FROM c
+UNION ALL SELECT 'DQ_311_007', count(*) FILTER (date_diff('second', a, b) > 365 * 86400) FROM c
+UNION ALL SELECT 'DQ_WEATHER_002', count(*) - count(DISTINCT t) FROM h
+UNION ALL SELECT 'DQ_WEATHER_003', count(*) FILTER (v IS NULL OR value * 2 > 100 OR value - 2 < 0) FROM h
+UNION ALL SELECT 'DQ_WEATHER_004', count(*) FILTER (t < '2024-01-05' OR t >= '2024-01-20') FROM h
+UNION ALL SELECT 'DQ_ZONE_001', count(*) FILTER (l IS NULL) FROM z
+UNION ALL SELECT 'DQ_ZONE_002', count(*) - count(DISTINCT l) - CASE WHEN count(*) > count(l) THEN 1 ELSE 0 END FROM z
+UNION ALL SELECT 'DQ_ZONE_003', count(*) FILTER (n = ' ') FROM z
+UNION ALL SELECT 'DQ_ZONE_004', count(*) FILTER (l IN (264, 265)) FROM z""")
+def other_rules(spark, d):
+    """How many rows the catalog's rules for complaints, weather and zones are true for."""
+    of = lambda source, start, end: quality.of_source(quality.catalog(start, end), source)
+    calls = quality.numbered(readers.parsed_complaints(_complaints(spark, d)), ["unique_key"], [F.col("created_at").asc_nulls_last(), F.col("closed_at").asc_nulls_last()])
+    out = quality.rule_counts(calls, of("nyc_311", "1996-01-01", "1999-01-01"))
+    for rows, rules in ((_hourly_rows(spark, d), of("open_meteo_weather", "2024-01-05", "2024-01-20")), (_zone_rows(spark, d), of("tlc_taxi_zones", "2024-01-05", "2024-01-20"))):
+        out = out.unionByName(quality.rule_counts(rows, rules))
+    return out
+
+
+@query("a04_quantile_bounds", " UNION ALL ".join(f"SELECT '{c}' AS column_name, unnest([0.0, 0.01, 0.5, 0.95, 0.99, 0.999, 1.0])::DOUBLE AS quantile, true AS within_bound" for c in ("l_extendedprice", "l_quantity")) + " WHERE EXISTS (SELECT 1 FROM lineitem)")
+def quantile_bounds(spark, d):
+    """Whether each approximate quantile's exact rank is as near as its accuracy promises, by counting rows below and up to it."""
+    rows, out = read(spark, d, "lineitem"), None
+    for c in ("l_extendedprice", "l_quantity"):
+        found = profile.quantiles(rows, [c])
+        ranks = rows.select(F.col(c).cast("double").alias("v")).groupBy("v").count().crossJoin(F.broadcast(found))  # a row per quantile
+        near = ranks.groupBy("column_name", "quantile").agg(F.sum("count").alias("n"), F.sum(F.when(F.col("v") < F.col("value"), F.col("count")).otherwise(0)).alias("below"), F.sum(F.when(F.col("v") <= F.col("value"), F.col("count")).otherwise(0)).alias("upto"))
+        slack = F.col("n") / 10000 + 1
+        ok = near.select("column_name", "quantile", ((F.col("below") - slack <= F.col("quantile") * F.col("n")) & (F.col("quantile") * F.col("n") <= F.col("upto") + slack)).alias("within_bound"))
+        out = ok if out is None else out.unionByName(ok)
+    return out
+
+
 @query("w01_trip_rules", _TRIP_SQL)
 def trip_rules(spark, d):
     """How many rows break each of the catalog's rules for trips, and get each flag."""
