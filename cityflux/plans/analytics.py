@@ -36,7 +36,7 @@ def r6(x: Column) -> Column:
 
 def by_zone(s: Star, *names: str) -> DataFrame:
     sums = s.fact.groupBy("zone_id").agg(*[total(n).alias(f"total_{n}") for n in names])
-    return sums.join(s.zones, "zone_id")
+    return sums.join(F.broadcast(s.zones), "zone_id")
 
 
 # Questions 1 to 17
@@ -62,7 +62,7 @@ def top_revenue_zones(s: Star, n: int = 20) -> DataFrame:
 def weighted_fare(s: Star) -> DataFrame:
     """Fares weighted by trips, by borough, over cells with trips."""
     sums = s.fact.where("trips > 0").groupBy("zone_id").agg(F.sum("trips").alias("t"), F.sum("revenue").alias("r"), F.sum(F.round(F.col("average_fare").cast("decimal(24,6)") * F.col("trips"), 6)).alias("w"))
-    out = sums.join(s.zones, "zone_id").groupBy("borough").agg(F.sum("t").alias("t"), F.sum("r").alias("r"), F.sum("w").alias("w"))
+    out = sums.join(F.broadcast(s.zones), "zone_id").groupBy("borough").agg(F.sum("t").alias("t"), F.sum("r").alias("r"), F.sum("w").alias("w"))
     return out.select("borough", F.col("t").cast("long").alias("total_trips"), F.col("r").cast("double").alias("total_revenue"), r6(S.ratio(F.col("w"), F.col("t"))).alias("weighted_average_fare"))
 
 
@@ -73,7 +73,7 @@ def monthly(s: Star, name: str) -> DataFrame:
 def month_growth(s: Star, ranks: int = 10, source: DataFrame | None = None) -> DataFrame:
     grown = (source or monthly(s, "trips")).where("before is not null").withColumn("growth_pct", r6(100.0 * S.ratio(F.col("now") - F.col("before"), F.col("before"))))
     ranked = grown.withColumn("growth_rank", F.dense_rank().over(Window.partitionBy("month_start").orderBy(F.desc_nulls_last("growth_pct")))).where(F.col("growth_rank") <= ranks)
-    return ranked.join(s.zones, "zone_id").select("month_start", "zone_name", "borough", F.col("before").alias("previous_month_trips"), F.col("now").alias("monthly_trips"), "growth_pct", F.col("growth_rank").cast("long").alias("growth_rank"))
+    return ranked.join(F.broadcast(s.zones), "zone_id").select("month_start", "zone_name", "borough", F.col("before").alias("previous_month_trips"), F.col("now").alias("monthly_trips"), "growth_pct", F.col("growth_rank").cast("long").alias("growth_rank"))
 
 
 def month_growth_daily(s: Star, days: DataFrame, ranks: int = 10) -> DataFrame:
@@ -93,7 +93,7 @@ def snow_bands(s: Star) -> DataFrame:
 def _quartiles(s: Star) -> DataFrame:
     totals = s.fact.groupBy("zone_id").agg(total("trips").alias("total_trips"), total("complaints").alias("total_complaints"))  # a row per zone
     quarter = lambda c: F.ntile(4).over(Window.orderBy(F.desc(c), "zone_id"))
-    return totals.withColumns({"demand_quartile": quarter("total_trips"), "complaint_quartile": quarter("total_complaints")}).join(s.zones, "zone_id")
+    return totals.withColumns({"demand_quartile": quarter("total_trips"), "complaint_quartile": quarter("total_complaints")}).join(F.broadcast(s.zones), "zone_id")
 
 
 def top_quartile_complaints(s: Star) -> DataFrame:
@@ -123,7 +123,7 @@ def revenue_volatility(s: Star, n: int = 20) -> DataFrame:
 def rising_complaints(s: Star, n: int = 20) -> DataFrame:
     months = monthly(s, "complaints").groupBy("zone_id").agg(F.count_if(F.col("now") > F.col("before")).alias("increasing_months"), F.count("before").alias("comparable_months"))
     out = months.where("comparable_months > 0").withColumn("increasing_month_pct", r6(100.0 * S.ratio(F.col("increasing_months"), F.col("comparable_months"))))
-    return out.join(s.zones, "zone_id").orderBy(F.desc("increasing_month_pct"), F.desc("increasing_months"), "zone_id").limit(n).select("zone_name", "borough", "increasing_months", "comparable_months", "increasing_month_pct")
+    return out.join(F.broadcast(s.zones), "zone_id").orderBy(F.desc("increasing_month_pct"), F.desc("increasing_months"), "zone_id").limit(n).select("zone_name", "borough", "increasing_months", "comparable_months", "increasing_month_pct")
 
 
 def daily_zone(s: Star) -> DataFrame:
@@ -133,7 +133,7 @@ def daily_zone(s: Star) -> DataFrame:
 def _spikes(scored: DataFrame, s: Star, least: float) -> DataFrame:
     z = lambda x: S.ratio(F.col(f"daily_{x}") - F.col(f"avg_{x}"), F.round(f"sd_{x}", 9))
     out = scored.withColumns({"taxi_z_score": r6(z("trips")), "complaint_z_score": r6(z("complaints"))})
-    return out.where((F.col("taxi_z_score") >= least) & (F.col("complaint_z_score") >= least)).join(s.zones, "zone_id").select("zone_name", "borough", F.col("date").alias("full_date"), "daily_trips", "daily_complaints", "taxi_z_score", "complaint_z_score")
+    return out.where((F.col("taxi_z_score") >= least) & (F.col("complaint_z_score") >= least)).join(F.broadcast(s.zones), "zone_id").select("zone_name", "borough", F.col("date").alias("full_date"), "daily_trips", "daily_complaints", "taxi_z_score", "complaint_z_score")
 
 
 def spikes(s: Star, least: float = 2.0) -> DataFrame:
@@ -153,7 +153,7 @@ def rolling_mean(s: Star, days: DataFrame | None = None) -> DataFrame:
     """Trips by day and their mean over seven rows, by zone."""
     w = Window.partitionBy("zone_id").orderBy("date").rowsBetween(-6, 0)
     rolled = (days if days is not None else daily_zone(s)).withColumn("rolling_7_day_avg_trips", r6(F.sum("daily_trips").over(w).cast("double") / F.count("daily_trips").over(w)))
-    return rolled.join(s.zones, "zone_id").select("zone_name", "borough", F.col("date").alias("full_date"), F.col("daily_trips").cast("long").alias("daily_trips"), "rolling_7_day_avg_trips")
+    return rolled.join(F.broadcast(s.zones), "zone_id").select("zone_name", "borough", F.col("date").alias("full_date"), F.col("daily_trips").cast("long").alias("daily_trips"), "rolling_7_day_avg_trips")
 
 
 def borough_revenue_rank(s: Star, ranks: int = 10) -> DataFrame:
@@ -204,7 +204,7 @@ def temperature_city_hours(s: Star) -> DataFrame:
 
 def dominant_zone(complaints: DataFrame, zones: DataFrame, least: int = 1000, n: int = 20) -> DataFrame:
     """The zone with most complaints of each type with ``least`` complaints; ``complaints`` has complaint_type and zone_id."""
-    counts = complaints.groupBy("complaint_type", "zone_id").agg(F.count(F.lit(1)).alias("dominant_zone_complaints")).join(zones, "zone_id")
+    counts = complaints.groupBy("complaint_type", "zone_id").agg(F.count(F.lit(1)).alias("dominant_zone_complaints")).join(F.broadcast(zones), "zone_id")
     ranked = counts.withColumns({
         "category_total": F.sum("dominant_zone_complaints").over(Window.partitionBy("complaint_type")),
         "_rank": F.row_number().over(Window.partitionBy("complaint_type").orderBy(F.desc("dominant_zone_complaints"), "zone_id")),

@@ -40,6 +40,11 @@ def zones(spark: SparkSession, d: str) -> DataFrame:
     return nation.join(region, nation.n_regionkey == region.r_regionkey).select(F.col("n_nationkey").cast("int").alias("zone_id"), F.col("n_name").alias("zone_name"), F.col("r_name").alias("borough"))
 
 
+def stored_zones(spark: SparkSession, d: str) -> DataFrame:
+    """The zones with their boroughs, a reference table of a few hundred rows, stored like the cube."""
+    return stored(spark, "zones", _sources(d, "nation", "region"), lambda: zones(spark, d).coalesce(1))
+
+
 def weather(spark: SparkSession) -> DataFrame:
     """Temperature, rain, snow and condition of each hour, by a rule."""
     day, hour = F.dayofmonth("date"), F.col("hour")
@@ -54,7 +59,7 @@ def weather(spark: SparkSession) -> DataFrame:
 
 def star(spark: SparkSession, d: str) -> Star:
     """The cube, which is Gold: built once for a data folder, then read."""
-    return Star(stored(spark, "cube", _sources(d, "events", "nation", "region"), lambda: _cube(spark, d)), zones(spark, d))
+    return Star(stored(spark, "cube", _sources(d, "events", "nation", "region"), lambda: _cube(spark, d)), stored_zones(spark, d))
 
 
 def days(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +87,7 @@ def _cube(spark: SparkSession, d: str) -> DataFrame:
 
 def month_star(spark: SparkSession, d: str) -> Star:
     """Orders by zone and day, stored like the cube."""
-    return Star(stored(spark, "month-days", _sources(d, "orders"), lambda: _month_days(spark, d)), zones(spark, d))
+    return Star(stored(spark, "month-days", _sources(d, "orders"), lambda: _month_days(spark, d)), stored_zones(spark, d))
 
 
 def _month_days(spark: SparkSession, d: str) -> DataFrame:
