@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 from .readers import HOURLY_KEYS
-from .rest import fetch, pages
+from .rest import KeyRange, fetch, pages
 
 
 def land(path: str | Path, content: Callable[[], bytes], complete: Callable[[bytes], bool] = bool) -> str:
@@ -30,13 +30,13 @@ def land(path: str | Path, content: Callable[[], bytes], complete: Callable[[byt
     return hashlib.sha256(data).hexdigest()
 
 
-def land_month(folder: str | Path, base: str, field: str, start: str, end: str, order: str, page: int, get=fetch) -> list[Path]:
+def land_month(folder: str | Path, base: str, field: str, start: str, end: str, key: str, page: int, get=fetch) -> list[Path]:
     """A month's pages, one file each, with a manifest of their rows and hashes; the month is there when its manifest is."""
     folder = Path(folder)
     listing = folder / "manifest.json"
     if not listing.exists():
         files = []
-        for k, rows in enumerate(pages(base, field, start, end, order, page, get)):
+        for k, rows in enumerate(pages(base, field, key, KeyRange(start, end), page, get)):
             body = json.dumps(rows).encode()
             files.append({"file": f"page-{k:05d}.json", "rows": len(rows), "sha256": land(folder / f"page-{k:05d}.json", lambda body=body: body)})
         land(listing, lambda: json.dumps({"start": start, "end": end, "files": files}).encode())

@@ -30,13 +30,13 @@ def test_month_of_pages(tmp_path, spark):
 
     def get(url):
         asked.append(url)
-        return json.dumps([{"unique_key": str(len(asked))}] * (2 if len(asked) == 1 else 1)).encode()
+        return json.dumps([{"unique_key": f"{len(asked)}{n}", "created_date": "2025-01-05"} for n in range(2 if len(asked) == 1 else 1)]).encode()
 
     for _ in range(2):
-        files = landing.land_month(tmp_path / "m", "http://x", "created_date", "2025-01-01", "2025-02-01", "created_date", 2, get)
+        files = landing.land_month(tmp_path / "m", "http://x", "created_date", "2025-01-01", "2025-02-01", "unique_key", 2, get)
     assert len(asked) == 2
     out = readers.json_pages(spark, str(tmp_path / "m/page-*.json"), readers.COMPLAINTS)
-    assert (len(files), sorted(r["unique_key"] for r in out.collect())) == (2, ["1", "1", "2"])
+    assert (len(files), sorted(r["unique_key"] for r in out.collect())) == (2, ["10", "11", "20"])
 
 
 def test_weather_payloads():
@@ -52,7 +52,7 @@ def test_weather_payloads():
 
 
 def test_polygon_checks_and_file_counts(spark, tmp_path):
-    shape = lambda z, n: [(z, 0, i, float(i), float(i * i)) for i in range(n)]
+    shape = lambda z, n: [(z, 0, i, float(i + 10 * z), float(i * i)) for i in range(n)]
     make = lambda rows: readers.polygons(spark.createDataFrame(rows, "zone_id int, ring int, seq int, x double, y double"))
     assert readers.checked_polygons(make(shape(1, 3) + shape(2, 4)), 2).count() == 2
     for bad in (make(shape(1, 2)), make(shape(264, 3)), make(shape(1, 3)).unionAll(make(shape(1, 3)))):
