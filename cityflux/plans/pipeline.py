@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions import scalar as S
 from ..operators import boosting, cube, dims, duplicates, forecast, profile, quality
-from ..session import shared_folder
+from ..session import pinned, shared_folder
 from ..sources import readers, sinks
 from . import analytics as A
 from . import control
@@ -497,7 +497,9 @@ def month_loads(spark, d):
     for file in ("one", "two", "two"):
         load_months(f"{root}/fact", f"{root}/ledger", "orders", file, file, files[file].withColumn("amount", F.col("amount").cast("decimal(18,2)")), "date", ["k"], "run-1", "2024-02-01")
     fact = spark.read.schema("k bigint, date date, amount decimal(18,2), version bigint, month string").parquet(f"{root}/fact")
-    return fact.groupBy("month", "version").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").cast("double").alias("amount"), F.min("k").alias("first_key"), F.max("k").alias("last_key"))
+    out = pinned(fact.groupBy("month", "version").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").cast("double").alias("amount"), F.min("k").alias("first_key"), F.max("k").alias("last_key")))
+    sinks.Store(spark).remove(root)
+    return out
 
 
 @query("w05_routing_audit", "SELECT strftime(date_trunc('month', l_shipdate), '%Y-%m-%d') AS event_month, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS stored_month, count(*) AS rows, abs(date_diff('month', o_orderdate, l_shipdate)) > 1 AS late FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL")
