@@ -1,11 +1,13 @@
 """PII by a skip-chain conditional random field.
 
-Base rules find emails, IPv4 addresses, cards and phone numbers. The field's tokens are the white-space separated words that
-hold a digit, an ``@`` or a spelled sign (``[at]``, ``(dot)``, a lone ``dot``), and ``CONTEXT`` words on each side of them.
+Base rules find emails, IPv4 addresses, cards and phone numbers. The field's tokens are these spans, each a single token
+whatever its white space; texts that read as an address once their signs are written plainly (``a [at] b (dot) c``, ``a at b
+dot c``); neighbouring words whose digits together are those of a base span, or its last seven or more; the other
+white-space separated words that hold a digit, an ``@`` or a spelled sign; and ``CONTEXT`` words on each side of all these.
 Five labels (none and the four kinds) have a unary potential from a token's shape and its neighbours', chain potentials
 between neighbouring tokens, and skip potentials between equal or similar tokens anywhere in the document. Tokens are similar
-if their letters and digits, in lower case, are equal, or become so by dropping one character from one or each (of six or
-more), or end in the same seven digits, or if one is the local part of the other's address. Tokens of base spans are
+if their letters and digits, in lower case and with plain signs, are equal, or become so by dropping one character from one or
+each (of six or more), or end in the same seven digits, or if one is the local part of the other's address. Tokens of base spans are
 observed, so what the rules are sure of is evidence for all other mentions. Marginals come from loopy sum-product message
 passing in sweeps from the first token to the last and back, until the messages settle. Neighbours with one label make a
 span if they can be of that kind when written plainly; base spans always stay.
@@ -28,6 +30,7 @@ import random
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import merge
 
 import numpy as np
 import pyarrow as pa
@@ -139,8 +142,89 @@ LABELS = 1 + len(KINDS)
 BUCKETS = 1 << 12
 
 
-def tokens(text: str) -> list[tuple[int, int]]:
-    """Spans of the words that hold a digit, an @ or a spelled sign, and of ``CONTEXT`` words around them, without the punctuation around each."""
+_OPEN, _SHUT = r"\s?[\[({<]\s?", r"\s?[\])}>]\s?"
+_AT_SIGN = re.compile(rf"{_OPEN}(?:(?i:at)|@){_SHUT}|\s(?i:at)\s|\s?@\s?")
+_DOT_SIGN = rf"(?:{_OPEN}(?:(?i:dot)|\.){_SHUT}|\s(?i:dot)\s|\s\.\s|\.)"
+_HOST = re.compile(rf"[A-Za-z0-9-]{{1,63}}(?:{_DOT_SIGN}[A-Za-z0-9-]{{1,63}}){{1,8}}")
+_NUMERIC = re.compile(r"[()\[\]._/+-]*[0-9][0-9()\[\]._/+-]*")
+#: The fewest last digits by which a number is known again; the most characters of a local part, and of a number's word.
+TAIL, LOCAL, NUMBER = 7, 64, 40
+
+
+def _addresses(text: str, base: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Disjoint spans outside ``base`` that read as an address once their signs are written plainly; signs have one kind of brackets."""
+    out, end, k = [], 0, 0
+    for m in _AT_SIGN.finditer(text):
+        a = m.start()
+        while a > end and m.start() - a < LOCAL and _LOCAL.match(text, a - 1):
+            a -= 1
+        host = _HOST.match(text, m.end()) if a < m.start() else None
+        if host and "\n" not in (whole := text[a : host.end()]) and len({c for c in whole if c in "[({<"}) <= 1:
+            while k < len(base) and base[k][1] <= a:
+                k += 1
+            if k == len(base) or base[k][0] >= host.end():
+                out.append((a, host.end()))
+                end = host.end()
+    return out
+
+
+def _whole(base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Base spans as disjoint ones: those that overlap are one."""
+    out: list[tuple[int, int]] = []
+    for a, _, b in base:
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def _shorter(digits: str) -> Iterator[str]:
+    """A number with each digit dropped in turn; two that differ in one digit share one of these."""
+    return (f"- {digits[:i]}{digits[i + 1 :]}" for i in range(len(digits)))
+
+
+def _known_digits(text: str, base: list[tuple[int, int, int]]) -> set[str]:
+    """Digits of base spans: of IP addresses all; of cards and phones all, the last ones, ``TAIL`` or more, and all but one."""
+    out = set()
+    for a, k, b in base:
+        if k and b - a <= 64:
+            digits = "".join(_DIGIT.findall(text[a:b]))
+            out.update([digits] if k == 1 else [digits[i:] for i in range(len(digits) - TAIL + 1)])
+            out.update(_shorter(digits) if k > 1 else ())
+    return out
+
+
+def _numbers(text: str, spans: list[tuple[int, int]], whole: set[tuple[int, int]], known: set[str]) -> list[tuple[int, int]]:
+    """``spans`` with each run of neighbouring numbers, or of numbers with ``dot`` between, that together have known digits as one; the longest from each on. ``whole`` ones stay."""
+    if not known:
+        return spans
+    plain = ["" if s in whole or s[1] - s[0] > NUMBER or not _NUMERIC.fullmatch(text, *s) else "".join(_DIGIT.findall(text, *s)) for s in spans]
+    out, i = [], 0
+    while i < len(spans):
+        digits, last, j = plain[i], i, i + 1
+        while digits and len(digits) < 24 and j < len(spans) and j - i < LONGEST and (plain[j] or text[slice(*spans[j])].strip("[](){}").lower() == "dot") and _joins(text[spans[j - 1][1] : spans[j][0]]):
+            digits += plain[j]
+            if plain[j] and (digits in known or digits.lstrip("0") in known or (len(digits) > TAIL and any(x in known for x in _shorter(digits)))):
+                last = j
+            j += 1
+        out.append((spans[i][0], spans[last][1]))
+        i = last + 1
+    return out
+
+
+def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    while b > a and text[b - 1] in _EDGE:
+        b -= 1
+    while a < b and text[a] in _EDGE:
+        a += 1
+    return a, b
+
+
+def tokens(text: str, base: list[tuple[int, int, int]] = ()) -> list[tuple[int, int]]:
+    """Spans of the tokens: base spans, spelled addresses and known numbers as one each, words that hold a digit, an @ or a spelled sign, and ``CONTEXT`` words around; words without the punctuation around each."""
+    own = _whole(base)
+    whole = sorted(own + _addresses(text, own))
     raw: list[tuple[int, int]] = []
     n, end, more = len(text), 0, 0  # all before ``end`` is taken; words that the last seed still has to its right
 
@@ -150,8 +234,8 @@ def tokens(text: str) -> list[tuple[int, int]]:
             raw.append(m.span(1))
             end, more = m.end(), more - 1
 
-    for m in _SEED.finditer(text):
-        a, b = m.span()
+    for a, b in merge((m.span() for m in _SEED.finditer(text)), whole):
+        a = max(a, end)
         if b <= end:  # within a word that is taken
             more = CONTEXT
             continue
@@ -177,15 +261,27 @@ def tokens(text: str) -> list[tuple[int, int]]:
         raw += [(m.start() + a, m.end() + a) for m in re.finditer(r"\S+", text[a:b])]
         end, more = b, CONTEXT
     after(n)
-    out = []
-    for a, b in raw:
-        while b > a and text[b - 1] in _EDGE:
-            b -= 1
-        while a < b and text[a] in _EDGE:
-            a += 1
-        if a < b:
+    out, k = [], 0
+
+    def piece(a: int, b: int, cut: bool) -> None:
+        a, b = _trimmed(text, a, b)
+        if a < b and (not cut or any(c == "@" or c.isdigit() for c in text[a:b])):
             out.append((a, b))
-    return out
+
+    for a, b in raw:  # words, cut where a whole token lies; of what is left of a cut word, pieces with a digit or an @ are tokens
+        cut = False
+        while k < len(whole) and whole[k][0] < b:
+            x, y = whole[k]
+            if y > a:
+                piece(a, x, True)
+                if out[-1:] != [(x, y)]:
+                    out.append((x, y))
+                a, cut = y, True
+            if y > b:
+                break
+            k += 1
+        piece(a, b, cut)
+    return _numbers(text, out, set(whole), _known_digits(text, base))
 
 
 def _shape(token: str) -> str:
@@ -193,6 +289,13 @@ def _shape(token: str) -> str:
     return re.sub(r"[0-9]+", lambda m: f"<{min(len(m[0]), 20)}>", re.sub(r"[^\W\d_]+", "a", token[:80]))[:40]
 
 
+def _signs(token: str) -> str:
+    """How the signs of a spelled address are written, all brackets alike; empty for others."""
+    at = _AT_SIGN.search(token)
+    dot = re.search(_DOT_SIGN, token[at.end() :]) if at else None
+    return re.sub(r"[\[{<]", "(", re.sub(r"[\]}>]", ")", f"{at[0].strip()}|{dot[0].strip()}".lower())) if dot else ""
+
+
 def _bucket(name: str) -> int:
     return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=4).digest(), "big") % BUCKETS
 
@@ -206,7 +309,7 @@ def _features(text: str, spans: list[tuple[int, int]], cache: dict[str, int]) ->
         digits = sum(c in "0123456789" for c in token[:64])
         names = [
             "bias", f"shape {shapes[i]}", f"digits {min(digits, 24)}", f"at {'@' in token}", f"dots {min(token.count('.'), 5)}", f"letters {any(c.isalpha() for c in token)}",
-            f"card {is_card(token)} {digits == len(token)}", f"plus {text[max(0, a - 1):a + 1].count('+') > 0}", f"parens {token[0] == '('}",
+            f"card {is_card(token)} {digits == len(token)}", f"plus {text[max(0, a - 1):a + 1].count('+') > 0}", f"parens {token[0] == '('}", f"signs {_signs(token)}",
             f"left {shapes[i - 1] if near[i] else ''}", f"right {shapes[i + 1] if i + 1 < len(spans) and near[i + 1] else ''}", f"before {m[1].lower() if (m := _WORD_BEFORE.search(text, max(0, a - 14), a)) else ''}",
             f"ip {token.count('.') == 3 and token.replace('.', '').isdecimal() and token.isascii() and all(token.split('.')) and _small_parts(token)}",
         ]
@@ -226,17 +329,19 @@ _PLAIN = re.compile(r"[\W_]+")
 
 def _similar_keys(token: str) -> list[str]:
     """Two tokens are similar if they share a key. The first key is of equal tokens; short ones and short plain words have none."""
+    if any(c in " @[({<" for c in token):
+        token = _AT.sub("@", _DOT.sub(".", token))
     key = _PLAIN.sub("", token).lower()
     digits = key.isdecimal() and key.isascii()
     if len(key) < (3 if digits else 4):
         return []
     keys = [f"= {key}"]
     if digits and len(key) >= 7:
-        keys.append(f"7 {key[-7:]}")
+        keys.append(f"7 {key[-TAIL:]}")
     if "@" in token and (local := _PLAIN.sub("", token.partition("@")[0]).lower()):
         keys.append(f"= {local}")
     if 6 <= len(key) <= 32 and (digits or any(c.isdigit() for c in key)):
-        keys += [f"- {key}", *(f"- {key[:i]}{key[i + 1:]}" for i in range(len(key)))]
+        keys += [f"- {key}", *_shorter(key)]
     return keys
 
 
@@ -325,7 +430,7 @@ class Field:
     def spans(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         """(base spans, all spans) as (start, kind, end), sorted."""
         base, _ = base_matches(text)
-        found = tokens(text)
+        found = tokens(text, base)
         kinds = _kinds(found, base)
         if all(k >= 0 or not _could_be(text, s) for k, s in zip(kinds, found, strict=True)):
             return base, base
@@ -365,16 +470,16 @@ def _covered(span: tuple[int, int], base: list[tuple[int, int, int]]) -> bool:
 
 
 def _could_be(text: str, span: tuple[int, int]) -> bool:
-    """Whether a token may be part of a span: an address, a sign, or seven digits with its neighbours."""
-    a, b = span
-    return any(c in "@[({" or c.isdigit() for c in text[a:b])
+    """Whether a token may be part of a span: it holds a digit, or reads as an address; no form of any kind lacks both."""
+    token = text[span[0] : span[1]]
+    return any(c == "@" or c.isdigit() for c in token) or _AT_SIGN.search(token) is not None
 
 
 def _joins(between: str) -> bool:
     return len(between) <= 3 and "\n" not in between
 
 
-_AT, _DOT = (re.compile(rf"\s*(?:[\[({{]\s?(?:{w}|{w.upper()}|{sign})\s?[\])}}]|\s(?:{w}|{w.upper()})\s|{sign})\s*") for w, sign in (("at", "@"), ("dot", r"\.")))
+_AT, _DOT = (re.compile(rf"\s*(?:[\[({{<]\s?(?:(?i:{w})|{sign})\s?[\])}}>]|\s(?i:{w})\s|{sign})\s*") for w, sign in (("at", "@"), ("dot", r"\.")))
 _ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _HANDLE = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+")
 _NO_DIGITS = re.compile(r"[\s\x20()\[\]._/+-]+")
@@ -438,6 +543,13 @@ def _alike(r: random.Random, kind: int, value: str | None) -> str:
     return r.choice([f"({tail[:-7]}) {tail[-7:-4]}-{tail[-4:]}", f"{tail[-7:-4]}-{tail[-4:]}", f"{tail[:-7]}-{tail[-7:-4]}-{tail[-4:]}", f"{tail[:-7]}.{tail[-7:-4]}.{tail[-4:]}"])
 
 
+def _address(r: random.Random) -> str:
+    """An address from nowhere."""
+    local = r.choice("._-").join("".join(r.choice("abcdefghijklmnoprstuvwyz") for _ in range(r.randrange(1, 9))) for _ in range(r.randrange(1, 3)))
+    host = "".join(r.choice("abcdefghiklmnoprstuw") for _ in range(r.randrange(3, 9)))
+    return f"{local}@{host}.{r.choice(('com', 'org', 'net', 'co.uk', 'de', 'edu'))}"
+
+
 def disturbed(text: str, seed: int) -> tuple[str, list[tuple[int, int, int]]]:
     """A text with further mentions and as many from nowhere and more, and the spans that a field should find in it beyond the base rules'; kind -1 is none."""
     r = random.Random(seed)
@@ -451,8 +563,13 @@ def disturbed(text: str, seed: int) -> tuple[str, list[tuple[int, int, int]]]:
         if r.random() < 0.6:
             made = _alike(r, k, value)
             insert.append((made, len(made), k))
+    if r.random() < 0.7:  # clear by its form, whatever else is there
+        insert.append((*_spelled(r, 0, _address(r)), 0))
     for _ in range(2 * len(insert) + 1):
-        made = _alike(r, r.randrange(len(KINDS)), None)
+        kind = r.randrange(len(KINDS))
+        made = _alike(r, kind, None)
+        if kind == 0 and r.random() < 0.5:  # prose about a place
+            made = f"{r.choice(('us', 'it', 'me', 'them', 'page', 'more'))} at {made.partition('@')[2]}.{r.choice(('com', 'org', 'net'))}"
         insert.append((made, len(made), -1))
     r.shuffle(insert)
     gaps = [m.start() for m in re.finditer(r"(?<=\S)[ \n](?=\S)", text) if not _covered((m.start() - 1, m.end() + 1), base)]
@@ -486,7 +603,7 @@ def train(texts: list[str], epochs: int = 12, rate: float = 0.5) -> Field:
     rows, labels, links, cache = [], [], [], {}
     for k, text in enumerate(texts):
         for text, more in ((text, []), disturbed(text, k)):
-            spans = tokens(text)
+            spans = tokens(text, base_matches(text)[0] if more else [])  # as they are, texts teach what words of a span look like
             if not spans:
                 continue
             rows += _features(text, spans, cache)
