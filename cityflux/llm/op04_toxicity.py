@@ -4,7 +4,7 @@ Input at a word: a word embedding plus the mean of its character n-gram embeddin
 hashed into fixed tables. Two gated recurrent layers run over a window of words, one each way; attention pools their states
 and a logistic output scores the window. Windows of ``WINDOW`` words start every ``STRIDE`` words, half a window, and cover
 the whole text; a document's score is a logistic combination of its ``TOP`` highest windows that don't overlap and its
-length. All of it is numpy: training on the driver, scoring in the tasks.
+length. All of it is numpy, in tasks: the trainings, those on folds and the last one, are the tasks of one job.
 
 Training uses at most ``TRAIN_EACH`` documents of each class, least hashes first, as long as they have ``TRAIN_CHARS``
 characters together at most, whatever the length of each, and only rows with crc32(id as text) mod 5 other than 0. A step
@@ -24,7 +24,8 @@ columns that clash with output columns are replaced, other columns may have any
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -388,33 +389,68 @@ def _best_cut(logits: np.ndarray, y: np.ndarray) -> float:
     return float((edge[cut] + edge[cut + 1]) / 2)
 
 
-def train(texts: list[str], labels: list[int]) -> Network:
-    """A network; its rounds and its cut are those that are best on folds of the documents that a network hasn't seen."""
+def _rounds(texts: list[str], labels: list[int], fold: int) -> list:
+    """One training, for itself: after each round from ``SEED_ROUNDS`` on, the features of the fold's documents, which it doesn't see; of fold -1, none, the weights."""
     docs, y = [words_of(t) for t in texts], np.array(labels, np.float32)
-    if not len(y) or y.min() == y.max():
-        return Network(known=False)
+    place = _places(y)
+    own, rest = np.flatnonzero(place != fold), np.flatnonzero(place == fold)
+    if len(set(y[own])) < 2 or (fold >= 0 and not len(rest)):
+        return []
+    trainer, out = _Trainer([docs[i] for i in own], y[own]), []
+    for k in range(ROUNDS):
+        trainer.round(k < SEED_ROUNDS)
+        if k + 1 >= SEED_ROUNDS:
+            net = trainer.averaged()
+            out.append(net.w if fold < 0 else Scorer(net).features([docs[i] for i in rest]))
+    return out
+
+
+def _places(y: np.ndarray) -> np.ndarray:
+    """The fold of each document; each fold has its share of both classes."""
     place = np.empty(len(y), np.int64)
-    for label in (0, 1):  # each fold has its share of both classes
+    for label in (0, 1):
         at = np.flatnonzero(y == label)
         place[at] = np.arange(len(at)) % FOLDS
-    unseen = np.zeros((ROUNDS, len(y), TOP + 1))
-    for fold in range(FOLDS):
-        own, rest = np.flatnonzero(place != fold), np.flatnonzero(place == fold)
-        if not len(rest) or len(set(y[own])) < 2:
-            continue
-        trainer = _Trainer([docs[i] for i in own], y[own])
-        for k in range(ROUNDS):
-            trainer.round(k < SEED_ROUNDS)
-            if k + 1 >= SEED_ROUNDS:
-                unseen[k, rest] = Scorer(trainer.averaged()).features([docs[i] for i in rest])
-    heads = [_head(u, y) for u in unseen[SEED_ROUNDS - 1 :]]
-    best = int(np.argmin([_loss(u @ h[:-1] + h[-1], y) for u, h in zip(unseen[SEED_ROUNDS - 1 :], heads, strict=True)]))
-    trainer = _Trainer(docs, y)
-    for k in range(SEED_ROUNDS + best):
-        trainer.round(k < SEED_ROUNDS)
+    return place
+
+
+def _apart(spark: SparkSession) -> Callable:
+    """Runs trainings as the tasks of one job, which lost executors repeat; all weights have a fixed shape, features a row per training document."""
+
+    def run(train_fold: Callable[[int], list], folds: list[int]) -> list[list]:
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for fold in batch.column(0).to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array([fold]), pa.array([pickle.dumps(train_fold(fold))], pa.binary())], names=["fold", "made"])
+
+        start = folds[0]
+        made = spark.range(start, start + len(folds), 1, len(folds)).mapInArrow(task, "fold long, made binary").collect()
+        return [pickle.loads(r["made"]) for r in sorted(made, key=lambda r: r["fold"])]
+
+    return run
+
+
+def train(texts: list[str], labels: list[int], spark: SparkSession | None = None) -> Network:
+    """A network; its rounds and its cut are those that are best on folds of the documents that a network hasn't seen. With a session, the trainings run side by side."""
+    y = np.array(labels, np.float32)
+    if not len(y) or y.min() == y.max():
+        return Network(known=False)
+    folds = list(range(-1, FOLDS))
+    if spark is None:
+        final, *each = [_rounds(texts, labels, fold) for fold in folds]
+    else:
+        shared = spark.sparkContext.broadcast((texts, labels))  # 2 x TRAIN_EACH texts, TRAIN_CHARS characters in all
+        final, *each = _apart(spark)(lambda fold: _rounds(*shared.value, fold), folds)
+    place = _places(y)
+    unseen = np.zeros((ROUNDS - SEED_ROUNDS + 1, len(y), TOP + 1))
+    for fold, features in enumerate(each):
+        for k, part in enumerate(features):
+            unseen[k, place == fold] = part
+    heads = [_head(u, y) for u in unseen]
+    best = int(np.argmin([_loss(u @ h[:-1] + h[-1], y) for u, h in zip(unseen, heads, strict=True)]))
     head = heads[best]
-    head[-1] -= _best_cut(unseen[SEED_ROUNDS - 1 + best] @ head[:-1] + head[-1], y)
-    net = trainer.averaged()
+    head[-1] -= _best_cut(unseen[best] @ head[:-1] + head[-1], y)
+    net = Network(final[best])
     net.head = head
     return net
 
@@ -440,7 +476,7 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         most = row["h"]
     rows = texts.where(F.xxhash64("_i") <= F.lit(most)).collect() if most is not None else []
     rows.sort(key=lambda r: r["_i"])
-    return train([r["_t"] for r in rows], [r["_y"] for r in rows])
+    return train([r["_t"] for r in rows], [r["_y"] for r in rows], docs.sparkSession)
 
 
 DIGEST = struct_of("held_out boolean, score double, predicted int")
