@@ -147,18 +147,40 @@ _AT_SIGN = re.compile(rf"{_OPEN}(?:(?i:at)|@){_SHUT}|\s(?i:at)\s|\s?@\s?")
 _DOT_SIGN = rf"(?:{_OPEN}(?:(?i:dot)|\.){_SHUT}|\s(?i:dot)\s|\s\.\s|\.)"
 _HOST = re.compile(rf"[A-Za-z0-9-]{{1,63}}(?:{_DOT_SIGN}[A-Za-z0-9-]{{1,63}}){{1,8}}")
 _NUMERIC = re.compile(r"[()\[\]._/+-]*[0-9][0-9()\[\]._/+-]*")
+_BEFORE, _AFTER = (set(f"{brackets} \t\n\r\v\f\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000{''.join(map(chr, range(0x2000, 0x200B)))}") for brackets in ("[({<", "])}>"))
 #: The fewest last digits by which a number is known again; the most characters of a local part, and of a number's word.
 TAIL, LOCAL, NUMBER = 7, 64, 40
 
 
+def _at_signs(text: str) -> Iterator[tuple[int, int]]:
+    """Disjoint matches of ``_AT_SIGN``, in order; looked for around each @ and each word ``at``, since few texts have many."""
+    end = 0
+    for core in merge(*(_places_of(text, x) for x in ("@", "at", "AT", "At", "aT"))):
+        if text[core] != "@" and not (core and text[core - 1] in _BEFORE and text[core + 2 : core + 3] in _AFTER):
+            continue
+        for a in range(max(end, core - 3), core + 1):
+            m = _AT_SIGN.match(text, a)
+            if m and m.end() > core:
+                yield m.span()
+                end = m.end()
+                break
+
+
+def _places_of(text: str, part: str) -> Iterator[int]:
+    at = text.find(part)
+    while at >= 0:
+        yield at
+        at = text.find(part, at + 1)
+
+
 def _addresses(text: str, base: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Disjoint spans outside ``base`` that read as an address once their signs are written plainly; signs have one kind of brackets."""
     out, end, k = [], 0, 0
-    for m in _AT_SIGN.finditer(text):
-        a = m.start()
-        while a > end and m.start() - a < LOCAL and _LOCAL.match(text, a - 1):
+    for start, stop in _at_signs(text):
+        a = start
+        while a > end and start - a < LOCAL and _LOCAL.match(text, a - 1):
             a -= 1
-        host = _HOST.match(text, m.end()) if a < m.start() else None
+        host = _HOST.match(text, stop) if a < start else None
         if host and "\n" not in (whole := text[a : host.end()]) and len({c for c in whole if c in "[({<"}) <= 1:
             while k < len(base) and base[k][1] <= a:
                 k += 1

@@ -469,6 +469,13 @@ def test_forms_that_the_generator_does_not_make(field):
         assert field.spans(text)[0] == field.spans(text)[1], text
 
 
+def test_signs_are_those_of_the_pattern():
+    r = random.Random(22)
+    for _ in range(20000):
+        text = "".join(r.choice(["a", "at", "AT", "At", "@", " ", "[", "]", "(", ")", "<", ">", "\n", "\u3000", ".", "at"]) for _ in range(r.randint(0, 16)))
+        assert list(pii._at_signs(text)) == [m.span() for m in pii._AT_SIGN.finditer(text)], text
+
+
 def test_base_spans_and_spelled_addresses_are_single_tokens():
     text = "call +1 212 555 0199, or 1 212 555 0199 / a.b (at) c (dot) de, mail:x@y.com/10.0.0.1"
     base = pii.base_matches(text)[0]
